@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,21 +83,33 @@ def replace_matches(c: Column, pattern: str, replacement) -> Column:
 def _scaled(factor: int):
     """``12.5 million`` -> `` 12500000 ``; other results print in short form."""
 
+    def six_digits(d: Column, power: int) -> Column:
+        """``10**power <= d < 10**(power+1)`` with six significant digits.
+
+        ``d`` is an integer over a power of two, so rounding (half to even) is
+        decided exactly, on integers.
+        """
+        places = 5 - power
+        bits = 52 - math.floor(power * math.log2(10))
+        whole = (d * F.lit(2.0**bits)).cast("decimal(18,0)")
+        scaled = (whole * F.lit(10**places)).cast("decimal(38,0)")
+        base = F.lit(2**bits).cast("decimal(20,0)")
+
+        def rounded(x: Column) -> Column:
+            rest = x % base
+            low = ((x - rest) / base).cast("decimal(18,0)")
+            up = (rest * 2 > base) | ((rest * 2 == base) & (low % 2 == 1))
+            return (low + F.when(up, 1).otherwise(0)).cast("decimal(18,0)")
+
+        text = (let(scaled, rounded) / F.lit(10**places)).cast(f"decimal(27,{places})").cast("string")
+        return F.regexp_replace(text, r"\.0*$|(\.\d*?)0+$", "$1") if places else text
+
     def general(d: Column) -> Column:
-        # six significant digits, trailing zeros dropped
-        fixed = F.when(d >= 1e5, F.format_string("%.0f", d))
-        for power in range(4, -5, -1):
-            fixed = fixed.when(
-                d >= F.lit(10.0**power), F.format_string(f"%.{5 - power}f", d)
-            )
-        fixed = fixed.otherwise(F.lit(""))
-        scientific = F.regexp_replace(
-            F.format_string("%.5e", d), r"\.?0+e", "e"
-        )
-        trimmed = F.when(
-            fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")
-        ).otherwise(fixed)
-        return F.when((d >= 1e6) | (d < 1e-4), scientific).otherwise(trimmed)
+        scientific = F.regexp_replace(F.format_string("%.5e", d), r"\.?0+e", "e")
+        fixed = F.when((d >= 1e6) | (d < 1e-4), scientific)
+        for power in range(5, -5, -1):
+            fixed = fixed.when(d >= F.lit(10.0**power), six_digits(d, power))
+        return fixed
 
     def body(match: Column) -> Column:
         value = F.regexp_replace(

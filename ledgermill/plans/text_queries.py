@@ -37,8 +37,8 @@ def _scaled_sql():
     factor = "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN {f}.0" for i, (_, f) in enumerate(SCALES)) + " END"
     return f"""
     WITH o AS (SELECT o_orderkey, {unit} AS unit, CAST({factor} AS DOUBLE) AS factor,
-        CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR)
-             ELSE CAST(CAST(o_totalprice / 1000 AS DECIMAL(18,4)) AS VARCHAR) END AS amount FROM orders),
+        CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)
+             ELSE CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.001 AS DECIMAL(18,5)) AS VARCHAR) END AS amount FROM orders),
     v AS (SELECT *, CAST(amount AS DOUBLE) * factor AS d FROM o),
     s AS (SELECT *, CASE WHEN d = floor(d) THEN CAST(CAST(d AS DECIMAL(38,0)) AS VARCHAR) ELSE format('{{:g}}', d) END AS txt FROM v),
     t AS (SELECT o_orderkey, {Q.base_tokens("'total ' || txt || ' and ' || txt || ' in 5m2'")} AS b FROM s)
@@ -50,8 +50,8 @@ def _scaled_sql():
 def tokenize_scaled_amounts(t):
     unit = F.element_at(F.array(*[F.lit(u) for u, _ in SCALES]), (F.col("o_orderkey") % 8 + 1).cast("int"))
     amount = F.when(
-        F.col("o_orderkey") % 3 == 0, F.round("o_totalprice").cast("long").cast("string")
-    ).otherwise((F.col("o_totalprice") / 1000).cast("decimal(18,4)").cast("string"))
+        F.col("o_orderkey") % 3 == 0, F.floor("o_totalprice").cast("long").cast("string")
+    ).otherwise((F.col("o_totalprice").cast("decimal(18,2)") * F.lit(0.001).cast("decimal(4,3)")).cast("decimal(18,5)").cast("string"))
     text = F.concat(F.lit("Total "), amount, F.lit(" "), unit, F.lit(", and "), amount, unit, F.lit("! in 5m2"))
     return t.orders.select(
         "o_orderkey", F.array_join(T.tokenize(text), " ").alias("tokens")
@@ -132,11 +132,11 @@ _P = r"regexp_replace(regexp_replace(" + Q.prepare("item") + r", '^unnamed\s*:?\
     "normalize_items",
     f"""
     WITH s AS ({spelled_sql()}),
-    p AS (SELECT o_orderkey, item, {_P} AS p FROM s)
-    SELECT o_orderkey, item, CASE WHEN contains(p, ':') THEN
-      array_to_string({Q.words("regexp_replace(split_part(p, ':', 1), '[^a-z0-9]+', ' ', 'g')")}, ' ') || ': ' ||
-      {Q.value_text("substr(p, instr(p, ':') + 1)")} ELSE {Q.value_text('p')} END AS key
-    FROM p
+    c AS (SELECT o_orderkey, item, {_P} AS prep FROM s)
+    SELECT o_orderkey, item, CASE WHEN contains(prep, ':') THEN
+      array_to_string({Q.words("regexp_replace(split_part(prep, ':', 1), '[^a-z0-9]+', ' ', 'g')")}, ' ') || ': ' ||
+      {Q.value_text("substr(prep, instr(prep, ':') + 1)")} ELSE {Q.value_text('prep')} END AS key
+    FROM c
     """,
 )
 def normalize_items(t):
@@ -163,9 +163,10 @@ LABELS = ("Q{q} results", "fy {y}", "{d}/{m}", "Sales in {y}", "part {p}", "Marc
 
 
 def _labels_sql():
-    y, m, d, q = "year(o_orderdate)", "month(o_orderdate)", "day(o_orderdate)", "quarter(o_orderdate)"
-    fill = {"q": y, "y": y, "d": d, "m": m, "p": "o_orderpriority"}
-    fill["q"] = q
+    fill = {
+        "q": "quarter(o_orderdate)", "y": "year(o_orderdate)", "d": "day(o_orderdate)",
+        "m": "month(o_orderdate)", "p": "o_orderpriority",
+    }
     cases = []
     for i, pattern in enumerate(LABELS):
         text = Q.quote(pattern)

@@ -93,7 +93,7 @@ def _scaled(factor: int):
         bits = 52 - math.floor(power * math.log2(10))
         whole = (d * F.lit(2.0**bits)).cast("decimal(18,0)")
         scaled = (whole * F.lit(10**places)).cast("decimal(38,0)")
-        base = F.lit(2**bits).cast("decimal(20,0)")
+        base = F.lit(str(2**bits)).cast("decimal(20,0)")
 
         def rounded(x: Column) -> Column:
             rest = x % base

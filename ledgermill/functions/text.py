@@ -83,33 +83,51 @@ def replace_matches(c: Column, pattern: str, replacement) -> Column:
 def _scaled(factor: int):
     """``12.5 million`` -> `` 12500000 ``; other results print in short form."""
 
-    def six_digits(d: Column, power: int) -> Column:
-        """``10**power <= d < 10**(power+1)`` with six significant digits.
+    def six_digits(d: Column) -> Column:
+        """Six significant digits of ``1e-4 <= d < 1e6``, without zeros at the end.
 
         ``d`` is an integer over a power of two, so rounding (half to even) is
         decided exactly, on integers.
         """
-        places = 5 - power
-        bits = 52 - math.floor(power * math.log2(10))
-        whole = (d * F.lit(2.0**bits)).cast("decimal(18,0)")
-        scaled = (whole * F.lit(10**places)).cast("decimal(38,0)")
-        base = F.lit(str(2**bits)).cast("decimal(20,0)")
-
-        def rounded(x: Column) -> Column:
-            rest = x % base
-            low = ((x - rest) / base).cast("decimal(18,0)")
-            up = (rest * 2 > base) | ((rest * 2 == base) & (low % 2 == 1))
-            return (low + F.when(up, 1).otherwise(0)).cast("decimal(18,0)")
+        places = F.lit(9)
+        for power in range(-3, 6):
+            places = F.when(d >= F.lit(10.0**power), F.lit(5 - power)).otherwise(places)
+        tens = F.array(*[F.lit(str(10**n)).cast("decimal(11,0)") for n in range(10)])
+        parts = F.struct(
+            d.alias("d"),
+            places.alias("places"),
+            (F.lit(52) - F.floor((F.lit(5) - places) * F.lit(math.log2(10)))).alias("bits"),
+        )
 
-        text = (let(scaled, rounded) / F.lit(10**places)).cast(f"decimal(27,{places})").cast("string")
-        return F.regexp_replace(text, r"\.0*$|(\.\d*?)0+$", "$1") if places else text
+        def scaled(p: Column) -> Column:
+            two = F.pow(F.lit(2.0), p.bits)
+            return F.struct(
+                p.places.alias("places"),
+                two.cast("decimal(20,0)").alias("base"),
+                ((p.d * two).cast("decimal(18,0)") * F.get(tens, p.places))
+                .cast("decimal(38,0)").alias("n"),
+            )
+
+        def rounded(s: Column) -> Column:
+            rest = s.n % s.base
+            low = ((s.n - rest) / s.base).cast("decimal(18,0)")
+            up = (rest * 2 > s.base) | ((rest * 2 == s.base) & (low % 2 == 1))
+            digits = F.lpad(
+                (low + F.when(up, 1).otherwise(0)).cast("bigint").cast("string"),
+                F.greatest(F.length(low.cast("string")) + 1, s.places + 1), F.lit("0"),
+            )
+            return F.concat(
+                F.substring(digits, F.lit(1), F.length(digits) - s.places),
+                F.lit("."),
+                F.substring(digits, F.length(digits) - s.places + 1, s.places),
+            )
+
+        text = let(let(parts, scaled), rounded)
+        return F.regexp_replace(F.regexp_replace(text, r"\.?0*$", ""), r"^0+(?=\d)", "")
 
     def general(d: Column) -> Column:
         scientific = F.regexp_replace(F.format_string("%.5e", d), r"\.?0+e", "e")
-        fixed = F.when((d >= 1e6) | (d < 1e-4), scientific)
-        for power in range(5, -5, -1):
-            fixed = fixed.when(d >= F.lit(10.0**power), six_digits(d, power))
-        return fixed
+        return F.when((d >= 1e6) | (d < 1e-4), scientific).otherwise(six_digits(d))
 
     def body(match: Column) -> Column:
         value = F.regexp_replace(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -58,15 +59,23 @@ def build_postings(docs: DataFrame, key: str = "doc_id", text: str = "content")
     )
 
 
-def corpus_stats(docs: DataFrame, postings: DataFrame) -> DataFrame:
+def raw_idf(df: Column, n_docs: Column) -> Column:
+    return F.log(n_docs - df + 0.5) - F.log(df + 0.5)
+
+
+def document_frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def corpus_stats(docs: DataFrame, postings: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """One row: number of documents, tokens, mean length, vocabulary, mean idf."""
+    terms = document_frequencies(postings) if terms is None else terms
     n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    vocabulary = terms.agg(
-        F.count(F.lit(1)).alias("n_terms"), F.avg(raw_idf(F.col("df"), n_docs)).alias("avg_idf")
-    )
-    tokens = postings.agg(F.sum("tf").alias("n_tokens")).scalar()
-    return vocabulary.select(
+    tokens = postings.agg(F.sum("tf")).scalar()
+    return terms.agg(
+        F.count(F.lit(1)).alias("n_terms"),
+        F.avg(raw_idf(F.col("df"), n_docs)).alias("avg_idf"),
+    ).select(
         n_docs.cast("long").alias("n_docs"),
         tokens.alias("n_tokens"),
         F.try_divide(tokens.cast("double"), n_docs).alias("avg_dl"),
@@ -75,25 +84,41 @@ def corpus_stats(docs: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
-def raw_idf(df: Column, n_docs: Column) -> Column:
-    return F.log(n_docs - df + 0.5) - F.log(df + 0.5)
+@dataclass
+class LexicalIndex:
+    """Postings, term weights and the corpus figures BM25 needs.
 
+    The tables are written to the shared folder: they are read several times
+    by every batch of questions, and the tokens of a corpus are made once.
+    """
+
+    postings: DataFrame
+    terms: DataFrame
+    avg_dl: float
+
+    @classmethod
+    def build(cls, docs: DataFrame, key: str = "doc_id", text: str = "content") -> LexicalIndex:
+        postings = cut_lineage(build_postings(docs, key, text), "postings")
+        counts = cut_lineage(document_frequencies(postings), "terms")
+        stats = corpus_stats(docs, postings, counts).first()
+        return cls(
+            postings,
+            term_weights(counts, stats["n_docs"], stats["avg_idf"] or 0.0),
+            stats["avg_dl"] or 1.0,
+        )
 
-def term_weights(docs: DataFrame, postings: DataFrame) -> DataFrame:
+
+def term_weights(terms: DataFrame, n_docs: int, avg_idf: float) -> DataFrame:
     """``(term, df, idf)``; a negative idf is replaced by a quarter of the mean."""
-    n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
-    mean_idf = corpus_stats(docs, postings).select("avg_idf").scalar()
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = raw_idf(F.col("df"), n_docs)
+    raw = raw_idf(F.col("df"), F.lit(float(n_docs)))
     return terms.withColumn(
-        "idf", F.when(raw < 0, F.lit(C.BM25_EPSILON) * mean_idf).otherwise(raw)
+        "idf", F.when(raw < 0, F.lit(C.BM25_EPSILON * avg_idf)).otherwise(raw)
     )
 
 
 def bm25_scores(
     queries: DataFrame,
-    docs: DataFrame,
-    postings: DataFrame,
+    index: LexicalIndex,
     *,
     k1: float = C.BM25_K1,
     b: float = C.BM25_B,
@@ -109,17 +134,16 @@ def bm25_scores(
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    weighted = q_terms.join(term_weights(docs, postings), "term").select(
+    weighted = q_terms.join(index.terms, "term").select(
         "query_id",
         "term",
         (F.col("qtf") * F.col("idf")).alias("_w"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
     )
-    average = corpus_stats(docs, postings).select("avg_dl").scalar()
-    salted = postings.withColumn(
+    salted = index.postings.withColumn(
         "_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
     )
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / average)
+    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(index.avg_dl))
     part = F.col("_w") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
     return (
         salted.join(weighted, ["term", "_salt"])
@@ -130,22 +154,17 @@ def bm25_scores(
 
 def bm25_topk(
     queries: DataFrame,
-    docs: DataFrame,
+    docs: DataFrame | LexicalIndex,
     k: int,
-    *,
-    postings: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """Best ``k`` documents per question with a positive BM25 score.
 
-    ``queries(query_id, text)``, ``docs(doc_id, content)``. The postings are
-    read several times, so they are written once to the shared folder unless
-    given.
+    ``queries(query_id, text)``; the corpus is ``docs(doc_id, content)`` or an
+    index built from it.
     """
-    if postings is None:
-        postings = cut_lineage(build_postings(docs), "postings")
-    scores = bm25_scores(queries, docs, postings, **options).filter("score > 0")
-    return ranked(scores, k)
+    index = docs if isinstance(docs, LexicalIndex) else LexicalIndex.build(docs)
+    return ranked(bm25_scores(queries, index, **options).filter("score > 0"), k)
 
 
 # --------------------------------------------------------------------------
@@ -397,11 +416,10 @@ def graded_context(hits: DataFrame, docs: DataFrame, grades: DataFrame) -> DataF
 
 def hybrid_candidates(
     queries: DataFrame,
-    docs: DataFrame,
+    docs: DataFrame | LexicalIndex,
     vectors: DataFrame,
     k: int,
     *,
-    postings: DataFrame | None = None,
     metric: str = "cosine",
 ) -> DataFrame:
     """BM25 and vector hits of every question variant, fused per question.
@@ -415,7 +433,7 @@ def hybrid_candidates(
     ).withColumn("_id", F.xxhash64("_pair"))
     names = keyed.select("_id", F.col("_pair.query_id").alias("_q"))
     legs = [
-        bm25_topk(keyed.select(F.col("_id").alias("query_id"), "text"), docs, k, postings=postings),
+        bm25_topk(keyed.select(F.col("_id").alias("query_id"), "text"), docs, k),
         vector_topk(
             keyed.filter(F.col("embedding").isNotNull()).select(F.col("_id").alias("query_id"), "embedding"),
             vectors, k, metric=metric,

@@ -111,9 +111,7 @@ def corpus_stats(t):
     f"WITH {TERMS} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM w",
 )
 def term_weights(t):
-    docs = corpus(t)
-    postings = cut_lineage(R.build_postings(docs), "postings")
-    return R.term_weights(docs, postings).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.LexicalIndex.build(corpus(t)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bm")
@@ -152,7 +150,7 @@ def elbow_cut(t):
 
 def graded(t):
     """Fused, deduped, cut and graded hits; labels stand in for grades."""
-    candidates = R.elbow_cut(dedupe_hits(t))
+    candidates = cut_lineage(R.elbow_cut(dedupe_hits(t)), "candidates")
     quality, toxic = F.col("quality"), F.col("toxic")
     grades = candidates.join(t.labels, "doc_id").select(
         "query_id", "doc_id",

@@ -41,7 +41,7 @@ def token_budget(
             F.when(late, F.struct((F.col("_slice") + 1).alias("slice"), F.lit(False).alias("own"))),
         )
     )
-    spread = placed.drop("_slice").select("*", F.inline(copies))
+    spread = placed.select("*", F.inline(copies)).drop("_slice")
     frame = (
         Window.partitionBy("model", "slice").orderBy("_us").rangeBetween(-reach, 0)
     )

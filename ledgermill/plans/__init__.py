@@ -1,2 +1,2 @@
-from . import document_queries, retrieval_queries, text_queries  # noqa: F401
+from . import answer_queries, document_queries, evaluation_queries, finance_queries, retrieval_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -42,8 +42,10 @@ def duck(folder):
 
 
 def compare(spark, con, folder, name, query, sql):
+    compare.started = time.time()
     df = query(spark, folder)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    compare.spark_seconds = time.time() - compare.started
     kinds = dict(df.dtypes)
     if sql is None:
         return len(got[1]), "rows only", kinds
@@ -83,13 +85,13 @@ def main(argv):
     for name, query in queries().items():
         if argv[1:] and not any(name.startswith(p) for p in argv[1:]):
             continue
-        start = time.time()
+        start, compare.spark_seconds = time.time(), 0.0
         try:
             n, verdict, _ = compare(spark, con, folder, name, query, sql.get(name))
         except Exception as error:  # keep going, report at the end
             n, verdict = -1, f"{type(error).__name__}: {str(error)[:1200]}"
         bad += verdict not in ("ok", "rows only")
-        print(f"{name:32s} {n:7d} {time.time() - start:6.2f}s {verdict}", flush=True)
+        print(f"{name:32s} {n:7d} {compare.spark_seconds:6.2f}s {time.time() - start - compare.spark_seconds:6.2f}s {verdict}", flush=True)
     print("failed:", bad)
 
 

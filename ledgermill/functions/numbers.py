@@ -42,67 +42,55 @@ def prepare_plain(c: Column) -> Column:
     return text
 
 
-def canonical_number(raw: Column) -> Column:
-    """``(1,250.50) `` -> `` num_neg1250p5 ``; ``5%`` -> `` pct_5 ``.
-
-    Scaling moves the decimal point in the digit string, so figures of any
-    length stay exact.
-    """
-
-    def body(r: Column) -> Column:
-        digits = F.regexp_replace(r, "[^0-9.]", "")
-        unit = F.regexp_extract(
-            r, r"(percent|percentage|million|mn|m|billion|bn|b|thousand|k|%)\s*$", 1
-        )
-        negative = r.startswith("-") | (r.startswith("(") & r.endswith(")"))
-        shift = F.lit(0)
-        for name, power in C.UNIT_SHIFTS.items():
-            shift = F.when(unit == name, F.lit(power)).otherwise(shift)
-        parts = F.struct(
-            F.regexp_extract(digits, r"^([0-9]*)", 1).alias("whole"),
-            F.regexp_extract(digits, r"\.([0-9]*)$", 1).alias("frac"),
-            shift.alias("shift"),
-            F.when(negative, F.lit("neg")).otherwise(F.lit("")).alias("sign"),
-            F.when(unit.isin(*C.PERCENT_UNITS), F.lit("pct")).otherwise(F.lit("num")).alias("kind"),
-        )
+_SHIFT = "CASE p.unit " + " ".join(
+    f"WHEN '{unit}' THEN {power}" for unit, power in C.UNIT_SHIFTS.items()
+) + " ELSE 0 END"
+_PERCENT = ", ".join(f"'{unit}'" for unit in C.PERCENT_UNITS)
+
+# ``(1,250.50)`` -> `` num_neg1250p5 ``; ``5%`` -> `` pct_5 ``. Scaling moves the
+# decimal point in the digit string, so figures of any length stay exact.
+CANONICAL = rf"""m -> transform(transform(transform(transform(
+  array(lower(regexp_replace(m, r'^\s+|\s+$', ''))),
+  r -> named_struct(
+    'unit', regexp_extract(r, r'(percent|percentage|million|mn|m|billion|bn|b|thousand|k|%)\s*$', 1),
+    'digits', regexp_replace(r, '[^0-9.]', ''),
+    'sign', IF(startswith(r, '-') OR (startswith(r, '(') AND endswith(r, ')')), 'neg', ''))),
+  p -> named_struct(
+    'head', concat(IF(p.unit IN ({_PERCENT}), 'pct_', 'num_'), p.sign),
+    'whole', substring_index(p.digits, '.', 1),
+    'frac', IF(contains(p.digits, '.'), substring_index(p.digits, '.', -1), ''),
+    'shift', {_SHIFT})),
+  p -> named_struct('head', p.head, 'whole', p.whole, 'shift', p.shift,
+    'frac', rpad(p.frac, greatest(length(p.frac), p.shift), '0'))),
+  p -> concat(' ', p.head,
+    regexp_replace(concat(p.whole, substring(p.frac, 1, p.shift)), '^0+(?=[0-9])', ''),
+    regexp_replace(concat('p', substring(p.frac, p.shift + 1)), 'p?0*$', ''), ' '))[0]"""
 
-        def shifted(p: Column) -> Column:
-            padded = F.rpad(p.frac, F.greatest(F.length(p.frac), p.shift), F.lit("0"))
-            return F.struct(
-                F.regexp_replace(
-                    F.concat(p.whole, F.substring(padded, F.lit(1), p.shift)), "^0+(?=[0-9])", ""
-                ).alias("whole"),
-                F.regexp_replace(
-                    F.substring(padded, p.shift + 1, F.lit(2147483647)), "0+$", ""
-                ).alias("frac"),
-                p.sign.alias("sign"),
-                p.kind.alias("kind"),
-            )
 
-        return let(
-            let(parts, shifted),
-            lambda s: F.concat(
-                F.lit(" "), s.kind, F.lit("_"), s.sign, s.whole,
-                F.when(s.frac != "", F.concat(F.lit("p"), s.frac)).otherwise(F.lit("")),
-                F.lit(" "),
-            ),
-        )
-
-    return let(F.lower(strip(raw)), body)
+def canonical_number(raw: Column) -> Column:
+    """A figure with sign, separators and unit as one token between spaces."""
+    return F.call_function("transform", F.array(raw), F.expr(CANONICAL))[0]
 
 
 def value_tokens(prepared: Column) -> Column:
     """Canonical figures and words of a prepared text, unsorted."""
-    text = replace_matches(prepared, NUMBER, canonical_number)
+    text = replace_matches(prepared, NUMBER, CANONICAL)
     return words_of(F.regexp_replace(text, r"[^a-z0-9_\u0600-\u06ff]+", " "))
 
 
 def _figures(prepared: Column) -> Column:
-    return F.array_distinct(
-        F.filter(
-            value_tokens(prepared),
-            lambda t: t.startswith("num_") | t.startswith("pct_"),
-        )
+    """Distinct figures; words cannot take their place, as those never start
+    with the figures' prefixes unless the text spells one out."""
+    return let(
+        prepared,
+        lambda t: F.when(
+            t.rlike("[0-9]"),
+            F.array_distinct(
+                F.filter(
+                    value_tokens(t), lambda w: w.startswith("num_") | w.startswith("pct_")
+                )
+            ),
+        ).otherwise(F.array().cast("array<string>")),
     )
 
 

@@ -13,7 +13,6 @@ from .. import constants as C
 # word boundaries are written with this class.
 WORD = r"\p{L}\p{N}_"
 DIACRITICS = r"[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED]"
-TOKEN_DIACRITICS = r"[\u064B-\u065F\u0670]"
 
 
 def let(value: Column, body) -> Column:
@@ -43,7 +42,7 @@ def ascii_digits(c: Column) -> Column:
 
 def words_of(c: Column) -> Column:
     """Non-empty pieces between whitespace."""
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(c, r"\s+", -1), "")
 
 
 def contains_any(c: Column, phrases) -> Column:
@@ -56,16 +55,18 @@ def _literal(phrase: str) -> str:
     return "".join("\\" + ch if ch in r".^$*+?{}[]\|()" else ch for ch in phrase)
 
 
-def replace_matches(c: Column, pattern: str, replacement) -> Column:
-    """Replace each match of ``pattern`` by ``replacement(match)``."""
+def replace_matches(c: Column, pattern: str, replacement: str) -> Column:
+    """Replace each match of ``pattern`` by a SQL lambda ``m -> …`` of it."""
     return let(
         c,
         lambda t: F.array_join(
             F.zip_with(
                 F.split(t, pattern, -1),
                 F.concat(
-                    F.transform(
-                        F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), replacement
+                    F.call_function(
+                        "transform",
+                        F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
+                        F.expr(replacement),
                     ),
                     F.array(F.lit("")),
                 ),
@@ -80,72 +81,33 @@ def replace_matches(c: Column, pattern: str, replacement) -> Column:
 # tokens for lexical search
 # --------------------------------------------------------------------------
 
-def _scaled(factor: int):
-    """``12.5 million`` -> `` 12500000 ``; other results print in short form."""
-
-    def six_digits(d: Column) -> Column:
-        """Six significant digits of ``1e-4 <= d < 1e6``, without zeros at the end.
-
-        ``d`` is an integer over a power of two, so rounding (half to even) is
-        decided exactly, on integers.
-        """
-        places = F.lit(9)
-        for power in range(-3, 6):
-            places = F.when(d >= F.lit(10.0**power), F.lit(5 - power)).otherwise(places)
-        tens = F.array(*[F.lit(str(10**n)).cast("decimal(11,0)") for n in range(10)])
-        parts = F.struct(
-            d.alias("d"),
-            places.alias("places"),
-            (F.lit(52) - F.floor((F.lit(5) - places) * F.lit(math.log2(10)))).alias("bits"),
-        )
-
-        def scaled(p: Column) -> Column:
-            two = F.pow(F.lit(2.0), p.bits)
-            return F.struct(
-                p.places.alias("places"),
-                two.cast("decimal(20,0)").alias("base"),
-                ((p.d * two).cast("decimal(18,0)") * F.get(tens, p.places))
-                .cast("decimal(38,0)").alias("n"),
-            )
-
-        def rounded(s: Column) -> Column:
-            rest = s.n % s.base
-            low = ((s.n - rest) / s.base).cast("decimal(18,0)")
-            up = (rest * 2 > s.base) | ((rest * 2 == s.base) & (low % 2 == 1))
-            digits = F.lpad(
-                (low + F.when(up, 1).otherwise(0)).cast("bigint").cast("string"),
-                F.greatest(F.length(low.cast("string")) + 1, s.places + 1), F.lit("0"),
-            )
-            return F.concat(
-                F.substring(digits, F.lit(1), F.length(digits) - s.places),
-                F.lit("."),
-                F.substring(digits, F.length(digits) - s.places + 1, s.places),
-            )
-
-        text = let(let(parts, scaled), rounded)
-        return F.regexp_replace(F.regexp_replace(text, r"\.?0*$", ""), r"^0+(?=\d)", "")
-
-    def general(d: Column) -> Column:
-        scientific = F.regexp_replace(F.format_string("%.5e", d), r"\.?0+e", "e")
-        return F.when((d >= 1e6) | (d < 1e-4), scientific).otherwise(six_digits(d))
-
-    def body(match: Column) -> Column:
-        value = F.regexp_replace(
-            F.regexp_extract(match, r"^([0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", ""
-        ).cast("double") * F.lit(float(factor))
-        return let(
-            value,
-            lambda d: F.concat(
-                F.lit(" "),
-                F.when(
-                    (d == F.floor(d)) & (d < 1e37),
-                    d.cast("decimal(38,0)").cast("string"),
-                ).otherwise(general(d)),
-                F.lit(" "),
-            ),
-        )
-
-    return body
+def _scaled(factor: int) -> str:
+    """SQL lambda: ``12.5 million`` -> `` 12500000 ``.
+
+    Results that are not whole are written with six significant digits. A
+    double is an integer over a power of two, so rounding (half to even) is
+    decided exactly, on integers.
+    """
+    places = " ".join(f"WHEN d >= 1e{p}D THEN {5 - p}" for p in range(5, -4, -1))
+    digits = (
+        "lpad(CAST(CAST((n - n % base) / base AS DECIMAL(18,0)) + IF(n % base * 2 > base OR (n % base * 2 = base"
+        " AND CAST((n - n % base) / base AS DECIMAL(18,0)) % 2 = 1), 1, 0) AS STRING),"
+        " greatest(length(CAST(CAST((n - n % base) / base AS DECIMAL(18,0)) AS STRING)), places + 1), '0')"
+    ).replace("base", "s.base").replace("places", "s.places").replace("n %", "s.n %").replace("(n -", "(s.n -")
+    return rf"""m -> transform(
+      transform(array(CAST(replace(regexp_extract(m, '^([0-9][0-9,]*(?:[.][0-9]+)?)', 1), ',', '') AS DOUBLE) * {factor}D),
+        d -> CASE
+          WHEN d = floor(d) AND d < 1e37D THEN CAST(CAST(d AS DECIMAL(38,0)) AS STRING)
+          WHEN d >= 1e6D OR d < 1e-4D THEN regexp_replace(format_string('%.5e', d), '[.]?0+e', 'e')
+          ELSE transform(transform(transform(
+            array(named_struct('d', d, 'places', CASE {places} ELSE 9 END)),
+            p -> named_struct('d', p.d, 'places', p.places, 'two', pow(2D, 52 - floor((5 - p.places) * {math.log2(10)}D)))),
+            p -> named_struct('places', p.places, 'base', CAST(p.two AS DECIMAL(20,0)),
+              'n', CAST(CAST(p.d * p.two AS DECIMAL(18,0)) * CAST(pow(10D, p.places) AS DECIMAL(11,0)) AS DECIMAL(38,0)))),
+            s -> transform(array({digits}), g -> regexp_replace(
+              concat(substring(g, 1, length(g) - s.places), '.', substring(g, length(g) - s.places + 1)), '[.]?0*$', ''))[0])[0]
+        END),
+      x -> concat(' ', x, ' '))[0]"""
 
 
 def _scale_words(c: Column, units: str, factor: int) -> Column:
@@ -160,20 +122,31 @@ def _scale_words(c: Column, units: str, factor: int) -> Column:
     )
 
 
+# No-break spaces become spaces, Arabic digits ASCII ones; the diacritics have
+# no counterpart and are dropped.
+_TOKEN_FROM = "\u00a0\u202f" + C.ARABIC_DIGITS + "".join(map(chr, range(0x64B, 0x660))) + "\u0670"
+_TOKEN_TO = "  " + C.ASCII_DIGITS
+
+
 def tokenize(c: Column) -> Column:
     """Lexical-search tokens. Purely numeric tokens are listed twice, so that
     figures weigh double in term frequency and document length."""
-    text = F.regexp_replace(plain_spaces(c), TOKEN_DIACRITICS, "")
-    text = ascii_digits(text)
-    text = _scale_words(text, "million|mn|m", 1_000_000)
-    text = _scale_words(text, "billion|bn|b", 1_000_000_000)
-    text = _scale_words(text, "thousand|k", 1_000)
-    text = F.lower(F.regexp_replace(text, rf"[^{WORD}\s]", " "))
+
+    def scaled(t: Column) -> Column:
+        for units, factor in (("million|mn|m", 10**6), ("billion|bn|b", 10**9), ("thousand|k", 1000)):
+            t = _scale_words(t, units, factor)
+        return t
+
+    def tokens(t: Column) -> Column:
+        words = F.array_remove(F.split(F.lower(t), rf"[^{WORD}]+", -1), "")
+        figures = F.regexp_extract_all(
+            t, F.lit(rf"(?<![{WORD}])[0-9]+(?![{WORD}])"), F.lit(0)
+        )
+        return F.when(t.rlike("[0-9]"), F.concat(words, figures)).otherwise(words)
+
+    text = F.translate(c, _TOKEN_FROM, _TOKEN_TO)
     return let(
-        words_of(text),
-        lambda tokens: F.concat(
-            tokens, F.filter(tokens, lambda t: t.rlike(r"^[0-9]+$"))
-        ),
+        let(text, lambda t: F.when(t.rlike("[0-9]"), scaled(t)).otherwise(t)), tokens
     )
 
 
@@ -250,5 +223,6 @@ def is_time_label(c: Column) -> Column:
 
 def clean_words(c: Column) -> Column:
     """Lower-cased words without punctuation, as a distinct array."""
-    text = F.regexp_replace(F.lower(plain_spaces(c)), rf"[^{WORD}\s]", " ")
-    return F.array_distinct(words_of(text))
+    return F.array_distinct(
+        F.array_remove(F.split(F.lower(c), rf"[^{WORD}]+", -1), "")
+    )

@@ -368,7 +368,7 @@ def full_table_documents(t):
 
 def corpus(t):
     return D.union_documents(
-        t.documents.select("doc_id", F.col("text").alias("content"), "source")
+        t.spread("documents").select("doc_id", F.col("text").alias("content"), "source")
     )
 
 

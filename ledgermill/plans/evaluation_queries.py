@@ -31,7 +31,7 @@ def item_pairs(t):
         F.struct(F.lit("retrieved").alias("side"), retrieved.alias("item")),
         F.struct(F.lit("relevant").alias("side"), relevant.alias("item")),
     )
-    return t.lineitem.select(F.col("l_orderkey").alias("entry_id"), F.inline(sides)).filter(
+    return t.spread("lineitem").select(F.col("l_orderkey").alias("entry_id"), F.inline(sides)).filter(
         F.col("item").isNotNull()
     )
 
@@ -250,7 +250,7 @@ def chat_log(t):
         F.when(key % 10 != 5, sources).alias("source_texts"),
     )
     body = F.to_json(entry)
-    return t.orders.select(
+    return t.spread("orders").select(
         key.alias("entry_id"), F.when(key % 50 == 49, F.lit("not json")).otherwise(body).alias("entry_json"),
     )
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import open_table
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -23,7 +25,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return open_table(self.spark, f"{self.folder}/{name}.parquet")
+
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is costly per row."""
+        return open_table(self.spark, f"{self.folder}/{name}.parquet", spread=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -24,7 +24,7 @@ def joined(c):
     """,
 )
 def tokenize_documents(t):
-    return t.documents.select("doc_id", T.tokenize(F.col("text")).alias("tok")).select(
+    return t.spread("documents").select("doc_id", T.tokenize(F.col("text")).alias("tok")).select(
         "doc_id", F.size("tok").cast("long").alias("n_tokens"), F.md5(joined("tok")).alias("tokens_md5")
     )
 
@@ -53,7 +53,7 @@ def tokenize_scaled_amounts(t):
         F.col("o_orderkey") % 3 == 0, F.floor("o_totalprice").cast("long").cast("string")
     ).otherwise((F.col("o_totalprice").cast("decimal(18,2)") * F.lit(0.001).cast("decimal(4,3)")).cast("decimal(18,5)").cast("string"))
     text = F.concat(F.lit("Total "), amount, F.lit(" "), unit, F.lit(", and "), amount, unit, F.lit("! in 5m2"))
-    return t.orders.select(
+    return t.spread("orders").select(
         "o_orderkey", F.array_join(T.tokenize(text), " ").alias("tokens")
     )
 
@@ -66,7 +66,7 @@ def tokenize_scaled_amounts(t):
     """,
 )
 def material_numbers(t):
-    return t.documents.select("doc_id", N.material_numbers(F.col("text")).alias("f")).select(
+    return t.spread("documents").select("doc_id", N.material_numbers(F.col("text")).alias("f")).select(
         "doc_id", F.size("f").cast("long").alias("n_figures"),
         F.array_join(F.array_sort("f"), " ").alias("figures"),
     )
@@ -80,7 +80,7 @@ def material_numbers(t):
     """,
 )
 def meaningful_words(t):
-    return t.documents.select("doc_id", N.meaningful_words(F.col("text")).alias("w")).select(
+    return t.spread("documents").select("doc_id", N.meaningful_words(F.col("text")).alias("w")).select(
         "doc_id", F.size("w").cast("long").alias("n_words"),
         F.md5(F.array_join(F.array_sort("w"), " ")).alias("words_md5"),
     )
@@ -94,7 +94,7 @@ def meaningful_words(t):
     """,
 )
 def financial_items(t):
-    return t.documents.select("doc_id", N.extract_items(F.col("text")).alias("i")).select(
+    return t.spread("documents").select("doc_id", N.extract_items(F.col("text")).alias("i")).select(
         "doc_id", F.size("i").cast("long").alias("n_items"), joined(F.array_sort("i")).alias("items")
     )
 
@@ -110,7 +110,7 @@ def spelled(t):
     text = F.when(F.col("o_orderkey") % 2 == 0, F.format_number(amount, 2)).otherwise(amount.cast("string"))
     before = F.element_at(F.array(*[F.lit(a) for a, _ in SPELLINGS]), (F.col("o_orderkey") % 8 + 1).cast("int"))
     after = F.element_at(F.array(*[F.lit(b) for _, b in SPELLINGS]), (F.col("o_orderkey") % 8 + 1).cast("int"))
-    return t.orders.select("o_orderkey", F.concat(before, text, after).alias("item"))
+    return t.spread("orders").select("o_orderkey", F.concat(before, text, after).alias("item"))
 
 
 def spelled_sql():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -20,6 +20,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row, here.
+
+    A plain projection may be merged into later filters and projections, which
+    would parse or tokenize the same text several times, or before a
+    repartition; the output of a generator may not.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline_outer(F.array(row)))
+
+
 def plain_spaces(c: Column) -> Column:
     return F.translate(c, "\u00a0\u202f", "  ")
 

@@ -15,7 +15,7 @@ from ..functions.numbers import (
     number_tokens_plain,
     word_tokens_plain,
 )
-from ..functions.text import clean_words, let, redact_models, strip
+from ..functions.text import clean_words, let, redact_models, settle, strip
 
 RETRIEVED, RELEVANT = "retrieved", "relevant"
 
@@ -92,12 +92,15 @@ def evaluate(
         per_entry = entries.select("entry_id").join(per_entry, "entry_id", "left").fillna(
             0, ["tp", "fp", "fn"]
         )
-    counts = per_entry.rollup("entry_id").agg(
+    return with_metrics(_with_total(per_entry))
+
+
+def _with_total(per_entry: DataFrame) -> DataFrame:
+    return per_entry.rollup("entry_id").agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")],
         (F.grouping("entry_id") == 1).alias("is_total"),
         F.count(F.lit(1)).alias("n_entries"),
     )
-    return with_metrics(counts)
 
 
 def categorized_errors(items: DataFrame) -> DataFrame:
@@ -367,54 +370,52 @@ def history_records(
     on) is what grounding accepts. Each entry is read and judged in its row.
     """
     fields = F.col("_f")
-    parsed = (
-        entries.withColumn("_f", J.parse_object(F.col("entry_json")))
-        .filter(fields.isNotNull() & J.has_field(fields, retrieved_key, C.RETRIEVED_FIELDS))
-        .select(
-            "entry_id",
-            F.coalesce(J.variant_text(F.try_element_at(fields, F.lit("question"))), F.lit("")).alias("question"),
-            J.item_set(J.field_by_alias(fields, retrieved_key, C.RETRIEVED_FIELDS)).alias("original_retrieved"),
-            J.has_field(fields, None, C.SOURCE_FIELDS).alias("_has_source"),
-            J.has_field(fields, relevant_key, C.EXPLICIT_RELEVANT_FIELDS).alias("_has_relevant"),
-            J.field_by_alias(fields, None, C.SOURCE_FIELDS).alias("_source"),
-            J.field_by_alias(fields, relevant_key, C.EXPLICIT_RELEVANT_FIELDS).alias("_relevant"),
-        )
+    explicit = F.col("_explicit")
+    none = F.array().cast("array<string>")
+    parsed = settle(entries.select("entry_id", "entry_json"), _f=J.parse_object(F.col("entry_json")))
+    parsed = settle(
+        parsed.filter(fields.isNotNull() & J.has_field(fields, retrieved_key, C.RETRIEVED_FIELDS)),
+        question=F.coalesce(J.variant_text(F.try_element_at(fields, F.lit("question"))), F.lit("")),
+        original_retrieved=J.item_set(J.field_by_alias(fields, retrieved_key, C.RETRIEVED_FIELDS)),
+        _has_source=J.has_field(fields, None, C.SOURCE_FIELDS),
+        _has_relevant=J.has_field(fields, relevant_key, C.EXPLICIT_RELEVANT_FIELDS),
+        _source=J.field_by_alias(fields, None, C.SOURCE_FIELDS),
+        _relevant=J.field_by_alias(fields, relevant_key, C.EXPLICIT_RELEVANT_FIELDS),
     )
     repeats = F.lit(False) if relevant_key is not None else (
-        F.col("_has_source") & F.col("_has_relevant")
-        & F.to_json("_relevant").eqNullSafe(F.to_json("_source"))
-    )
-    parsed = parsed.withColumn("_explicit", F.col("_has_relevant") & ~repeats).filter(
-        F.col("_explicit") | F.col("_has_source")
-    )
-    explicit = parsed.filter("_explicit").select(
-        "entry_id", "question", "original_retrieved",
-        F.array().cast("array<string>").alias("source_items"),
-        F.array().cast("array<string>").alias("source_texts"),
-        (dedupe_array(F.col("original_retrieved")) if apply_filter else F.col("original_retrieved")).alias(RETRIEVED),
-        J.item_set(F.col("_relevant")).alias(RELEVANT),
-        F.lit(False).alias("precision_filter_applied"),
-    )
-    derived = parsed.filter(~F.col("_explicit")).select(
-        "entry_id", "question", "original_retrieved",
-        J.item_set(F.col("_source")).alias("source_items"),
-        J.raw_texts(F.col("_source")).alias("source_texts"),
-    )
-    supported = supported_items(F.col("original_retrieved"), F.col("source_items"))
+        F.col("_has_source") & F.to_json("_relevant").eqNullSafe(F.to_json("_source"))
+    )
+    parsed = settle(
+        settle(parsed, _explicit=F.col("_has_relevant") & ~repeats).filter(
+            explicit | F.col("_has_source")
+        ),
+        source_items=F.when(explicit, none).otherwise(J.item_set(F.col("_source"))),
+        source_texts=F.when(explicit, none).otherwise(J.raw_texts(F.col("_source"))),
+        _reference=F.when(explicit, J.item_set(F.col("_relevant"))),
+    )
+    judged = {"_supported": supported_items(F.col("original_retrieved"), F.col("source_items"))}
     if apply_filter:
         decisions = grounding_decisions(
             F.col("original_retrieved"), F.col("source_items"), F.col("question")
         )
-        accepted = F.transform(F.filter(decisions, lambda d: d.accepted), lambda d: d["item"])
-        derived = derived.withColumns(
-            {RETRIEVED: dedupe_array(accepted), RELEVANT: dedupe_array(supported)}
+        judged["_accepted"] = F.transform(
+            F.filter(decisions, lambda d: d.accepted), lambda d: d["item"]
         )
-    else:
-        derived = derived.withColumns(
-            {RETRIEVED: F.col("original_retrieved"), RELEVANT: supported}
-        )
-    derived = derived.withColumn("precision_filter_applied", F.lit(apply_filter))
-    return explicit.unionByName(derived)
+    records = settle(parsed, **{n: F.when(~explicit, c) for n, c in judged.items()})
+    tidy = dedupe_array if apply_filter else (lambda items: items)
+    accepted = F.col("_accepted") if apply_filter else F.col("original_retrieved")
+    kept = F.when(explicit, F.col("original_retrieved")).otherwise(accepted)
+    return settle(
+        records,
+        **{
+            RETRIEVED: tidy(kept),
+            RELEVANT: F.when(explicit, F.col("_reference")).otherwise(tidy(F.col("_supported"))),
+            "precision_filter_applied": ~explicit & F.lit(apply_filter),
+        },
+    ).select(
+        "entry_id", "question", "original_retrieved", "source_items", "source_texts",
+        RETRIEVED, RELEVANT, "precision_filter_applied",
+    )
 
 
 def record_items(records: DataFrame) -> DataFrame:
@@ -430,9 +431,25 @@ def record_items(records: DataFrame) -> DataFrame:
     )
 
 
+def evaluate_records(records: DataFrame, normalize: bool = True) -> DataFrame:
+    """Like :func:`evaluate`, for records that hold both sides as arrays.
+
+    Each record is counted in its row; only the counts are aggregated.
+    """
+    keys = lambda items: F.array_distinct(
+        F.transform(items, normalize_item) if normalize else items
+    )
+    counted = settle(records, _r=keys(F.col(RETRIEVED)), _v=keys(F.col(RELEVANT))).select(
+        "entry_id",
+        F.size(F.array_intersect("_r", "_v")).cast("long").alias("tp"),
+        F.size(F.array_except("_r", "_v")).cast("long").alias("fp"),
+        F.size(F.array_except("_v", "_r")).cast("long").alias("fn"),
+    )
+    return with_metrics(_with_total(counted))
+
+
 def evaluate_history(entries: DataFrame, normalize: bool = True, **options) -> DataFrame:
-    records = history_records(entries, **options)
-    return evaluate(record_items(records), records.select("entry_id"), normalize)
+    return evaluate_records(history_records(entries, **options), normalize)
 
 
 def jsonl_pairs(
@@ -441,7 +458,7 @@ def jsonl_pairs(
     """Item arrays of JSON records that carry both sides."""
     fields = F.col("_f")
     return (
-        entries.withColumn("_f", J.parse_object(F.col("entry_json")))
+        settle(entries.select("entry_id", "entry_json"), _f=J.parse_object(F.col("entry_json")))
         .filter(
             J.has_field(fields, retrieved_key, C.RETRIEVED_FIELDS)
             & J.has_field(fields, relevant_key, C.RELEVANT_FIELDS)
@@ -461,28 +478,28 @@ def false_positives(entries: DataFrame) -> DataFrame:
     read once.
     """
     records = history_records(entries, apply_filter=False)
-    decided = records.withColumn(
-        "_d",
-        grounding_decisions(F.array_sort(F.col(RETRIEVED)), F.col("source_items"), F.col("question")),
-    ).withColumn(
-        "_relevant_keys", F.transform(RELEVANT, normalize_item)
-    ).withColumn(
-        # an explicit reference side is not filtered: all its items are kept
-        "_kept_keys",
-        F.when(
-            F.size("source_texts") > 0,
-            F.transform(F.filter("_d", lambda d: d.accepted), lambda d: normalize_item(d["item"])),
-        ).otherwise(F.transform(RETRIEVED, normalize_item)),
+    decided = settle(
+        records,
+        _d=grounding_decisions(F.array_sort(F.col(RETRIEVED)), F.col("source_items"), F.col("question")),
+        _relevant_keys=F.transform(RELEVANT, normalize_item),
+    )
+    rows = settle(
+        decided.select(
+            "entry_id", "question", "_relevant_keys",
+            # an explicit reference side is not filtered: all its items are kept
+            (F.size("source_texts") == 0).alias("_unfiltered"),
+            F.filter("_d", lambda d: d.accepted)["item"].alias("_accepted"),
+            F.posexplode("_d").alias("_at", "_one"),
+        ),
+        _key=normalize_item(F.col("_one.item")),
+        _kept_keys=F.transform("_accepted", normalize_item),
     )
-    rows = decided.select(
-        "entry_id", "question", "_relevant_keys", "_kept_keys", F.posexplode("_d").alias("_at", "_one")
-    ).withColumn("_key", normalize_item(F.col("_one.item")))
     return rows.filter(~F.array_contains("_relevant_keys", F.col("_key"))).select(
         "entry_id",
         "question",
         (F.col("_at") + 1).cast("long").alias("rank"),
         F.when(
-            F.array_contains("_kept_keys", F.col("_key")),
+            F.col("_unfiltered") | F.array_contains("_kept_keys", F.col("_key")),
             F.lit("normalization_or_support_context_mismatch"),
         ).otherwise(F.col("_one.category")).alias("category"),
         F.col("_one.item").alias("retrieved_item"),
@@ -537,9 +554,7 @@ def validate_judge(responses: DataFrame, raw: str = "raw_response") -> DataFrame
         & (kind("rationale") == "STRING")
         & (F.length(field("rationale").try_cast("string")) <= C.JUDGE_MAX_RATIONALE)
     )
-    checked = responses.withColumn("_f", fields).withColumn(
-        "_ok", F.coalesce(valid, F.lit(False))
-    )
+    checked = settle(settle(responses, _f=fields), _ok=F.coalesce(valid, F.lit(False)))
     ok = F.col("_ok")
     return checked.select(
         *responses.columns,

@@ -12,11 +12,11 @@ from .text import (
     ascii_digits,
     item_has_no_data,
     let,
+    matches,
     plain_spaces,
-    replace_matches,
+    split_at,
     squeeze,
     strip,
-    words_of,
 )
 
 NUMBER = rf"(?i)\(?[-+]?\d[\d,]*(?:\.\d+)?\)?(?:\s*(?:{C.NUMBER_UNITS}))?"
@@ -47,53 +47,65 @@ _SHIFT = "CASE p.unit " + " ".join(
 ) + " ELSE 0 END"
 _PERCENT = ", ".join(f"'{unit}'" for unit in C.PERCENT_UNITS)
 
-# ``(1,250.50)`` -> `` num_neg1250p5 ``; ``5%`` -> `` pct_5 ``. Scaling moves the
+# ``(1,250.50)`` -> ``num_neg1250p5``; ``5%`` -> ``pct_5``. Scaling moves the
 # decimal point in the digit string, so figures of any length stay exact.
-CANONICAL = rf"""m -> transform(transform(transform(transform(
-  array(lower(regexp_replace(m, r'^\s+|\s+$', ''))),
-  r -> named_struct(
-    'unit', regexp_extract(r, r'(percent|percentage|million|mn|m|billion|bn|b|thousand|k|%)\s*$', 1),
-    'digits', regexp_replace(r, '[^0-9.]', ''),
-    'sign', IF(startswith(r, '-') OR (startswith(r, '(') AND endswith(r, ')')), 'neg', ''))),
-  p -> named_struct(
-    'head', concat(IF(p.unit IN ({_PERCENT}), 'pct_', 'num_'), p.sign),
-    'whole', substring_index(p.digits, '.', 1),
-    'frac', IF(contains(p.digits, '.'), substring_index(p.digits, '.', -1), ''),
-    'shift', {_SHIFT})),
-  p -> named_struct('head', p.head, 'whole', p.whole, 'shift', p.shift,
-    'frac', rpad(p.frac, greatest(length(p.frac), p.shift), '0'))),
-  p -> concat(' ', p.head,
-    regexp_replace(concat(p.whole, substring(p.frac, 1, p.shift)), '^0+(?=[0-9])', ''),
-    regexp_replace(concat('p', substring(p.frac, p.shift + 1)), 'p?0*$', ''), ' '))[0]"""
+_PLAIN = "regexp_replace(replace(m, ',', ''), '^0+(?=[0-9])', '')"
+CANONICAL = rf"""m -> CASE
+  WHEN m RLIKE '^[0-9][0-9,]*$' THEN concat('num_', {_PLAIN})
+  WHEN m RLIKE '^[0-9][0-9,]*[.][0-9]+$'
+    THEN concat('num_', regexp_replace(replace({_PLAIN}, '.', 'p'), 'p?0*$', ''))
+  ELSE transform(transform(transform(transform(
+    array(lower(regexp_replace(m, r'^\s+|\s+$', ''))),
+    r -> named_struct(
+      'unit', regexp_extract(r, r'(percent|percentage|million|mn|m|billion|bn|b|thousand|k|%)\s*$', 1),
+      'digits', regexp_replace(r, '[^0-9.]', ''),
+      'sign', IF(startswith(r, '-') OR (startswith(r, '(') AND endswith(r, ')')), 'neg', ''))),
+    p -> named_struct(
+      'head', concat(IF(p.unit IN ({_PERCENT}), 'pct_', 'num_'), p.sign),
+      'whole', substring_index(p.digits, '.', 1),
+      'frac', IF(contains(p.digits, '.'), substring_index(p.digits, '.', -1), ''),
+      'shift', {_SHIFT})),
+    p -> named_struct('head', p.head, 'whole', p.whole, 'shift', p.shift,
+      'frac', rpad(p.frac, greatest(length(p.frac), p.shift), '0'))),
+    p -> concat(p.head,
+      regexp_replace(concat(p.whole, substring(p.frac, 1, p.shift)), '^0+(?=[0-9])', ''),
+      regexp_replace(concat('p', substring(p.frac, p.shift + 1)), 'p?0*$', '')))[0] END"""
 
 
 def canonical_number(raw: Column) -> Column:
-    """A figure with sign, separators and unit as one token between spaces."""
+    """A figure with sign, separators and unit as one token."""
     return F.call_function("transform", F.array(raw), F.expr(CANONICAL))[0]
 
 
-def value_tokens(prepared: Column) -> Column:
-    """Canonical figures and words of a prepared text, unsorted."""
-    text = replace_matches(prepared, NUMBER, CANONICAL)
-    return words_of(F.regexp_replace(text, r"[^a-z0-9_\u0600-\u06ff]+", " "))
+def _figure_list(prepared: Column) -> Column:
+    return F.call_function("transform", matches(prepared, NUMBER), F.expr(CANONICAL))
 
 
-def _figures(prepared: Column) -> Column:
-    """Distinct figures; words cannot take their place, as those never start
-    with the figures' prefixes unless the text spells one out."""
+def value_tokens(prepared: Column) -> Column:
+    """Words and canonical figures of a prepared text, in no meaningful order."""
+    words = matches(F.regexp_replace(prepared, NUMBER, " "), r"[a-z0-9_\u0600-\u06ff]+")
     return let(
         prepared,
-        lambda t: F.when(
-            t.rlike("[0-9]"),
-            F.array_distinct(
-                F.filter(
-                    value_tokens(t), lambda w: w.startswith("num_") | w.startswith("pct_")
-                )
-            ),
-        ).otherwise(F.array().cast("array<string>")),
+        lambda t: F.when(t.rlike("[0-9]"), F.concat(words, _figure_list(t))).otherwise(words),
     )
 
 
+def _figures(prepared: Column) -> Column:
+    """Distinct figures, and words that are spelled like one."""
+
+    def body(t: Column) -> Column:
+        spelled = F.filter(
+            value_tokens(t), lambda w: w.startswith("num_") | w.startswith("pct_")
+        )
+        return F.array_distinct(
+            F.when(t.contains("num_") | t.contains("pct_"), spelled)
+            .when(t.rlike("[0-9]"), _figure_list(t))
+            .otherwise(F.array().cast("array<string>"))
+        )
+
+    return let(prepared, body)
+
+
 def number_tokens(c: Column) -> Column:
     return _figures(prepare(c))
 
@@ -102,21 +114,25 @@ def number_tokens_plain(c: Column) -> Column:
     return _figures(prepare_plain(c))
 
 
-def material_numbers(c: Column) -> Column:
-    """Figures of a text, where the scale in ``3.7/5`` or ``3 out of 4`` is not one."""
+def _without_scales(prepared: Column) -> Column:
+    """Drop the scale in ``3.7/5`` or ``3 out of 4``, which is no figure."""
     edge, open_ = rf"(?![{WORD}])", rf"(?<![{WORD}])"
     scale = (
         r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*"
         rf"(?:/|{open_}من{edge}|{open_}out\s+of{edge})\s*[45]{edge}"
     )
-    return _figures(F.regexp_replace(prepare(c), scale, "$1"))
+    return F.regexp_replace(prepared, scale, "$1")
 
 
-def _words(prepared: Column) -> Column:
+def material_numbers(c: Column) -> Column:
+    return _figures(_without_scales(prepare(c)))
+
+
+def _words(prepared: Column, ignored=C.NON_LABEL_WORDS) -> Column:
     text = F.regexp_replace(prepared, NUMBER, " ")
     return F.array_except(
-        F.regexp_extract_all(text, F.lit(r"[a-z\u0600-\u06ff]{2,}"), F.lit(0)),
-        F.array(*[F.lit(w) for w in C.NON_LABEL_WORDS]),
+        matches(text, r"[a-z\u0600-\u06ff]{2,}"),
+        F.array(*[F.lit(w) for w in ignored]),
     )
 
 
@@ -128,8 +144,31 @@ def word_tokens_plain(c: Column) -> Column:
     return _words(prepare_plain(c))
 
 
+_IGNORED = tuple(dict.fromkeys(C.NON_LABEL_WORDS + C.STOPWORDS))
+
+
 def meaningful_words(c: Column) -> Column:
-    return F.array_except(word_tokens(c), F.array(*[F.lit(w) for w in C.STOPWORDS]))
+    return _words(prepare(c), _IGNORED)
+
+
+def describe(c: Column) -> Column:
+    """Struct of a text, its material figures and its meaningful words."""
+    return let(
+        prepare(c),
+        lambda p: F.struct(
+            c.alias("text"),
+            _figures(_without_scales(p)).alias("numbers"),
+            _words(p, _IGNORED).alias("words"),
+        ),
+    )
+
+
+def describe_plain(c: Column) -> Column:
+    """Struct of the figures and words in the simpler preparation."""
+    return let(
+        prepare_plain(c),
+        lambda p: F.struct(_figures(p).alias("numbers"), _words(p).alias("words")),
+    )
 
 
 def normalize_item(c: Column) -> Column:
@@ -139,9 +178,7 @@ def normalize_item(c: Column) -> Column:
         return F.array_join(F.array_sort(value_tokens(text)), " ")
 
     def label(text: Column) -> Column:
-        return F.array_join(
-            words_of(F.regexp_replace(text, r"[^a-z0-9\u0600-\u06ff]+", " ")), " "
-        )
+        return F.array_join(matches(text, r"[a-z0-9\u0600-\u06ff]+"), " ")
 
     def body(t: Column) -> Column:
         at = F.instr(t, ":")
@@ -159,8 +196,8 @@ def normalize_item(c: Column) -> Column:
 
 def extract_items(c: Column) -> Column:
     """Numeric clauses of an answer or source text, as a distinct array."""
-    pieces = F.split(
-        plain_spaces(c), r"[\n\r]+|(?:\s+[\u2022*-]\s+)|(?:\s+[0-9]+[.)]\s+)|\|", -1
+    pieces = split_at(
+        plain_spaces(c), r"[\n\r]+|(?:\s+[\u2022*-]\s+)|(?:\s+[0-9]+[.)]\s+)|\|"
     )
     pieces = F.transform(
         pieces, lambda p: squeeze(strip(F.regexp_replace(p, r"^\s*[-\u2022*]\s*", "")))
@@ -209,7 +246,7 @@ def text_items(c: Column) -> Column:
 
 
 __all__ = [
-    "canonical_number", "extract_items", "item_has_no_data", "looks_like_blob",
+    "canonical_number", "describe", "describe_plain", "extract_items", "item_has_no_data", "looks_like_blob",
     "material_numbers", "meaningful_words", "normalize_item", "number_tokens",
     "number_tokens_plain", "prepare", "prepare_plain", "text_items",
     "value_tokens", "word_tokens", "word_tokens_plain",

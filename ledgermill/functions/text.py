@@ -53,7 +53,21 @@ def ascii_digits(c: Column) -> Column:
 
 def words_of(c: Column) -> Column:
     """Non-empty pieces between whitespace."""
-    return F.array_remove(F.split(c, r"\s+", -1), "")
+    return matches(c, r"\S+")
+
+
+def matches(c: Column, pattern: str) -> Column:
+    """All matches. Unlike a split, this compiles its pattern only once."""
+    return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+
+
+# U+FFFF is no character, so texts do not hold it.
+_CUT = "\uffff"
+
+
+def split_at(c: Column, pattern: str) -> Column:
+    """Pieces between matches; the pattern is compiled once, not per row."""
+    return F.split(F.regexp_replace(c, pattern, _CUT), _CUT, -1)
 
 
 def contains_any(c: Column, phrases) -> Column:
@@ -72,13 +86,9 @@ def replace_matches(c: Column, pattern: str, replacement: str) -> Column:
         c,
         lambda t: F.array_join(
             F.zip_with(
-                F.split(t, pattern, -1),
+                split_at(t, pattern),
                 F.concat(
-                    F.call_function(
-                        "transform",
-                        F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
-                        F.expr(replacement),
-                    ),
+                    F.call_function("transform", matches(t, pattern), F.expr(replacement)),
                     F.array(F.lit("")),
                 ),
                 lambda gap, new: F.concat(gap, new),
@@ -149,10 +159,8 @@ def tokenize(c: Column) -> Column:
         return t
 
     def tokens(t: Column) -> Column:
-        words = F.array_remove(F.split(F.lower(t), rf"[^{WORD}]+", -1), "")
-        figures = F.regexp_extract_all(
-            t, F.lit(rf"(?<![{WORD}])[0-9]+(?![{WORD}])"), F.lit(0)
-        )
+        words = matches(F.lower(t), rf"[{WORD}]+")
+        figures = matches(t, rf"(?<![{WORD}])[0-9]+(?![{WORD}])")
         return F.when(t.rlike("[0-9]"), F.concat(words, figures)).otherwise(words)
 
     text = F.translate(c, _TOKEN_FROM, _TOKEN_TO)
@@ -234,6 +242,4 @@ def is_time_label(c: Column) -> Column:
 
 def clean_words(c: Column) -> Column:
     """Lower-cased words without punctuation, as a distinct array."""
-    return F.array_distinct(
-        F.array_remove(F.split(F.lower(c), rf"[^{WORD}]+", -1), "")
-    )
+    return F.array_distinct(matches(F.lower(c), rf"[{WORD}]+"))

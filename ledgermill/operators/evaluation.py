@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import jsonvals as J
 from ..functions.numbers import (
+    describe,
+    describe_plain,
     item_has_no_data,
-    material_numbers,
     meaningful_words,
     normalize_item,
-    number_tokens_plain,
-    word_tokens_plain,
 )
 from ..functions.text import clean_words, let, redact_models, settle, strip
 
@@ -205,18 +204,6 @@ def _share(found: Column, wanted: Column) -> Column:
     )
 
 
-def describe_sources(sources: Column) -> Column:
-    """Source items with their figures and words, computed once per entry."""
-    return F.transform(
-        sources,
-        lambda s: F.struct(
-            s.alias("text"),
-            material_numbers(s).alias("numbers"),
-            meaningful_words(s).alias("words"),
-        ),
-    )
-
-
 def query_score(query_words: Column, candidate: Column) -> Column:
     overlap = F.size(F.array_intersect(query_words, candidate))
     share = F.least(
@@ -231,12 +218,6 @@ def query_score(query_words: Column, candidate: Column) -> Column:
 
 def _decide(item: Column, sources: Column, query: Column, query_words: Column) -> Column:
     """Decision about one item, given the described sources of its entry."""
-    described = F.struct(
-        item.alias("text"),
-        material_numbers(item).alias("numbers"),
-        meaningful_words(item).alias("words"),
-    )
-
     def with_best(d: Column) -> Column:
         candidates = F.transform(
             F.filter(sources, lambda s: F.size(s.numbers) > 0),
@@ -286,7 +267,7 @@ def _decide(item: Column, sources: Column, query: Column, query_words: Column) -
             ),
         )
 
-    return let(described, with_best)
+    return let(describe(item), with_best)
 
 
 def grounding_decisions(items: Column, sources: Column, query: Column) -> Column:
@@ -295,8 +276,9 @@ def grounding_decisions(items: Column, sources: Column, query: Column) -> Column
     Every item is compared with the entry's sources inside the row, keeping
     the best; no pairs leave the row and nothing is shuffled.
     """
+    # the sources' figures and words are computed once per entry
     context = F.struct(
-        describe_sources(sources).alias("s"), meaningful_words(query).alias("w")
+        F.transform(sources, describe).alias("s"), meaningful_words(query).alias("w")
     )
     return let(
         context,
@@ -307,19 +289,9 @@ def grounding_decisions(items: Column, sources: Column, query: Column) -> Column
 def supported_items(items: Column, sources: Column) -> Column:
     """Items whose figures all occur in one source item that also shares a word
     (or when the item has two or more figures)."""
-    described = F.transform(
-        sources,
-        lambda s: F.struct(
-            number_tokens_plain(s).alias("numbers"), word_tokens_plain(s).alias("words")
-        ),
-    )
-
     def supported(item: Column, known: Column) -> Column:
-        mine = F.struct(
-            number_tokens_plain(item).alias("numbers"), word_tokens_plain(item).alias("words")
-        )
         return let(
-            mine,
+            describe_plain(item),
             lambda m: (F.size(m.numbers) > 0)
             & F.exists(
                 known,
@@ -328,6 +300,7 @@ def supported_items(items: Column, sources: Column) -> Column:
             ),
         )
 
+    described = F.transform(sources, describe_plain)
     return let(
         described, lambda known: F.filter(items, lambda item: supported(item, known))
     )

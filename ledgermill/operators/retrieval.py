@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import let, strip, tokenize
+from ..functions.text import let, settle, strip, tokenize
 from ..session import cut_lineage
 from .documents import context_label
 
@@ -49,9 +49,13 @@ def ranked(
 # --------------------------------------------------------------------------
 
 def build_postings(docs: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
-    """``(doc_id, dl, term, tf)``; all tokens of a text meet in one task, so the
-    map-side combine already yields the final counts."""
-    tokens = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("_t"))
+    """``(doc_id, dl, term, tf)``.
+
+    The texts, not their many more tokens, are partitioned by document; the
+    counts per document and term then need no further shuffle.
+    """
+    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).repartition("doc_id")
+    tokens = settle(texts, _t=tokenize(F.col("_text"))).drop("_text")
     return (
         tokens.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
         .groupBy("doc_id", "dl", "term")

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import has_digit, let, strip
+from ..functions.text import has_digit, let, matches, strip
 
 
 def _name_tokens(c: Column) -> Column:
     return F.array_except(
-        F.filter(F.split(c, r"[^a-z0-9\u0600-\u06ff]+", -1), lambda t: t != ""),
+        matches(c, r"[a-z0-9\u0600-\u06ff]+"),
         F.array(*[F.lit(w) for w in C.SOURCE_NAME_NOISE]),
     )
 

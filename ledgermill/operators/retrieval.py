@@ -19,6 +19,8 @@ from .documents import context_label
 # which executors add up doubles.
 SCORE_DIGITS = 6
 TERM_SALTS = 8
+# Rows of question terms (about 50 bytes each) that may go to every task.
+BROADCAST_TERM_ROWS = 1_000_000
 
 
 def ranked(
@@ -127,32 +129,41 @@ def bm25_scores(
     k1: float = C.BM25_K1,
     b: float = C.BM25_B,
     salts: int = TERM_SALTS,
+    broadcast_rows: int = BROADCAST_TERM_ROWS,
 ) -> DataFrame:
     """Okapi BM25 of every (question, document) pair that shares a term.
 
-    A very frequent term is spread over ``salts`` join keys by document; the
-    question side, which is small, is repeated once per salt.
+    The weighted question terms are counted first. Up to ``broadcast_rows``
+    they go to every task; the postings, stored by document, are then read
+    without a shuffle and a pair's terms add up before the only one. Beyond
+    that both sides are shuffled by term, and a very frequent term is spread
+    over ``salts`` keys by document, with the question side repeated per salt.
     """
     q_terms = (
         queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term"))
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    weighted = q_terms.join(index.terms, "term").select(
-        "query_id",
-        "term",
-        (F.col("qtf") * F.col("idf")).alias("_w"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
-    )
-    salted = index.postings.withColumn(
-        "_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+    weighted = cut_lineage(
+        q_terms.join(index.terms, "term").select(
+            "query_id", "term", (F.col("qtf") * F.col("idf")).alias("_w")
+        ),
+        "query-terms",
     )
+    if weighted.count() <= broadcast_rows:
+        pairs = index.postings.join(F.broadcast(weighted), "term")
+    else:
+        salted = index.postings.withColumn(
+            "_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+        )
+        repeated = weighted.withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        )
+        pairs = salted.join(repeated, ["term", "_salt"])
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(index.avg_dl))
     part = F.col("_w") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
-    return (
-        salted.join(weighted, ["term", "_salt"])
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    return pairs.groupBy("query_id", "doc_id").agg(
+        F.round(F.sum(part), SCORE_DIGITS).alias("score")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import has_digit, let, matches, strip
+from ..functions.text import has_digit, let, matches, settle, strip
 
 
 def _name_tokens(c: Column) -> Column:
@@ -18,25 +18,19 @@ def _name_tokens(c: Column) -> Column:
 
 def sources_conflict(claimed: Column, actual: Column) -> Column:
     """True when an answer names another source than the one that matched."""
-    pair = F.struct(
-        F.lower(strip(F.coalesce(claimed, F.lit("")))).alias("c"),
-        F.lower(strip(F.coalesce(actual, F.lit("")))).alias("a"),
-    )
-
-    def body(p: Column) -> Column:
-        mine, theirs = _name_tokens(p.c), _name_tokens(p.a)
-        same = (
-            (p.c == "") | (p.a == "") | p.a.contains(p.c) | p.c.contains(p.a)
-            | ((F.size(mine) > 0) & (F.size(F.array_except(mine, theirs)) == 0))
+    said = F.lower(strip(F.coalesce(claimed, F.lit(""))))
+    real = F.lower(strip(F.coalesce(actual, F.lit(""))))
+    mine, theirs = _name_tokens(said), _name_tokens(real)
+    same = (
+        (said == "") | (real == "") | real.contains(said) | said.contains(real)
+        | ((F.size(mine) > 0) & (F.size(F.array_except(mine, theirs)) == 0))
+    )
+    for phrase, tokens in C.SOURCE_ALIASES:
+        wanted = F.array(*[F.lit(t) for t in tokens])
+        same = same | (
+            said.contains(phrase) & (F.size(F.array_except(wanted, theirs)) == 0)
         )
-        for phrase, tokens in C.SOURCE_ALIASES:
-            wanted = F.array(*[F.lit(t) for t in tokens])
-            same = same | (
-                p.c.contains(phrase) & (F.size(F.array_except(wanted, theirs)) == 0)
-            )
-        return ~same
-
-    return let(pair, body)
+    return ~same
 
 
 def is_not_found(label: Column) -> Column:
@@ -60,15 +54,13 @@ def check_outcomes(checks: DataFrame) -> DataFrame:
             F.lit("' which does not match the question's intent"),
         )
     )
-    return (
-        checks.withColumn("conflict", conflict)
-        .withColumn(
-            "is_bad",
-            ~F.col("matches_question_intent")
-            | is_not_found(F.col("row_label_in_source"))
-            | F.col("conflict"),
-        )
-        .withColumn("note", F.when(F.col("is_bad"), note))
+    bad = (
+        ~F.col("matches_question_intent")
+        | is_not_found(F.col("row_label_in_source"))
+        | F.col("conflict")
+    )
+    return settle(settle(checks, conflict=conflict), is_bad=bad).withColumn(
+        "note", F.when(F.col("is_bad"), note)
     )
 
 

@@ -28,11 +28,13 @@ def okapi(texts, question):
     ]
 
 
-def test_bm25_matches_brute_force(spark):
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_bm25_matches_brute_force(spark, bound):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, content string")
     asked = {7: "cash cash net", 8: "income words", 9: "absent"}
     queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
-    got = R.bm25_topk(queries, docs, 3).collect()
+    index = R.LexicalIndex.build(docs)
+    got = R.bm25_topk(queries, index, 3, broadcast_rows=bound).collect()
     for key, question in asked.items():
         scores = [(round(s, 6), -i) for i, s in enumerate(okapi(TEXTS, question)) if s > 0]
         want = [(-i, s) for s, i in sorted(scores, reverse=True)[:3]]

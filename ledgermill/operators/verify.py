@@ -18,19 +18,30 @@ def _name_tokens(c: Column) -> Column:
 
 def sources_conflict(claimed: Column, actual: Column) -> Column:
     """True when an answer names another source than the one that matched."""
-    said = F.lower(strip(F.coalesce(claimed, F.lit(""))))
-    real = F.lower(strip(F.coalesce(actual, F.lit(""))))
-    mine, theirs = _name_tokens(said), _name_tokens(real)
-    same = (
-        (said == "") | (real == "") | real.contains(said) | said.contains(real)
-        | ((F.size(mine) > 0) & (F.size(F.array_except(mine, theirs)) == 0))
-    )
-    for phrase, tokens in C.SOURCE_ALIASES:
-        wanted = F.array(*[F.lit(t) for t in tokens])
-        same = same | (
-            said.contains(phrase) & (F.size(F.array_except(wanted, theirs)) == 0)
+    names = F.struct(
+        F.lower(strip(F.coalesce(claimed, F.lit("")))).alias("said"),
+        F.lower(strip(F.coalesce(actual, F.lit("")))).alias("real"),
+    )
+
+    def within(tokens: Column, others: Column) -> Column:
+        return F.size(F.array_except(tokens, others)) == 0
+
+    def differ(n: Column) -> Column:
+        tokens = F.struct(_name_tokens(n.said).alias("mine"), _name_tokens(n.real).alias("theirs"))
+
+        def by_token(t: Column) -> Column:
+            same = (F.size(t.mine) > 0) & within(t.mine, t.theirs)
+            for phrase, words in C.SOURCE_ALIASES:
+                alias = F.array(*[F.lit(w) for w in words])
+                same = same | (n.said.contains(phrase) & within(alias, t.theirs))
+            return ~same
+
+        plain = (
+            (n.said == "") | (n.real == "") | n.real.contains(n.said) | n.said.contains(n.real)
         )
-    return ~same
+        return ~plain & let(tokens, by_token)
+
+    return let(names, differ)
 
 
 def is_not_found(label: Column) -> Column:

@@ -124,7 +124,7 @@ ACTUAL = ("test_1_bank_statement.csv", "q1 ledger.csv", "budget.xlsx", "orders_2
 def number_checks(t):
     """Line items as number checks of the orders' answers, two attempts each."""
     line = F.col("l_linenumber")
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         F.col("l_orderkey").alias("answer_id"), (F.col("l_partkey") % 2 + 1).alias("attempt"),
         F.format_number("l_extendedprice", 0).alias("number_in_answer"),
         F.when(F.col("l_quantity") > 47, F.lit(" not_found_in_sources ")).otherwise(F.col("l_linestatus")).alias("row_label_in_source"),
@@ -326,7 +326,7 @@ def recommend_chart(t):
 )
 def improvement_rates(t):
     n = F.col("l_linenumber")
-    rows = t.lineitem.select(
+    rows = t.spread("lineitem").select(
         F.col("l_suppkey").alias("query_id"),
         F.concat(
             F.lit("Measured dimension: skill "), (F.col("l_partkey") % 40).cast("string"), F.lit(" | gap: 1.5 | "),
@@ -363,7 +363,7 @@ def clean_series(t):
         F.when(key % 7 == 0, F.lit('"n/a"')).otherwise(F.concat(F.lit('"'), text, F.lit('"'))),
         F.when(key % 2 == 0, F.lit(', "currency": "USD"')).otherwise(F.lit("")), F.lit("}]\n```"),
     )
-    replies = t.orders.select(F.col("o_custkey").alias("query_id"), key.alias("reply_no"), entry.alias("reply"))
+    replies = t.spread("orders").select(F.col("o_custkey").alias("query_id"), key.alias("reply_no"), entry.alias("reply"))
     series = H.clean_series(replies, keys=["query_id", "reply_no"])
     return H.first_per_label(
         series.select("query_id", "label", "reply_no", "value", "currency"), ["query_id", "label"], "reply_no"

@@ -169,7 +169,7 @@ def judge_replies(t):
         F.lit(', "rationale": "'), "o_orderpriority", F.when(bad == 5, F.lit("")).otherwise(F.lit('"}')),
     )
     model = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("candidate "), "o_orderstatus"))
-    return t.orders.select(key.alias("record_id"), model.alias("model"), reply.alias("raw_response"))
+    return t.spread("orders").select(key.alias("record_id"), model.alias("model"), reply.alias("raw_response"))
 
 
 JUDGED = """

@@ -44,7 +44,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path below this application's own folder."""
+    app = spark.sparkContext.applicationId
+    return f"{scratch_root(spark)}/ledgermill-{app}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df, label: str):

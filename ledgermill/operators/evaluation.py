@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -15,6 +15,7 @@ from ..functions.numbers import (
     normalize_item,
 )
 from ..functions.text import clean_words, let, redact_models, settle, strip
+from .ordering import number_rows
 
 RETRIEVED, RELEVANT = "retrieved", "relevant"
 
@@ -490,9 +491,9 @@ def false_positive_report(entries: DataFrame) -> DataFrame:
 
 
 def rank_items(items: DataFrame) -> DataFrame:
-    """1-based rank of each item within its entry and side."""
-    order = Window.partitionBy("entry_id", "side").orderBy("item")
-    return items.withColumn("rank", F.row_number().over(order).cast("long"))
+    """1-based rank of each item within its entry and side, however many
+    items an entry has."""
+    return number_rows(items, ["entry_id", "side"], ["item"], row="rank")
 
 
 # --------------------------------------------------------------------------

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 SEGMENT = "_segment"
 
 
@@ -106,9 +108,15 @@ def number_rows(
 ) -> DataFrame:
     """1-based row number per group in the given order, and the group's size.
 
-    ``order`` starts with the name of a numeric, date or timestamp column; the
-    other entries break ties.
+    When ``order`` starts with the name of a numeric, date or timestamp
+    column, segments follow from its value and the other entries break ties.
+    Any other order is dealt by range instead.
     """
+    first = order[0]
+    if not (isinstance(first, str) and isinstance(
+        df.schema[first].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    )):
+        return _number_by_range(df, group, order, row, total)
     cut = with_segments(df, order[0], segments)
     counts = cut.groupBy(*group, SEGMENT).agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*group)
@@ -125,3 +133,36 @@ def number_rows(
     if total:
         numbered = numbered.withColumn(total, F.col("_total"))
     return numbered.drop(SEGMENT, "_before", "_total")
+
+
+def _number_by_range(
+    df: DataFrame, group: list[str], order: list, row: str, total: str | None
+) -> DataFrame:
+    """Numbers rows from their place in range partitions.
+
+    The placed rows are written once: their partition and position must be the
+    same for the counts and for the rows, also when a task runs again.
+    """
+    placed = cut_lineage(
+        df.repartitionByRange(segment_count(df), *group, *order)
+        .sortWithinPartitions(*group, *order)
+        .withColumn(SEGMENT, F.spark_partition_id())
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "placed",
+    )
+    counts = placed.groupBy(*group, SEGMENT).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")
+    )
+    offsets = counts.select(
+        *group,
+        SEGMENT,
+        "_first",
+        F.coalesce(F.sum("_n").over(before(group)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(*group)).alias("_total"),
+    )
+    numbered = null_safe_join(placed, offsets, [*group, SEGMENT]).withColumn(
+        row, F.col("_at") - F.col("_first") + F.col("_before") + 1
+    )
+    if total:
+        numbered = numbered.withColumn(total, F.col("_total"))
+    return numbered.drop(SEGMENT, "_at", "_first", "_before", "_total")

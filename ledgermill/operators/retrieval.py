@@ -347,9 +347,11 @@ def dedupe_hits(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """Keep the best-scored hit per question and trimmed content; rank again.
 
     Grouping (not a window) lets many copies of one text collapse before the
-    shuffle.
+    shuffle, which carries a digest of the text.
     """
-    texts = hits.join(docs.select("doc_id", strip(F.col("content")).alias("_key")), "doc_id")
+    texts = hits.join(docs.select("doc_id", "content"), "doc_id").withColumn(
+        "_key", F.sha2(strip(F.col("content")), 256)
+    )
     kept = (
         texts.groupBy("query_id", "_key")
         .agg(F.min(F.struct((-F.col("score")).alias("neg"), "doc_id")).alias("_best"))

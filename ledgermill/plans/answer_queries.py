@@ -10,6 +10,7 @@ from ..operators import documents as D
 from ..operators import routing as P
 from ..operators import usage
 from ..operators import verify as V
+from ..session import scratch_path
 from ..sources import chatlog, files
 from . import duck as Q
 from .finance_queries import doubles
@@ -426,6 +427,45 @@ def chat_history(t):
     return entries.select("session_id", "id", F.md5(body).alias("text_md5"))
 
 
+@query(
+    "json_lines_round_trip",
+    """
+    SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS id, role <> 'system' AS readable, md5(CASE WHEN role = 'system' THEN NULL ELSE text END) AS text_md5 FROM conversations
+    """,
+)
+def json_lines_round_trip(t):
+    """Entries written as JSON lines and read back record by record."""
+    path = scratch_path(t.spark, "records")
+    files.write_results(chat_entries(t), path)
+    field = lambda name: F.get_json_object("entry_json", f"$.{name}")
+    inner = field("entry_json")
+    return files.read_records(t.spark, path).select(
+        field("session_id").alias("session_id"), field("id").cast("long").alias("id"),
+        F.try_parse_json(inner).isNotNull().alias("readable"),
+        F.md5(F.coalesce(F.get_json_object(inner, "$.question"), F.get_json_object(inner, "$.answer"))).alias("text_md5"),
+    )
+
+
+@query(
+    "csv_results",
+    """
+    SELECT CAST(user_id AS VARCHAR) AS user_id, '[' || string_agg('"' || event_type || '"', ',' ORDER BY event_type) || ']' AS kinds,
+      '{"n":' || sum(n) || ',"top":' || max(n) || '}' AS counts
+    FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id
+    """,
+)
+def csv_results(t):
+    """Nested columns written to CSV as JSON text, and read back."""
+    per_kind = t.events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = per_kind.groupBy("user_id").agg(
+        F.array_sort(F.collect_set("event_type")).alias("kinds"),
+        F.struct(F.sum("n").alias("n"), F.max("n").alias("top")).alias("counts"),
+    )
+    path = scratch_path(t.spark, "results")
+    files.write_results(rows, path, "csv")
+    return t.spark.read.option("header", True).option("escape", '"').csv(path)
+
+
 @query(
     "last_turns",
     """

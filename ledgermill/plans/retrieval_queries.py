@@ -134,6 +134,32 @@ def hybrid_fusion(t):
     return R.hybrid_candidates(questions(t), corpus(t), vectors(t), K)
 
 
+VARIANTS = BM25.replace(
+    f"""SELECT item_id AS query_id, {Q.base_tokens('text')} AS b FROM benchmark
+      WHERE item_id IN (SELECT vec_id FROM embeddings)""",
+    f"""SELECT item_id * 2 + v AS query_id, {Q.base_tokens("text || CASE WHEN v = 1 THEN ' the report of and' ELSE '' END")} AS b
+      FROM benchmark, (SELECT unnest([0, 1]) AS v) WHERE item_id IN (SELECT vec_id FROM embeddings)""",
+)
+
+
+@query(
+    "hybrid_variants",
+    f"""WITH {VARIANTS}, {VECTOR},
+    fs AS (SELECT query_id, doc_id, round(sum(1.0 / (61 + rank)), 9) AS score FROM (
+        SELECT query_id // 2 AS query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM ve
+        UNION ALL SELECT query_id, doc_id, rank FROM ve) GROUP BY ALL)
+    SELECT * FROM (SELECT query_id, doc_id, score,
+      row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM fs) WHERE rank < {K}""",
+)
+def hybrid_variants(t):
+    """Two phrasings of every question, fused together."""
+    phrasing = F.explode(F.array(F.lit(0), F.lit(1)))
+    asked = questions(t).select("query_id", phrasing.alias("variant"), "text", "embedding").withColumn(
+        "text", F.when(F.col("variant") == 1, F.concat("text", F.lit(" the report of and"))).otherwise(F.col("text"))
+    )
+    return R.hybrid_candidates(asked, corpus(t), vectors(t), K)
+
+
 @query("dedupe_hits", f"WITH {DEDUPED} SELECT query_id, doc_id, score, rank FROM du")
 def dedupe_hits(t):
     return R.dedupe_hits(hybrid_fusion(t), corpus(t))

@@ -92,6 +92,15 @@ def test_numbering_does_not_depend_on_segments(spark):
     assert sorted(v[0] for k, v in want.items() if k[0] is None) == list(range(1, 334))
 
 
+def test_numbering_by_text_order(spark):
+    rows = spark.range(500).select((F.col("id") % 2).alias("g"), F.md5(F.col("id").cast("string")).alias("k"))
+    got = number_rows(rows, ["g"], ["k"], row="at", total="n").collect()
+    for g in (0, 1):
+        mine = sorted((r["at"], r["k"]) for r in got if r["g"] == g)
+        assert [a for a, _ in mine] == list(range(1, 251)) and [k for _, k in mine] == sorted(k for _, k in mine)
+    assert {r["n"] for r in got} == {250}
+
+
 def test_spread_join_matches_plain_join(spark):
     left = spark.range(100).select((F.col("id") % 2).alias("k"), "id")
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")

@@ -329,44 +329,66 @@ def dedupe_array(items: Column) -> Column:
     )
 
 
-def history_records(
+def parsed_entries(
     entries: DataFrame,
-    *,
     retrieved_key: str | None = None,
     relevant_key: str | None = None,
-    apply_filter: bool = True,
 ) -> DataFrame:
-    """Evaluable chat entries with their item arrays.
+    """Evaluable chat entries with the items of their three sides as arrays.
 
-    ``entries(entry_id, entry_json)``. An explicit reference side is used as
-    it is unless it only repeats the source texts; without one, the relevant
-    side is what the sources support, and the retrieved side (with the filter
-    on) is what grounding accepts. Each entry is read and judged in its row.
+    ``entries(entry_id, entry_json)``. ``is_explicit`` tells that the entry
+    brings a reference side of its own (``reference_items``), which is not a
+    mere copy of its source texts. Each entry is parsed once, in its row.
     """
     fields = F.col("_f")
-    explicit = F.col("_explicit")
-    none = F.array().cast("array<string>")
+    explicit = F.col("is_explicit")
     parsed = settle(entries.select("entry_id", "entry_json"), _f=J.parse_object(F.col("entry_json")))
     parsed = settle(
         parsed.filter(fields.isNotNull() & J.has_field(fields, retrieved_key, C.RETRIEVED_FIELDS)),
         question=F.coalesce(J.variant_text(F.try_element_at(fields, F.lit("question"))), F.lit("")),
-        original_retrieved=J.item_set(J.field_by_alias(fields, retrieved_key, C.RETRIEVED_FIELDS)),
-        _has_source=J.has_field(fields, None, C.SOURCE_FIELDS),
-        _has_relevant=J.has_field(fields, relevant_key, C.EXPLICIT_RELEVANT_FIELDS),
+        _retrieved=J.field_by_alias(fields, retrieved_key, C.RETRIEVED_FIELDS),
         _source=J.field_by_alias(fields, None, C.SOURCE_FIELDS),
         _relevant=J.field_by_alias(fields, relevant_key, C.EXPLICIT_RELEVANT_FIELDS),
+        _has_source=J.has_field(fields, None, C.SOURCE_FIELDS),
+        _has_relevant=J.has_field(fields, relevant_key, C.EXPLICIT_RELEVANT_FIELDS),
     )
     repeats = F.lit(False) if relevant_key is not None else (
         F.col("_has_source") & F.to_json("_relevant").eqNullSafe(F.to_json("_source"))
     )
-    parsed = settle(
-        settle(parsed, _explicit=F.col("_has_relevant") & ~repeats).filter(
+    sides = F.array(
+        F.col("_retrieved"),
+        F.when(~explicit, F.col("_source")),
+        F.when(explicit, F.col("_relevant")),
+    )
+    items = F.col("_items")
+    return settle(
+        settle(parsed, is_explicit=F.col("_has_relevant") & ~repeats).filter(
             explicit | F.col("_has_source")
         ),
-        source_items=F.when(explicit, none).otherwise(J.item_set(F.col("_source"))),
-        source_texts=F.when(explicit, none).otherwise(J.raw_texts(F.col("_source"))),
-        _reference=F.when(explicit, J.item_set(F.col("_relevant"))),
+        _items=F.transform(sides, J.item_set),
+        source_texts=J.raw_texts(F.when(~explicit, F.col("_source"))),
+    ).select(
+        "entry_id", "question", "is_explicit",
+        items[0].alias("original_retrieved"), items[1].alias("source_items"), "source_texts",
+        items[2].alias("reference_items"),
     )
+
+
+def history_records(
+    entries: DataFrame,
+    *,
+    retrieved_key: str | None = None,
+    relevant_key: str | None = None,
+    apply_filter: bool = True,
+) -> DataFrame:
+    """Retrieved and relevant items of each evaluable chat entry.
+
+    An explicit reference side is used as it is. Without one, the relevant
+    side is what the sources support, and the retrieved side (with the filter
+    on) is what grounding accepts.
+    """
+    explicit = F.col("is_explicit")
+    parsed = parsed_entries(entries, retrieved_key, relevant_key)
     judged = {"_supported": supported_items(F.col("original_retrieved"), F.col("source_items"))}
     if apply_filter:
         decisions = grounding_decisions(
@@ -376,19 +398,19 @@ def history_records(
             F.filter(decisions, lambda d: d.accepted), lambda d: d["item"]
         )
     records = settle(parsed, **{n: F.when(~explicit, c) for n, c in judged.items()})
-    tidy = dedupe_array if apply_filter else (lambda items: items)
-    accepted = F.col("_accepted") if apply_filter else F.col("original_retrieved")
-    kept = F.when(explicit, F.col("original_retrieved")).otherwise(accepted)
-    return settle(
-        records,
-        **{
-            RETRIEVED: tidy(kept),
-            RELEVANT: F.when(explicit, F.col("_reference")).otherwise(tidy(F.col("_supported"))),
-            "precision_filter_applied": ~explicit & F.lit(apply_filter),
-        },
-    ).select(
+    supported = F.col("_supported")
+    if apply_filter:
+        kept = F.when(explicit, F.col("original_retrieved")).otherwise(F.col("_accepted"))
+        tidy = F.transform(F.array(kept, supported), dedupe_array)
+        records = settle(records, _tidy=tidy)
+        kept, supported = F.col("_tidy")[0], F.col("_tidy")[1]
+    else:
+        kept = F.col("original_retrieved")
+    return records.select(
         "entry_id", "question", "original_retrieved", "source_items", "source_texts",
-        RETRIEVED, RELEVANT, "precision_filter_applied",
+        kept.alias(RETRIEVED),
+        F.when(explicit, F.col("reference_items")).otherwise(supported).alias(RELEVANT),
+        (~explicit & F.lit(apply_filter)).alias("precision_filter_applied"),
     )
 
 

@@ -308,10 +308,10 @@ GROUNDED = f"""
       CASE WHEN category IN ('grounded_relevant_item', 'query_intent_mismatch') THEN asked ELSE 0.0::DOUBLE END AS query_score FROM de""",
 )
 def grounding_decisions(t):
-    records = E.history_records(chat_log(t), apply_filter=False).filter(F.size("source_texts") > 0)
+    records = E.parsed_entries(chat_log(t)).filter(~F.col("is_explicit"))
     return records.select(
         "entry_id",
-        F.inline(E.grounding_decisions(F.col("retrieved"), F.col("source_items"), F.col("question"))),
+        F.inline(E.grounding_decisions(F.col("original_retrieved"), F.col("source_items"), F.col("question"))),
     )
 
 

@@ -199,12 +199,16 @@ def extract_items(c: Column) -> Column:
     pieces = split_at(
         plain_spaces(c), r"[\n\r]+|(?:\s+[\u2022*-]\s+)|(?:\s+[0-9]+[.)]\s+)|\|"
     )
-    pieces = F.transform(
-        pieces, lambda p: squeeze(strip(F.regexp_replace(p, r"^\s*[-\u2022*]\s*", "")))
-    )
+    # most pieces hold no figure and are dropped before any cleaning
     pieces = F.filter(pieces, lambda p: p.rlike(r"[0-9\u0660-\u0669]"))
     pieces = F.transform(
-        pieces, lambda p: strip(F.regexp_replace(p, r"^\[Source:[^\]]+\]\s*", ""))
+        pieces,
+        lambda p: strip(
+            F.regexp_replace(
+                squeeze(strip(F.regexp_replace(p, r"^\s*[-\u2022*]\s*", ""))),
+                r"^\[Source:[^\]]+\]\s*", "",
+            )
+        ),
     )
     pieces = F.transform(
         pieces,

@@ -350,7 +350,7 @@ def small_table_test(t):
     """,
 )
 def full_table_documents(t):
-    home = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    home = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     name = F.concat(F.lit("region "), F.col("r_name"), F.lit(".xlsx")).alias("source")
     nations = home.select(name, F.lit("nations").alias("sheet"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
     suppliers = t.supplier.join(home, F.col("s_nationkey") == F.col("n_nationkey")).select(

@@ -237,7 +237,7 @@ def parse_row_sentences(t):
     """,
 )
 def parse_csv_blocks(t):
-    nations = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    nations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.concat(F.lit("region "), "r_name", F.lit(".xlsx")).alias("source"),
         F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"),
     )

@@ -66,7 +66,7 @@ def token_rate_stream(t):
 )
 def ingest_stream(t):
     """Documents of a stream, each content once, however often it arrives."""
-    docs = stream_of(t, "documents").withColumn("arrived_at", F.timestamp_seconds("doc_id"))
+    docs = stream_of(t, "documents").withColumn("arrived_at", F.timestamp_seconds(F.col("doc_id") + 1_700_000_000))
     out, checkpoint = scratch_path(t.spark, "ingest"), scratch_path(t.spark, "ingest-state")
     jobs.start_ingest(docs, out, checkpoint).awaitTermination()
     return t.spark.read.parquet(out).select(F.md5("text").alias("text_md5"))

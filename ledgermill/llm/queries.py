@@ -1,4 +1,13 @@
 """The named queries of this subpackage; importing this module registers them."""
 
-from . import dedup_queries  # noqa: F401
+from . import (  # noqa: F401
+    decontam_queries,
+    dedup_queries,
+    html_queries,
+    language_queries,
+    mixing_queries,
+    rule_queries,
+    secret_queries,
+    shard_queries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401

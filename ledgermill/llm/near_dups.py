@@ -5,11 +5,13 @@ values. Inverted lists of the retained values bring documents together, the
 sketch of a pair's union estimates its similarity, and the full sets decide.
 
 No list is turned into all its pairs. Documents with equal sets are one node
-from the start. A list then tests its members against a pivot, and lists whose
-members have come into one component are done. What is left over is tested
-against more pivots, four times as many per round, until every member of an
-open list has been a pivot: no pair of a list stays untested unless a chain of
-links already joins it, so the components are those of all links.
+from the start. Each node is first tested against one pivot of its lists, and
+lists whose members have come into one component are done. Nodes left in open
+lists meet again in lists of all their shingles, less those that no other
+component holds. There they are tested against ``PIVOTS`` pivots of each list,
+and then so many times more per round, until every member of an open list has
+been a pivot: no pair of a list stays untested unless a chain of links already
+joins it or the sizes rule it out, so the components are those of all links.
 
 A document enters only the lists of its rarest retained values. Two documents
 at the threshold share at least ``shared_at_least`` retained values, so they
@@ -43,6 +45,10 @@ SKETCH = 64
 THRESHOLD = 80  # percent
 WIDTH = 5
 DEVIATIONS = 6
+#: Pivots of an open list of shingles; each later round has so many times more.
+PIVOTS = 16
+#: Ratio of the sizes at the ends of a band.
+BAND = 1.05
 
 _SIGN = np.uint64(1 << 63)
 
@@ -196,19 +202,68 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(old.unionByName(fresh), "labels")
 
 
-def _postings(nodes: DataFrame, threshold: int, sketch: int) -> DataFrame:
-    """``v, node``: each node in the lists of its rarest retained values that others retain too."""
-    retained = nodes.select("node", "n", F.explode("sketch").alias("v"))
+def _gathered(shared: DataFrame) -> DataFrame:
+    """A row per node of ``shared(node, n, label, v, df)``: its values, rarest first, and their count ``c``.
+
+    ``shared`` has the values that other documents hold too, ``df`` in all; a
+    node has no more of them than its set or sketch.
+    """
+    gathered = shared.groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
+    return gathered.select("node", "n", "label", F.size("s").alias("c"), F.col("s.v").alias("s"))
+
+
+def _sketch_lists(nodes: DataFrame, threshold: int, sketch: int) -> DataFrame:
+    """``v, node, label, c``: the lists of retained values; a node alone is its own label.
+
+    Values that no other document retains are the rarest of all and use up places.
+    """
+    retained = nodes.select("node", "n", F.col("node").alias("label"), F.explode("sketch").alias("v"))
     often = retained.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = retained.join(often, "v").groupBy("node", "n").agg(F.collect_list(F.struct("df", "v")).alias("s"))
-    bounds = [shared_at_least(n, threshold, sketch) for n in range(sketch + 2)]
-    size = F.least("n", F.lit(sketch))
-    need = F.element_at(F.array(*map(F.lit, bounds)), (F.least("n", F.lit(sketch + 1)) + 1).cast("int"))
-    # values that no other document retains are the rarest of all
-    take = (size - need + 1 - (size - F.size("s"))).cast("int")
-    return (
-        shared.select("node", F.slice(F.sort_array("s"), 1, F.greatest(take, F.lit(0))).alias("s"))
-        .select("node", F.explode("s.v").alias("v"))
+    bounds = F.array(*[F.lit(shared_at_least(n, threshold, sketch)) for n in range(sketch + 2)])
+    need = F.element_at(bounds, (F.least("n", F.lit(sketch + 1)) + 1).cast("int"))
+    gathered = _gathered(retained.join(often, "v")).withColumn("take", F.col("c") - need + 1).filter("take > 0")
+    return gathered.select(F.explode(F.slice("s", F.lit(1), F.col("take"))).alias("v"), "node", "label", "c")
+
+
+def _set_lists(open_nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """``v, low, high, band, node, n, label, c``: lists of all shingles of nodes
+    that may still link with another component.
+
+    Only a shingle that another component holds too can be in common. Sizes
+    fall into bands, and a node looks for partners band by band: sets of sizes
+    n and m at the threshold t have t (n + m) / (1 + t) shingles in common, so
+    a node with c shingles to share enters the lists of its
+    ``c - that + 1`` rarest ones, where two linked nodes must meet.
+    """
+
+    def run(batches):
+        for batch in batches:
+            values = [np.frombuffer(m.as_buffer(), np.uint64) for m in batch.column("members")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("label"), _lists([_signed(m) for m in values], pa.int64())],
+                ["node", "label", "s"],
+            )
+
+    held = open_nodes.join(sets, "node").select("node", "label", "members")
+    held = held.mapInArrow(run, "node long, label long, s array<long>")
+    held = held.select("node", "label", F.size("s").cast("long").alias("n"), F.explode("s").alias("v"))
+    held = cut_lineage(held, "held")
+    foreign = held.groupBy("v").agg(
+        F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")
+    ).filter("low <> high").select("v", "df")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
+    reach = math.ceil(math.log(100 / threshold) / math.log(BAND)) + 1
+    gathered = _gathered(held.join(foreign, "v")).withColumn("band", band)
+    wanted = gathered.withColumn("other", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach)))
+    # least size in the partner's band, lowered by a rounding error's worth
+    size = F.pow(F.lit(BAND), F.col("other")) * (1 - 1e-9)
+    up = lambda x: F.ceil(x / 100 - 1e-6)
+    both = F.ceil((F.col("n") + size) * threshold / (100 + threshold) - 1e-6)
+    need = F.greatest(both, up(F.col("n") * threshold), up(size * threshold))
+    wanted = wanted.withColumn("take", (F.col("c") - need + 1).cast("int")).filter("take > 0")
+    return wanted.select(
+        F.explode(F.slice("s", F.lit(1), F.col("take"))).alias("v"), F.least("band", "other").alias("low"),
+        F.greatest("band", "other").alias("high"), "band", "node", "n", "label", "c",
     )
 
 
@@ -235,7 +290,7 @@ def near_duplicates(
         ),
         "nodes",
     )
-    lists = cut_lineage(_postings(nodes, threshold, sketch), "lists")
+    lists = cut_lineage(_sketch_lists(nodes, threshold, sketch), "lists")
     meeting = lists.select("node").distinct()
     plain = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     wanted = plain.join(meeting, "node", "left_semi").dropDuplicates(["node", "text"])
@@ -248,51 +303,62 @@ def near_duplicates(
     )
     matcher = _Matcher(nodes, sets, threshold, sketch)
 
-    # the order in which the members of a list become its pivots
-    order = F.xxhash64("node", F.lit(7))
-    heads = lists.groupBy("v").agg(F.min(F.struct(order.alias("u"), "node")).alias("head"), F.count("*").alias("m"))
-    heads = cut_lineage(heads.filter("m > 1").select("v", "m", F.col("head.u").alias("hu"), F.col("head.node").alias("hn")), "heads")
-    lists = cut_lineage(lists.withColumn("u", order).join(heads, "v"), "lists")
-
-    # first every node against one pivot, then against the pivots of all its lists
-    first = lists.groupBy("node").agg(F.min(F.struct("hu", "hn")).alias("p"))
-    tested = cut_lineage(_ordered(first.select(F.col("p.hn").alias("a"), F.col("node").alias("b"))), "pairs")
+    # every node against the first of its lists' pivots, those that share most with others
+    heads = lists.groupBy("v").agg(F.min(F.struct((-F.col("c")).alias("c"), "node")).alias("p"))
+    first = lists.join(heads, "v").groupBy("node").agg(F.min("p").alias("p"))
+    tested = cut_lineage(_ordered(first.select(F.col("p.node").alias("a"), F.col("node").alias("b"))), "pairs")
     labels = components(matcher.links(tested).unionByName(own))
-    done, pivots = -1, 1
+
+    # what is in a list with another component, by all of its shingles
+    left = _open_lists(lists, labels, ["v"]).select("node", "label").distinct()
+    lists = _set_lists(cut_lineage(left, "open"), sets, threshold)
+    key = ["v", "low", "high"]
+    lists = _open_lists(cut_lineage(lists, "lists"), labels, key)
+    sizes = lists.groupBy(key).agg(F.count("*").alias("m"))
+    # the order in which the members of a list become its pivots
+    place = F.shiftrightunsigned(F.xxhash64("node", F.lit(7)), 32)
+    lists = cut_lineage(lists.join(sizes, key).withColumn("place", place), "lists")
+    done, pivots = 0, PIVOTS
     while True:
-        lists = _open_lists(lists, labels)
         if lists.isEmpty():
             break
-        if done < 0:
-            chosen = lists.filter("u = hu and node = hn")
-        else:
-            # the share of the order that has been pivots so far, of 2**32
-            upto = F.least(F.lit(1 << 32), F.floor(F.lit(float(pivots) * (1 << 32)) / F.col("m")))
-            before = F.least(F.lit(1 << 32), F.floor(F.lit(float(done) * (1 << 32)) / F.col("m")))
-            place = F.shiftrightunsigned("u", 32)
-            chosen = lists.filter((place < upto) & (place >= before))
-        heads = chosen.select("v", F.col("node").alias("a"), F.col("label").alias("la"))
-        pairs = (
-            heads.join(lists.select("v", F.col("node").alias("b"), F.col("label").alias("lb")), "v")
-            .filter("la <> lb")
+        # the share of the order that has been pivots so far, of 2**32
+        upto = F.least(F.lit(1 << 32), F.floor(F.lit(float(pivots) * (1 << 32)) / F.col("m")))
+        before = F.least(F.lit(1 << 32), F.floor(F.lit(float(done) * (1 << 32)) / F.col("m")))
+        heads = lists.filter((F.col("place") < upto) & (F.col("place") >= before)).select(
+            *key, *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "c", "band")]
         )
-        pairs = (
-            _ordered(pairs).join(tested, ["a", "b"], "left_anti")
-        )
-        pairs = cut_lineage(pairs, "pairs")
-        labels = _relabel(labels, matcher.links(pairs))
+        others = lists.select(*key, *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "c", "band")])
+        # |A & B| is at most c of either, and so the union at least the rest
+        alike = F.least("c_a", "c_b") * (100 + threshold) >= (F.col("n_a") + F.col("n_b")) * threshold
+        across = (F.col("low") == F.col("high")) | (F.col("band_a") != F.col("band_b"))
+        pairs = heads.join(others, key).filter((F.col("label_a") != F.col("label_b")) & across & alike)
+        pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        pairs = cut_lineage(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = matcher.links(pairs)
+        if not links.isEmpty():
+            labels = _relabel(labels, links)
         tested = tested.unionByName(pairs)
-        if done >= 0 and lists.filter(F.col("m") > pivots).isEmpty():
+        if lists.filter(F.col("m") > pivots).isEmpty():
             break
-        done, pivots = (0, 4) if done < 0 else (pivots, pivots * 4)
+        lists = cut_lineage(_open_lists(lists.filter(F.col("m") > pivots), labels, key), "lists")
+        done, pivots = pivots, pivots * PIVOTS
     return _result(rows, nodes, labels)
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists whose members are in several components, with current labels."""
+def _open_lists(lists: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
+    """The lists whose members are in several components, with current labels.
+
+    A list for two bands needs members of both.
+    """
     now = lists.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spread = now.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    return cut_lineage(now.join(spread.select("v"), "v", "left_semi"), "lists")
+    spread = now.groupBy(key).agg(
+        F.min("label").alias("first"), F.max("label").alias("last"),
+        *([F.min("band").alias("b1"), F.max("band").alias("b2")] if "band" in now.columns else []),
+    ).filter("first <> last")
+    if "band" in now.columns:
+        spread = spread.filter("low = high or b1 <> b2")
+    return now.join(spread.select(key), key, "left_semi")
 
 
 def _result(rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -308,3 +374,33 @@ def _result(rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def keep_one(
+    docs: DataFrame,
+    width: int = WIDTH,
+    threshold: int = THRESHOLD,
+    sketch: int = SKETCH,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` less all but one document of each component.
+
+    Rows without an id or without words stay as they are. Of rows with one id
+    that are kept, those with equal texts become one row, and of different
+    texts of one id the one with the smallest checksum stays.
+    """
+    found = near_duplicates(docs, width, threshold, sketch, id_col, text_col).filter("n_shingles > 0 and doc_id is not null")
+    gone = found.filter("not kept").select("doc_id").distinct()
+    repeated = found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    marks = cut_lineage(
+        gone.withColumn("mark", F.lit("gone")).unionByName(repeated.withColumn("mark", F.lit("one"))), "marks"
+    ).select(F.col("doc_id").alias("_of"), F.col("mark").alias("_mark"))
+    marked = docs.join(marks, F.col(id_col).cast("long") == F.col("_of"), "left")
+    words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = marked.withColumn("_mark", F.when(words, F.col("_mark")))
+    plain = marked.filter("_mark is null").drop("_of", "_mark")
+    several = marked.filter("_mark = 'one'").withColumn("_sum", F.xxhash64(text_col))
+    one = several.dropDuplicates(["_of", "_sum"])
+    least = one.groupBy("_of").agg(F.min("_sum").alias("_sum"))
+    return plain.unionByName(one.join(least, ["_of", "_sum"], "left_semi").select(*docs.columns))

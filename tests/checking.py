@@ -59,7 +59,7 @@ def compare(spark, con, folder, name, query, sql):
         pair = (kinds[c], duck_kinds[c])
         if pair not in {
             ("bigint", "BIGINT"), ("string", "VARCHAR"), ("double", "DOUBLE"), ("boolean", "BOOLEAN"),
-            ("timestamp_ntz", "TIMESTAMP"), ("date", "DATE"),
+            ("int", "INTEGER"), ("timestamp_ntz", "TIMESTAMP"), ("date", "DATE"),
         }:
             return len(got[1]), f"type of {c}: {pair}", kinds
     if len(got[1]) != len(want[1]):

@@ -20,9 +20,9 @@ import numpy as np
 
 STRIDE = 16
 WIDTH = 16
-CLASSES = 64
+CLASSES = 128
 INPUTS = 4096
-CHUNK = 1024  # windows in one numpy pass
+CHUNK = 64  # windows in one numpy pass
 
 
 @dataclass
@@ -64,13 +64,26 @@ _BACK = np.clip(_QUERY - _KEY, 0, 2 * STRIDE - 1)
 _CAUSAL = _KEY <= _QUERY
 
 
+def layout(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots for texts of so many positions: the slot of each position, the text
+    of each slot (-1: none), and the number of slots.
+
+    Every text begins at a multiple of ``STRIDE``, so that what a position sees
+    does not depend on the texts beside it.
+    """
+    room = -(-lengths // STRIDE) * STRIDE
+    first = np.cumsum(room) - room
+    n = int(lengths.sum())
+    slot = np.arange(n) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths)
+    text = np.full(int(room.sum()), -1, np.int64)
+    text[slot] = np.repeat(np.arange(len(lengths)), lengths)
+    return slot, text, room
+
+
 def _windows(x: np.ndarray, fill) -> np.ndarray:
-    """Overlapping windows of a padded sequence, as a view."""
-    n = -(-len(x) // STRIDE) * STRIDE
-    padded = np.full((n + STRIDE, *x.shape[1:]), fill, x.dtype)
-    padded[STRIDE : STRIDE + len(x)] = x
-    view = np.lib.stride_tricks.sliding_window_view(padded, 2 * STRIDE, axis=0)[::STRIDE]
-    return np.moveaxis(view, -1, 1)
+    """Overlapping windows of a sequence of whole strides, the first half of the first one empty."""
+    padded = np.concatenate([np.full(STRIDE, fill, x.dtype), x])
+    return np.lib.stride_tricks.sliding_window_view(padded, 2 * STRIDE)[::STRIDE]
 
 
 def _forward(m: dict, inputs: np.ndarray, text: np.ndarray) -> dict:
@@ -92,28 +105,49 @@ def _forward(m: dict, inputs: np.ndarray, text: np.ndarray) -> dict:
 
 
 def log10_classes(m: dict, inputs: np.ndarray, text: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log10 of the model's probability of each position's class.
+    """log10 of the model's probability of the class at each slot.
 
-    ``inputs`` are the ids read up to each position, ``text`` tells texts apart.
+    ``inputs`` are the numbers read up to each slot, ``text`` tells texts apart;
+    ``layout`` makes both, so a window's first half is of its text as a whole or
+    not at all, and unused slots come after all others of a text. Keys and
+    values are made once per slot and seen through both windows that hold it; a
+    pass covers few windows, so that it stays in the cache.
     """
-    n = len(inputs)
-    out = np.empty(-(-n // STRIDE) * STRIDE)
-    wi, wt = _windows(inputs, 0), _windows(text, -1)
-    wanted = np.zeros(len(out), np.int64)
-    wanted[:n] = target
-    wanted = wanted.reshape(-1, STRIDE)
-    for a in range(0, len(wi), CHUNK):
-        z = _forward(m, wi[a : a + CHUNK], wt[a : a + CHUNK])["z"]
-        t = np.take_along_axis(z, wanted[a : a + CHUNK, :, None], -1)[..., 0]
-        out[a * STRIDE : (a + len(z)) * STRIDE] = ((t - np.log(np.exp(z).sum(axis=-1))) / np.log(10)).ravel()
-    return out[:n]
+    out = np.empty(len(inputs), np.float32)
+    own = [np.ascontiguousarray(m["embed"] @ m[k]) for k in ("query", "key", "value", "own")]
+    own[0] *= np.float32(WIDTH**-0.5)
+    # the mask: causal, and without the first half where a text begins
+    near = np.where(_CAUSAL, m["near"][_BACK], np.float32(-1e9))
+    near = np.stack([near, np.where(_KEY < STRIDE, np.float32(-1e9), near)])
+    begins = np.concatenate([[True], text[::STRIDE][1:] != text[::STRIDE][:-1]]).astype(np.int64)
+    padded = np.concatenate([np.zeros(STRIDE, inputs.dtype), inputs])
+    ones, classes = np.ones((2 * STRIDE, 1), np.float32), np.ones(m["out"].shape[1], np.float32)
+    two = lambda x: np.lib.stride_tricks.sliding_window_view(x, 2 * STRIDE, axis=0)[::STRIDE]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for a in range(0, len(inputs), CHUNK * STRIDE):
+            b = min(a + CHUNK * STRIDE, len(inputs))
+            n, seen, read = (b - a) // STRIDE, padded[a : b + STRIDE], inputs[a:b]
+            s = own[0][read].reshape(n, STRIDE, -1) @ two(own[1][seen])
+            s += near[begins[a // STRIDE : b // STRIDE]]
+            np.exp(s, out=s)
+            mixed = s @ two(own[2][seen]).transpose(0, 2, 1)
+            mixed /= s @ ones
+            h = np.tanh(mixed.reshape(b - a, -1) + own[3][read])
+            z = h @ m["out"]
+            z += m["bias"]
+            chosen = z[np.arange(b - a), target[a:b]]
+            out[a:b] = chosen - np.log(np.exp(z, out=z) @ classes)
+    out = out.astype(float) / np.log(10)
+    if not np.isfinite(out).all():
+        raise FloatingPointError("the model's weights are too large for single precision")
+    return out
 
 
 def train(
     inputs: np.ndarray, text: np.ndarray, target: np.ndarray, epochs: int = 6, seed: int = 7, batch: int = 64,
-    width: int = WIDTH, classes: int = CLASSES, rate: float = 0.01,
+    width: int = WIDTH, classes: int = CLASSES, rate: float = 0.02,
 ) -> dict:
-    """Weights after passes of Adam over all windows in a seeded order."""
+    """Weights after passes of Adam over all windows in a seeded order; target -1: none."""
     m = _start(seed, INPUTS, width, classes)
     if not len(inputs):
         return m

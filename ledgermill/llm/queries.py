@@ -5,7 +5,9 @@ from . import (  # noqa: F401
     dedup_queries,
     html_queries,
     language_queries,
+    lm_queries,
     mixing_queries,
+    quality_queries,
     rule_queries,
     secret_queries,
     shard_queries,

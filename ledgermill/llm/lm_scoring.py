@@ -22,6 +22,7 @@ scored; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -184,22 +185,29 @@ def fit(training: DataFrame, counts: DataFrame, tokenizer: str = TOKENIZER) -> M
     vocabulary = attention.vocabulary(of_ids)
     sample = training.select("text", F.xxhash64("text").alias("k")).filter("text is not null")
     keys = sample.select("k").distinct().orderBy("k").limit(TRAIN_TEXTS).collect()
-    rows = sample.filter(F.col("k") <= keys[-1][0]).dropDuplicates(["k"]).orderBy("k").toArrow() if keys else None
-    weights = attention.train(*(_training(rows, proto, vocabulary) if keys else (np.zeros(0, np.int64),) * 3), epochs=EPOCHS)
+    rows = sample.filter(F.col("k") <= (keys[-1][0] if keys else 0)).dropDuplicates(["k"])
+    # one task trains on the bounded sample
+    trained = rows.repartition(1).mapInArrow(_train(proto, vocabulary), "weights binary").collect()
+    weights = pickle.loads(trained[0][0]) if trained else attention.train(*(np.zeros(0, np.int64),) * 3)
     return Model(
         proto, vocabulary, weights, codes[order], hot.column("c").to_numpy()[order],
         int(totals["n"]) + ends, int(totals["v"]) + (ends > 0), ends,
     )
 
 
-def _training(rows: pa.Table, proto: bytes, vocabulary: attention.Vocabulary):
-    column = rows.column("text").combine_chunks()
-    words = Words(column, BLANK_WORDS)
-    _, text, inputs, classes, _, lengths = _sequences(_Subwords(proto), words, vocabulary)
-    enough = int(np.searchsorted(np.cumsum(lengths), TRAIN_IDS, side="right"))
-    stop = max(1, enough)
-    keep = int((-(-lengths[:stop] // attention.STRIDE) * attention.STRIDE).sum())
-    return inputs[:keep], text[:keep], classes[:keep]
+def _train(proto: bytes, vocabulary: attention.Vocabulary):
+    def run(batches):
+        rows = pa.Table.from_batches(batches).sort_by("k") if (batches := list(batches)) else None
+        if rows is None or not rows.num_rows:
+            return
+        words = Words(rows.column("text").combine_chunks(), BLANK_WORDS)
+        _, text, inputs, classes, _, lengths = _sequences(_Subwords(proto), words, vocabulary)
+        whole = max(1, int(np.searchsorted(np.cumsum(lengths), TRAIN_IDS, side="right")))
+        stop = int((-(-lengths[:whole] // attention.STRIDE) * attention.STRIDE).sum())
+        weights = attention.train(inputs[:stop], text[:stop], classes[:stop], epochs=EPOCHS)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(weights)], pa.binary())], ["weights"])
+
+    return run
 
 
 def _score(shared):

@@ -31,6 +31,7 @@ an empty result.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,11 @@ THRESHOLD = 80  # percent
 WIDTH = 5
 DEVIATIONS = 6
 #: Pivots of an open list of shingles; each later round has so many times more.
-PIVOTS = 16
+PIVOTS = 64
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.05
 
+KEY = ["v", "low", "high"]
 _SIGN = np.uint64(1 << 63)
 
 
@@ -116,71 +118,82 @@ def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.mapInArrow(run, "node long, members binary")
 
 
-def _in_common(batches):
-    """``a, b, linked`` from pairs with both full sets and the least share in percent."""
-    for batch in batches:
-        x, y = batch.column("x"), batch.column("y")
-        share = batch.column("share").to_numpy()
-        linked = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            p = np.frombuffer(x[i].as_buffer(), np.uint64)
-            q = np.frombuffer(y[i].as_buffer(), np.uint64)
-            both = np.concatenate([p, q])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            linked[i] = 100 * common >= share[i] * (len(both) - common)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"]
-        )
+def _similar(threshold: int, sketch: int):
+    """Keep pairs with both full sets ``x`` and ``y`` whose similarity reaches the
+    threshold; the sketch of their union tells most others without the sets."""
+    estimate = _estimates(threshold, sketch)
 
+    def run(batches):
+        for batch in batches:
+            x = [np.frombuffer(m.as_buffer(), np.uint64) for m in batch.column("x")]
+            y = [np.frombuffer(m.as_buffer(), np.uint64) for m in batch.column("y")]
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (p, q) in enumerate(zip(x, y)):
+                if estimate(p[:sketch], q[:sketch]):
+                    union, common = _overlap(p, q)
+                    keep[i] = 100 * len(common) >= threshold * len(union)
+            yield batch.filter(pa.array(keep)).drop_columns(["x", "y"])
+
+    return run
 
-def _estimates(threshold: int, sketch: int):
-    """Keep pairs whose union sketch shares enough values."""
+
+def _near(threshold: int, sketch: int):
+    """Keep pairs whose sketches ``x`` and ``y`` make the threshold possible."""
+    estimate = _estimates(threshold, sketch)
 
     def run(batches):
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
-                both = np.concatenate([p, q])
-                both.sort()
-                twice = both[1:] == both[:-1]
-                union = both[np.concatenate([[True], ~twice])]
-                common = both[1:][twice]
-                if len(union) > sketch:
-                    common = common[common <= union[sketch - 1]]
-                    need = shared_at_least(sketch + 1, threshold, sketch)
-                else:
-                    need = threshold * len(union) / 100
-                keep[i] = len(common) >= need
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
+            keep = [estimate(x[i].values.to_numpy(), y[i].values.to_numpy()) for i in range(batch.num_rows)]
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["x", "y"])
 
     return run
 
 
+def _overlap(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union and intersection of two sorted sets."""
+    both = np.concatenate([p, q])
+    both.sort()
+    twice = both[1:] == both[:-1]
+    return both[np.concatenate([[True], ~twice])], both[1:][twice]
+
+
+def _estimates(threshold: int, sketch: int):
+    """A test of two sketches: whether the sketch of their union shares enough values."""
+    enough = shared_at_least(sketch + 1, threshold, sketch)
+
+    def test(p: np.ndarray, q: np.ndarray) -> bool:
+        union, common = _overlap(p, q)
+        if len(union) > sketch:
+            return (common <= union[sketch - 1]).sum() >= enough
+        return 100 * len(common) >= threshold * len(union)
+
+    return test
+
+
 class _Matcher:
-    """Tests pairs of nodes: size, union sketch, then full sets."""
+    """Tests pairs ``a, b`` of nodes, which may carry labels along."""
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, threshold: int, sketch: int):
         self.nodes, self.sets, self.threshold, self.sketch = nodes, sets, threshold, sketch
 
+    def _with(self, pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+        for end, name in (("b", "y"), ("a", "x")):
+            pairs = pairs.join(table.select(F.col("node").alias(end), F.col(value).alias(name)), end)
+        return pairs
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose union sketch does not rule them out."""
+        names = [c for c in ("a", "b", "la", "lb") if c in pairs.columns]
+        found = self._with(pairs, self.nodes, "sketch").select(*names, "x", "y")
+        return found.mapInArrow(_near(self.threshold, self.sketch), pairs.select(*names).schema)
+
     def links(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, linked`` of distinct pairs; written."""
-        near = (
-            pairs.join(self.nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
-            .join(self.nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), "a")
-            .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.threshold)
-            .select("a", "b", "x", "y")
-            .mapInArrow(_estimates(self.threshold, self.sketch), "a long, b long")
-        )
-        checked = (
-            near.join(self.sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-            .join(self.sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-            .select("a", "b", "x", "y", F.lit(self.threshold).alias("share"))
-            .mapInArrow(_in_common, "a long, b long, linked boolean")
-        )
-        return cut_lineage(checked.filter("linked").select("a", "b"), "links")
+        """The linked pairs; written."""
+        names = [c for c in ("a", "b", "la", "lb") if c in pairs.columns]
+        found = self._with(pairs, self.sets, "members").select(*names, "x", "y")
+        found = found.mapInArrow(_similar(self.threshold, self.sketch), pairs.select(*names).schema)
+        return cut_lineage(found, "links")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -188,20 +201,6 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels of the nodes after more links."""
-    merged = components(
-        links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-        .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    )
-    old = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select(
-        "node", F.coalesce("new", "label").alias("label")
-    )
-    fresh = merged.join(labels, "node", "left_anti").select("node", "label")
-    return cut_lineage(old.unionByName(fresh), "labels")
-
-
 def _gathered(shared: DataFrame) -> DataFrame:
     """A row per node of ``shared(node, n, label, v, df)``: its values, rarest first, and their count ``c``.
 
@@ -295,75 +294,92 @@ def near_duplicates(
     plain = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     wanted = plain.join(meeting, "node", "left_semi").dropDuplicates(["node", "text"])
     sets = cut_lineage(full_sets(wanted, width), "members")
-    # an id with several texts joins their sets
-    own = (
-        present.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).filter("doc_id <> node")
-        .join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        .select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    )
     matcher = _Matcher(nodes, sets, threshold, sketch)
 
     # every node against the first of its lists' pivots, those that share most with others
     heads = lists.groupBy("v").agg(F.min(F.struct((-F.col("c")).alias("c"), "node")).alias("p"))
     first = lists.join(heads, "v").groupBy("node").agg(F.min("p").alias("p"))
-    tested = cut_lineage(_ordered(first.select(F.col("p.node").alias("a"), F.col("node").alias("b"))), "pairs")
-    labels = components(matcher.links(tested).unionByName(own))
+    tested = _ordered(first.select(F.col("p.node").alias("a"), F.col("node").alias("b")))
+    links = matcher.links(tested)
+    if not present.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        links = links.unionByName(_own_links(present, nodes))
+    labels = components(links)
 
     # what is in a list with another component, by all of its shingles
-    left = _open_lists(lists, labels, ["v"]).select("node", "label").distinct()
-    lists = _set_lists(cut_lineage(left, "open"), sets, threshold)
-    key = ["v", "low", "high"]
-    lists = _open_lists(cut_lineage(lists, "lists"), labels, key)
-    sizes = lists.groupBy(key).agg(F.count("*").alias("m"))
+    now = lists.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    left = _open_lists(now, ["v"]).select("node", "label").distinct()
+    lists = _open_lists(cut_lineage(_set_lists(cut_lineage(left, "open"), sets, threshold), "lists"), KEY)
     # the order in which the members of a list become its pivots
     place = F.shiftrightunsigned(F.xxhash64("node", F.lit(7)), 32)
-    lists = cut_lineage(lists.join(sizes, key).withColumn("place", place), "lists")
-    done, pivots = 0, PIVOTS
-    while True:
-        if lists.isEmpty():
-            break
-        # the share of the order that has been pivots so far, of 2**32
-        upto = F.least(F.lit(1 << 32), F.floor(F.lit(float(pivots) * (1 << 32)) / F.col("m")))
-        before = F.least(F.lit(1 << 32), F.floor(F.lit(float(done) * (1 << 32)) / F.col("m")))
-        heads = lists.filter((F.col("place") < upto) & (F.col("place") >= before)).select(
-            *key, *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "c", "band")]
-        )
-        others = lists.select(*key, *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "c", "band")])
-        # |A & B| is at most c of either, and so the union at least the rest
-        alike = F.least("c_a", "c_b") * (100 + threshold) >= (F.col("n_a") + F.col("n_b")) * threshold
-        across = (F.col("low") == F.col("high")) | (F.col("band_a") != F.col("band_b"))
-        pairs = heads.join(others, key).filter((F.col("label_a") != F.col("label_b")) & across & alike)
-        pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        pairs = cut_lineage(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = matcher.links(pairs)
+    lists = cut_lineage(lists.withColumn("place", place), "lists")
+    joined, done, pivots = [], 0, PIVOTS
+    while not lists.isEmpty():
+        links = matcher.links(matcher.near(_list_pairs(lists, done, pivots, threshold)))
+        lists = lists.filter(F.col("m") > pivots)
         if not links.isEmpty():
-            labels = _relabel(labels, links)
-        tested = tested.unionByName(pairs)
-        if lists.filter(F.col("m") > pivots).isEmpty():
-            break
-        lists = cut_lineage(_open_lists(lists.filter(F.col("m") > pivots), labels, key), "lists")
+            joined.append(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            merged = components(joined[-1]).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            lists = lists.join(merged, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+        lists = cut_lineage(_open_lists(lists, KEY), "lists")
         done, pivots = pivots, pivots * PIVOTS
-    return _result(rows, nodes, labels)
+    classes = nodes.select("d1", "d2", "node").join(labels, "node", "left")
+    classes = classes.select("d1", "d2", F.coalesce("label", "node").alias("class"))
+    if joined:
+        merged = components(reduce(DataFrame.unionByName, joined))
+        merged = merged.select(F.col("node").alias("class"), F.col("label").alias("to"))
+        classes = classes.join(merged, "class", "left").select("d1", "d2", F.coalesce("to", "class").alias("class"))
+    return _result(rows, classes)
+
 
+def _own_links(present: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the nodes of one id's texts."""
+    return (
+        present.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).filter("doc_id <> node")
+        .join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        .select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
+    )
 
-def _open_lists(lists: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
-    """The lists whose members are in several components, with current labels.
+
+def _list_pairs(lists: DataFrame, done: int, pivots: int, threshold: int) -> DataFrame:
+    """``a, b, la, lb``: the lists' pivots with the members of other components.
+
+    Pivots are those whose place in the list's order, a number below 2**32, is
+    in the share from ``done`` to ``pivots`` of its ``m`` members.
+    """
+    upto = F.least(F.lit(1 << 32), F.floor(F.lit(float(pivots) * (1 << 32)) / F.col("m")))
+    before = F.least(F.lit(1 << 32), F.floor(F.lit(float(done) * (1 << 32)) / F.col("m")))
+    names = ("node", "label", "n", "c", "band")
+    side = lambda frame, end: frame.select(*KEY, *[F.col(c).alias(f"{c}_{end}") for c in names])
+    heads = side(lists.filter((F.col("place") < upto) & (F.col("place") >= before)), "a")
+    # |A & B| is at most c of either, and so the union at least the rest
+    alike = F.least("c_a", "c_b") * (100 + threshold) >= (F.col("n_a") + F.col("n_b")) * threshold
+    across = (F.col("low") == F.col("high")) | (F.col("band_a") != F.col("band_b"))
+    pairs = heads.join(side(lists, "b"), KEY).filter((F.col("label_a") != F.col("label_b")) & across & alike)
+    turned = F.col("node_a") > F.col("node_b")
+    return pairs.select(
+        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"),
+        F.when(turned, F.col("label_b")).otherwise(F.col("label_a")).alias("la"),
+        F.when(turned, F.col("label_a")).otherwise(F.col("label_b")).alias("lb"),
+    ).distinct()
+
+
+def _open_lists(lists: DataFrame, key: list[str]) -> DataFrame:
+    """The lists whose members are in several components, with their size ``m``.
 
     A list for two bands needs members of both.
     """
-    now = lists.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spread = now.groupBy(key).agg(
-        F.min("label").alias("first"), F.max("label").alias("last"),
-        *([F.min("band").alias("b1"), F.max("band").alias("b2")] if "band" in now.columns else []),
+    banded = "band" in lists.columns
+    spread = lists.groupBy(key).agg(
+        F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("m"),
+        *([F.min("band").alias("b1"), F.max("band").alias("b2")] if banded else []),
     ).filter("first <> last")
-    if "band" in now.columns:
+    if banded:
         spread = spread.filter("low = high or b1 <> b2")
-    return now.join(spread.select(key), key, "left_semi")
+    return lists.drop("m").join(spread.select(*key, "m"), key)
 
 
-def _result(rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Component ids of all rows from the components of the sets."""
-    classes = nodes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("class"))
+def _result(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Component ids of all rows from the classes of the sets."""
     return (
         rows.drop("sketch").join(classes, ["d1", "d2"], "left")
         .select(

@@ -38,10 +38,15 @@ def vocabulary(counts: np.ndarray, classes: int = CLASSES, inputs: int = INPUTS)
     """From the count of each id; every id keeps a share, seen or not."""
     counts = counts + 1.0
     order = np.argsort(-counts, kind="stable")
-    mass = np.cumsum(counts[order]) - counts[order]
-    of = np.minimum((mass * classes / counts.sum()).astype(np.int64), classes - 1)
     cls = np.empty(len(counts), np.int64)
-    cls[order] = of
+    number, mass, rest = 0, 0.0, counts.sum()
+    for i in order.tolist():
+        cls[i] = number
+        mass += counts[i]
+        # a class is full with an equal share of what the earlier ones left
+        if number < classes - 1 and mass * (classes - number) >= rest:
+            number, mass, rest = number + 1, 0.0, rest - mass
+    classes = int(cls.max()) + 1
     rank = np.empty(len(counts), np.int64)
     rank[order] = np.arange(len(counts))
     total = np.bincount(cls, weights=counts, minlength=classes)

@@ -204,7 +204,7 @@ def _train(proto: bytes, vocabulary: attention.Vocabulary):
         _, text, inputs, classes, _, lengths = _sequences(_Subwords(proto), words, vocabulary)
         whole = max(1, int(np.searchsorted(np.cumsum(lengths), TRAIN_IDS, side="right")))
         stop = int((-(-lengths[:whole] // attention.STRIDE) * attention.STRIDE).sum())
-        weights = attention.train(inputs[:stop], text[:stop], classes[:stop], epochs=EPOCHS)
+        weights = attention.train(inputs[:stop], text[:stop], classes[:stop], epochs=EPOCHS, classes=int(vocabulary.classes.max()) + 1)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(weights)], pa.binary())], ["weights"])
 
     return run

@@ -51,7 +51,7 @@ FDR = 0.01
 #: A test result this many standard deviations from random symbols rules them out.
 GATE = 3.3
 #: Changes between lower case, upper case, digits and signs per character of ordinary text.
-TEXT_CHANGES = 0.1
+TEXT_CHANGES = 0.2
 BINS_PER_POWER, BINS = 10, 300
 # ----------------------------------------------------------------------------
 

@@ -10,7 +10,7 @@ from .text import let, strip
 
 # A list inside a list inside a list ... is followed this many levels deep;
 # deeper values count as one text item (their JSON).
-LIST_DEPTH = 4
+LIST_DEPTH = 8
 
 
 def parse_object(json: Column) -> Column:

@@ -243,3 +243,15 @@ def is_time_label(c: Column) -> Column:
 def clean_words(c: Column) -> Column:
     """Lower-cased words without punctuation, as a distinct array."""
     return F.array_distinct(matches(F.lower(c), rf"[{WORD}]+"))
+
+
+def last_wins(pairs: Column) -> Column:
+    """Map from pairs in which a later pair replaces an earlier one."""
+    return F.map_from_entries(
+        F.filter(
+            pairs,
+            lambda p, i: ~F.exists(
+                F.slice(pairs, i + 2, F.size(pairs)), lambda q: q.key == p.key
+            ),
+        )
+    )

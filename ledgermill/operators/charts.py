@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import contains_any, is_blank, is_time_label, let, normalize_arabic, strip
+from ..functions.text import contains_any, is_blank, is_time_label, last_wins, let, normalize_arabic, strip
 from .routing import asks_improvement
 
 
@@ -56,7 +56,7 @@ def clean_series(replies: DataFrame, reply: str = "reply", keys: list[str] | Non
         F.col("_raw").isNotNull()
     ).withColumn(
         "_m",
-        F.map_from_entries(
+        last_wins(
             F.filter(
                 F.transform(
                     F.map_entries("_raw"),

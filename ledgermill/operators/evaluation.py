@@ -24,9 +24,9 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator, denominator), F.lit(0.0))
 
 
-def round_half_up(c: Column, digits: int) -> Column:
-    """Rounding on decimals, so that ties do not depend on binary fractions."""
-    return F.round(c.cast("decimal(18,6)"), digits).cast("double")
+def round_even(c: Column, digits: int) -> Column:
+    """Rounding in which a tie goes to the even digit."""
+    return F.bround(c.cast("double"), digits)
 
 
 # --------------------------------------------------------------------------
@@ -181,9 +181,9 @@ def token_overlap(answer: Column, target: Column) -> Column:
         return let(
             parts,
             lambda m: F.struct(
-                round_half_up(m.p, 2).alias("token_precision"),
-                round_half_up(m.r, 2).alias("token_recall"),
-                round_half_up(ratio(F.lit(2.0) * m.p * m.r, m.p + m.r), 2).alias("token_f1"),
+                round_even(m.p, 2).alias("token_precision"),
+                round_even(m.r, 2).alias("token_recall"),
+                round_even(ratio(F.lit(2.0) * m.p * m.r, m.p + m.r), 2).alias("token_f1"),
             ),
         )
 
@@ -213,7 +213,7 @@ def query_score(query_words: Column, candidate: Column) -> Column:
     return (
         F.when(F.size(query_words) == 0, F.lit(1.0))
         .when(overlap == 0, F.lit(0.0))
-        .otherwise(round_half_up(share, 3))
+        .otherwise(round_even(share, 3))
     )
 
 
@@ -251,7 +251,7 @@ def _decide(item: Column, sources: Column, query: Column, query_words: Column) -
             .when((strip(query) != "") & (asked <= 0), F.lit("query_intent_mismatch"))
             .otherwise(F.lit("grounded_relevant_item"))
         )
-        support = round_half_up(
+        support = round_even(
             F.lit(0.75) * number + F.lit(0.25) * F.least(word * 2, F.lit(1.0)), 3
         )
         return let(
@@ -569,7 +569,7 @@ def judge_means(rows: DataFrame, group_by: str = "model") -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("judge_rows"),
             *[
-                round_half_up(F.avg(F.col(f).cast("double")), 3).alias(f)
+                round_even(F.avg(F.col(f).cast("double")), 3).alias(f)
                 for f in C.JUDGE_MEAN_FIELDS
             ],
         )

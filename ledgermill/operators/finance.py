@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import contains_any, is_blank, let, normalize_arabic, strip
+from ..functions.text import contains_any, is_blank, last_wins, let, normalize_arabic, strip
 from .documents import source_name
 from .ordering import null_safe_join, number_rows, spread_join
 
@@ -42,18 +42,6 @@ def clean_value(c: Column) -> Column:
     return let(strip(c), body)
 
 
-def _last_wins(pairs: Column) -> Column:
-    """Map from pairs in which a later pair replaces an earlier one."""
-    return F.map_from_entries(
-        F.filter(
-            pairs,
-            lambda p, i: ~F.exists(
-                F.slice(pairs, i + 2, F.size(pairs)), lambda q: q.key == p.key
-            ),
-        )
-    )
-
-
 def row_fields(text: Column) -> Column:
     """``a: 1 | b: 2`` in a text's last line -> MAP<STRING, STRING>, else NULL."""
     line = F.element_at(F.split(F.regexp_replace(text, r"\n$", ""), r"\r\n|\n|\r", -1), -1)
@@ -73,7 +61,7 @@ def row_fields(text: Column) -> Column:
         line,
         lambda row: F.when(
             row.contains(" | ") & row.contains(":"),
-            let(pairs(row), lambda ps: F.when(F.size(ps) > 0, _last_wins(ps))),
+            let(pairs(row), lambda ps: F.when(F.size(ps) > 0, last_wins(ps))),
         ),
     )
 
@@ -111,7 +99,11 @@ def parse_csv_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             ).otherwise(c),
         )
 
-    lines = F.split(strip(F.col("csv")), r"\r?\n", -1)
+    # a line ends at a break outside quotes; a quote that is never closed is a plain character
+    lines = F.transform(
+        F.regexp_extract_all(strip(F.col("csv")), F.lit(r'((?:"[^"]*+"|[^"\n]++|")*+)(?:\n|\z)'), F.lit(1)),
+        lambda x: F.regexp_replace(x, r"\r$", ""),
+    )
     rows = blocks.select(
         key, "source", "block", cells(lines[0]).alias("_names"),
         F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("pos", "line"),
@@ -122,7 +114,7 @@ def parse_csv_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     return rows.select(
         key, "source", "block", (F.col("pos") + 1).cast("long").alias("row"),
-        _last_wins(F.filter(pairs, lambda p: p.key.isNotNull())).alias("fields"),
+        last_wins(F.filter(pairs, lambda p: p.key.isNotNull())).alias("fields"),
     )
 
 

@@ -53,16 +53,25 @@ def ranked(
 def build_postings(docs: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
     """``(doc_id, dl, term, tf)``.
 
-    The texts, not their many more tokens, are partitioned by document; the
-    counts per document and term then need no further shuffle.
+    Terms are counted inside their row: equal tokens are neighbours in sorted
+    order, and a term occurs as often as its run is long. Neither texts nor
+    tokens are shuffled.
     """
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).repartition("doc_id")
-    tokens = settle(texts, _t=tokenize(F.col("_text"))).drop("_text")
-    return (
-        tokens.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-        .groupBy("doc_id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
+    tokens = settle(texts, _t=F.array_sort(tokenize(F.col("_text")))).drop("_text")
+    places = F.sequence(F.lit(0), F.size("_t") - 1)
+    first = F.filter(
+        F.when(F.size("_t") > 0, places), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))
+    )
+    runs = settle(tokens, _first=first)
+    terms = F.transform(
+        "_first",
+        lambda i, n: F.struct(
+            F.get("_t", i).alias("term"),
+            (F.coalesce(F.get("_first", n + 1), F.size("_t")) - i).cast("long").alias("tf"),
+        ),
     )
+    return runs.select("doc_id", F.size("_t").alias("dl"), F.inline(terms))
 
 
 def raw_idf(df: Column, n_docs: Column) -> Column:
@@ -187,6 +196,8 @@ def bm25_topk(
 # --------------------------------------------------------------------------
 
 QUERY_BLOCK_BYTES = 64 << 20
+# Questions scored at once: with a batch of 10,000 documents, 80 MB of scores.
+QUERY_TILE = 1024
 
 
 def _similarity(docs: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
@@ -195,9 +206,10 @@ def _similarity(docs: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarra
     if metric == "dot":
         return dots
     if metric == "l2":
-        return -(
-            (queries**2).sum(1)[:, None] - 2 * dots + (docs**2).sum(1)[None, :]
-        )
+        # differences from a common center, so that far-off vectors do not cancel
+        center = docs.mean(axis=0)
+        a, b = queries - center, docs - center
+        return -((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None, :])
     lengths = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(docs, axis=1)[None, :]
     return np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
 
@@ -238,30 +250,45 @@ def vector_topk(
     """Exact nearest documents per question vector.
 
     ``queries(query_id, embedding)``, ``docs(doc_id, embedding)``. No pair is
-    ever emitted: a task keeps the best k per question while it reads. When
-    the question vectors fit ``block_bytes`` they travel with the tasks and the
-    corpus is read once without a shuffle; otherwise
-    :func:`vector_topk_blocks` is used.
+    ever emitted: a task keeps the best k per question while it reads. The
+    questions travel with the tasks in blocks of about ``block_bytes``, and the
+    corpus is read once for each block, without a shuffle; every metric takes
+    this way at every size. :func:`vector_topk_blocks` prunes instead, for
+    metrics that are distances. Vectors that are null, hold a null, or do not
+    have the questions' largest dimension match nothing.
     """
-    shape = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")
-    ).first()
-    if (shape["n"] or 0) * (shape["d"] or 0) * 8 > block_bytes:
-        return vector_topk_blocks(queries, docs, k, metric=metric)
-    table = queries.select("query_id", "embedding").toArrow()
+    width = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+    whole = (F.size("embedding") == width) & ~F.exists("embedding", lambda x: x.isNull())
+    asked = queries.filter(whole & F.col("query_id").isNotNull()).select("query_id", "embedding")
+    blocks = max(1, -(-asked.count() * width * 8 // block_bytes))
+    rows = docs.filter(whole).select(F.col("doc_id").cast("long"), "embedding")
+    parts = []
+    for b in range(blocks):
+        table = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        if table.num_rows:
+            parts.append(rows.mapInArrow(_nearest(table, k, metric), "query_id long, doc_id long, score double"))
+    if not parts:
+        return ranked(docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double"), k)
+    return ranked(reduce(DataFrame.unionByName, parts), k)
+
+
+def _nearest(table: pa.Table, k: int, metric: str, tile: int = QUERY_TILE):
+    """The best k documents of a task for each question, scored a tile of questions at a time."""
     query_ids = np.asarray(table["query_id"].to_numpy())
-    vectors = _matrix(table["embedding"], table.num_rows) if table.num_rows else None
+    vectors = _matrix(table["embedding"], table.num_rows)
 
-    def nearest(batches):
+    def run(batches):
         best = None
         for batch in batches:
-            if vectors is None or batch.num_rows == 0:
+            if batch.num_rows == 0:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = _block_topk(ids, _matrix(batch.column(1), batch.num_rows), vectors, k, metric)
-            if best is not None:
-                found = [np.concatenate(p) for p in zip(best, found)]
-            best = _best(*found, k)
+            values = _matrix(batch.column(1), batch.num_rows)
+            for start in range(0, len(vectors), tile):
+                slot, found, score = _block_topk(ids, values, vectors[start : start + tile], k, metric)
+                found = (slot + start, found, score)
+                best = found if best is None else tuple(np.concatenate(p) for p in zip(best, found))
+            best = _best(*best, k)
         if best is not None:
             slot, ids, score = best
             yield pa.RecordBatch.from_arrays(
@@ -269,13 +296,7 @@ def vector_topk(
                 names=["query_id", "doc_id", "score"],
             )
 
-    tasks = docs.sparkSession.sparkContext.defaultParallelism * 4
-    partial = (
-        docs.select(F.col("doc_id").cast("long"), "embedding")
-        .coalesce(tasks)
-        .mapInArrow(nearest, "query_id long, doc_id long, score double")
-    )
-    return ranked(partial, k)
+    return run
 
 
 def vector_topk_blocks(
@@ -346,12 +367,10 @@ def exhaustive_k(is_improvement: Column, corpus: Column, usual: Column) -> Colum
 def dedupe_hits(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """Keep the best-scored hit per question and trimmed content; rank again.
 
-    Grouping (not a window) lets many copies of one text collapse before the
-    shuffle, which carries a digest of the text.
+    Texts become digests where they are read, so that no shuffle carries them.
+    Grouping (not a window) lets many copies of one text collapse.
     """
-    texts = hits.join(docs.select("doc_id", "content"), "doc_id").withColumn(
-        "_key", F.sha2(strip(F.col("content")), 256)
-    )
+    texts = hits.join(docs.select("doc_id", F.sha2(strip(F.col("content")), 256).alias("_key")), "doc_id")
     kept = (
         texts.groupBy("query_id", "_key")
         .agg(F.min(F.struct((-F.col("score")).alias("neg"), "doc_id")).alias("_best"))

@@ -26,6 +26,8 @@ def _points(column, rows: int, metric: str) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    center = b.mean(axis=0)
+    a, b = a - center, b - center
     square = (a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None, :]
     return np.sqrt(np.maximum(square, 0.0))
 
@@ -95,6 +97,9 @@ def pruned_topk(
 
     if metric not in ("cosine", "l2"):
         raise ValueError("cells need a distance: use cosine or l2")
+    width = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+    whole = (F.size("embedding") == width) & ~F.exists("embedding", lambda x: x.isNull())
+    queries, docs = queries.filter(whole), docs.filter(whole)
     # a fixed number of vectors, chosen by hash; their quality affects speed only
     chosen = (
         docs.select("doc_id", "embedding").orderBy(F.xxhash64("doc_id")).limit(pivots).toArrow()

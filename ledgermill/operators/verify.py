@@ -54,19 +54,19 @@ def check_outcomes(checks: DataFrame) -> DataFrame:
     note = F.when(
         F.col("conflict"),
         F.concat(
-            F.col("number_in_answer"), F.lit(" claimed from source '"),
+            F.coalesce("number_in_answer", F.lit("None")), F.lit(" claimed from source '"),
             F.col("source_file_claimed"), F.lit("' but matched source '"),
             F.col("source_file_actual"), F.lit("'"),
         ),
     ).otherwise(
         F.concat(
-            F.col("number_in_answer"), F.lit(" attributed to '"),
-            F.col("row_label_in_source"),
+            F.coalesce("number_in_answer", F.lit("None")), F.lit(" attributed to '"),
+            F.coalesce("row_label_in_source", F.lit("None")),
             F.lit("' which does not match the question's intent"),
         )
     )
     bad = (
-        ~F.col("matches_question_intent")
+        ~F.coalesce("matches_question_intent", F.lit(False))
         | is_not_found(F.col("row_label_in_source"))
         | F.col("conflict")
     )

@@ -136,8 +136,8 @@ def rank_items(t):
       FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant'),
     h AS (SELECT conv_id, turn, len(list_intersect(aw, uw))::DOUBLE AS hits, len(aw) AS na, len(uw) AS nu FROM t),
     m AS (SELECT conv_id, turn, coalesce(hits / nullif(na, 0), 0) AS p, coalesce(hits / nullif(nu, 0), 0) AS r FROM h)
-    SELECT conv_id, turn, round(p::DECIMAL(18,6), 2)::DOUBLE AS token_precision, round(r::DECIMAL(18,6), 2)::DOUBLE AS token_recall,
-      round(coalesce(2 * p * r / nullif(p + r, 0), 0)::DECIMAL(18,6), 2)::DOUBLE AS token_f1 FROM m
+    SELECT conv_id, turn, round_even((p)::DECIMAL(30,15), 2)::DOUBLE AS token_precision, round_even((r)::DECIMAL(30,15), 2)::DOUBLE AS token_recall,
+      round_even((coalesce(2 * p * r / nullif(p + r, 0), 0))::DECIMAL(30,15), 2)::DOUBLE AS token_f1 FROM m
     """,
 )
 def token_overlap(t):
@@ -197,7 +197,7 @@ def validate_judge(t):
 @query(
     "judge_means",
     f"""WITH {JUDGED} SELECT coalesce(model, 'unknown') AS model, count(*) AS judge_rows,
-      {', '.join(f'round(avg({c}::DOUBLE)::DECIMAL(18,6), 3)::DOUBLE AS {n}' for c, n in zip('gnrco', C.JUDGE_MEAN_FIELDS))}
+      {', '.join(f'round_even((avg({c}::DOUBLE))::DECIMAL(30,15), 3)::DOUBLE AS {n}' for c, n in zip('gnrco', C.JUDGE_MEAN_FIELDS))}
       FROM j WHERE ok GROUP BY 1""",
 )
 def judge_means(t):
@@ -290,8 +290,8 @@ GROUNDED = f"""
     sc AS (SELECT di.*, coalesce(nov, 0) AS nov, coalesce(wov, 0) AS wov, coalesce(be.s, '') AS best, coalesce(sw, []) AS sw,
         list_has_all(every, nums) AS covered, list_distinct(list_concat(wrds, coalesce(sw, []))) AS cand
       FROM di LEFT JOIN be USING (entry_id, item) JOIN al USING (entry_id)),
-    qs AS (SELECT *, CASE WHEN len(qw) = 0 THEN 1.0 ELSE round(least(len(list_intersect(qw, cand))::DOUBLE / least(len(qw), 4), 1.0)::DECIMAL(18,6), 3)::DOUBLE END AS asked,
-        round((0.75 * nov + 0.25 * least(wov * 2, 1.0))::DECIMAL(18,6), 3)::DOUBLE AS support, nodata OR len(nums) = 0 AS nothing FROM sc),
+    qs AS (SELECT *, CASE WHEN len(qw) = 0 THEN 1.0 ELSE round_even((least(len(list_intersect(qw, cand))::DOUBLE / least(len(qw), 4), 1.0))::DECIMAL(30,15), 3)::DOUBLE END AS asked,
+        round_even(((0.75 * nov + 0.25 * least(wov * 2, 1.0)))::DECIMAL(30,15), 3)::DOUBLE AS support, nodata OR len(nums) = 0 AS nothing FROM sc),
     de AS (SELECT *, CASE WHEN nothing THEN 'non_financial_or_no_data_response' WHEN nov < 1 AND covered THEN 'cross_row_or_blended_figure'
         WHEN nov < 1 THEN 'ungrounded_or_hallucinated_figure'
         WHEN len(wrds) > 0 AND len(sw) > 0 AND len(list_intersect(wrds, sw)) = 0 THEN 'wrong_label_or_neighboring_row'

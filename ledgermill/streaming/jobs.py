@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,53 +43,78 @@ def token_rate(
 
 
 def start_token_rate(calls: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Closed windows appended to a Parquet table."""
+    """Windows as they change, appended to a Parquet table; ``latest_rates`` reads it.
+
+    A window counts from its first call on, and the last ones need no later
+    call to close them. Calls later than ``late`` are left out.
+    """
+    return _start_updates(token_rate(calls, **options), path, checkpoint)
+
+
+def latest_rates(updates: DataFrame) -> DataFrame:
+    """The current row of each window from the written updates."""
+    return _latest(updates, ["model", "window_start"], ["window_end", "used_tokens", "n_calls", "over_budget"])
+
+
+def _run_id(checkpoint: str) -> str:
+    """Names the rows of one checkpoint; another checkpoint never replaces them."""
+    return hashlib.md5(checkpoint.encode()).hexdigest()
+
+
+def _write_batch(rows: DataFrame, path: str, run: str, batch_id: int) -> None:
+    """Write a batch to its own folder; the same batch of the same run replaces it."""
+    (
+        rows.withColumn("run_id", F.lit(run)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id", "batch_id").parquet(path)
+    )
+
+
+def _start_updates(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    run = _run_id(checkpoint)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch.withColumn("written_at", F.current_timestamp()), path, run, batch_id)
+
     return (
-        token_rate(calls, **options)
-        .writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
+        changes.writeStream.foreachBatch(write).outputMode("update")
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def start_ingest(
-    docs: DataFrame,
-    path: str,
-    checkpoint: str,
-    *,
-    text: str = "text",
-    arrived: str = "arrived_at",
-    late: str = "1 day",
-) -> StreamingQuery:
+def _latest(updates: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    when = F.struct("written_at", "batch_id")
+    return updates.groupBy(*key).agg(F.max_by(F.struct(*values), when).alias("_v")).select(*key, "_v.*")
+
+
+def _stored(spark, path: str, schema: str) -> DataFrame:
+    """What a table holds so far; empty before its first batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def start_ingest(docs: DataFrame, path: str, checkpoint: str, *, text: str = "text") -> StreamingQuery:
     """Append documents whose fingerprint is new.
 
-    Copies that arrive close together are dropped by the stream's own state,
-    which the watermark bounds; older copies by an anti-join with what was
-    written before. A batch that runs again after a failure replaces its own
-    folder, so it is written once.
+    Copies inside a batch collapse by their fingerprint; older ones by an
+    anti-join with all that the table holds, whichever run wrote it. No
+    document is too late. A batch that runs again after a failure replaces its
+    own folder, so it is written once.
     """
-    fresh = (
-        docs.withColumn("fingerprint", fingerprint(F.col(text)))
-        .withWatermark(arrived, late)
-        .dropDuplicatesWithinWatermark(["fingerprint"])
-    )
+    run = _run_id(checkpoint)
+    fresh = docs.withColumn("fingerprint", fingerprint(F.col(text)))
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = None
-        if batch_id > 0:
-            known = (
-                spark.read.option("recursiveFileLookup", False)
-                .schema("fingerprint string, batch_id long").parquet(path)
-                .filter(F.col("batch_id") < batch_id)
-                .select("fingerprint")
-            )
-        rows = batch if known is None else batch.join(known, "fingerprint", "left_anti")
-        (
-            rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(path)
-        )
+        stored = _stored(batch.sparkSession, path, "fingerprint string, run_id string, batch_id long")
+        own = (F.col("run_id") == run) & (F.col("batch_id") == batch_id)
+        known = stored.filter(~own).select("fingerprint")
+        rows = batch.dropDuplicates(["fingerprint"]).join(known, "fingerprint", "left_anti")
+        _write_batch(rows, path, run, batch_id)
 
     return (
         fresh.writeStream.foreachBatch(append)
@@ -112,25 +140,9 @@ def start_chat_log(entries: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 def start_session_counts(entries: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Running counts per session: each batch writes the sessions it changed."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(path)
-        )
-
-    return (
-        session_counts(entries)
-        .writeStream.foreachBatch(write).outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    return _start_updates(session_counts(entries), path, checkpoint)
 
 
 def latest_counts(updates: DataFrame) -> DataFrame:
     """Current count per session from the written updates."""
-    return updates.groupBy("session_id").agg(
-        F.max_by("n_entries", "batch_id").alias("n_entries"),
-        F.max_by("last_id", "batch_id").alias("last_id"),
-    )
+    return _latest(updates, ["session_id"], ["n_entries", "last_id"])

@@ -37,20 +37,27 @@ def _position(df: DataFrame, key: str) -> Column:
 def with_segments(df: DataFrame, key: str, segments: int | None = None) -> DataFrame:
     """Add a segment number that never decreases along ``key``.
 
-    Segments split the key's range evenly, so the key should be roughly
-    uniform, as row numbers, ids and times are. The range is one row, read as
-    a scalar subquery over the key column alone.
+    Segments are cut at the key's quantiles, so each has about as many rows
+    whatever the keys look like; rows of one key value share a segment. The
+    cuts are one row, read as a scalar subquery over the key column alone, and
+    a row finds its segment by halving. Rows without a key are in the first.
     """
     n = segments or segment_count(df)
     position = _position(df, key)
-    low = df.select(F.min(position)).scalar()
-    high = df.select(F.max(position)).scalar()
-    share = F.try_divide(position - low, high - low)
-    return df.withColumn(
-        SEGMENT,
-        F.least(
-            F.lit(n - 1), F.floor(F.coalesce(share, F.lit(0.0)) * F.lit(n)).cast("int")
-        ),
+    shares = [i / n for i in range(1, n)] or [0.5]
+    cuts = df.select(F.percentile_approx(position, shares, 10 * n).alias("c")).scalar()
+    steps = [F.lit(1 << b) for b in reversed(range(len(shares).bit_length()))]
+    found = F.aggregate(
+        F.array(*steps),
+        F.lit(0),
+        lambda at, step: F.when(
+            (at + step <= F.size("_cuts")) & (F.get("_cuts", at + step - 1) <= F.col("_position")), at + step
+        ).otherwise(at),
+    )
+    return (
+        df.withColumn("_cuts", cuts).withColumn("_position", position)
+        .withColumn(SEGMENT, F.when(F.lit(n > 1), F.coalesce(found, F.lit(0))).otherwise(F.lit(0)).cast("int"))
+        .drop("_cuts", "_position")
     )
 
 

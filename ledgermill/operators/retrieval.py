@@ -464,10 +464,12 @@ def hybrid_candidates(
     """
     if "variant" not in queries.columns:
         queries = queries.withColumn("variant", F.lit(0))
-    keyed = queries.select(
-        F.struct("query_id", "variant").alias("_pair"), "text", "embedding"
-    ).withColumn("_id", F.xxhash64("_pair"))
-    names = keyed.select("_id", F.col("_pair.query_id").alias("_q"))
+    # each variant is a question of its own; its number is written once
+    keyed = cut_lineage(
+        queries.select(F.col("query_id").alias("_q"), "text", "embedding").withColumn("_id", F.monotonically_increasing_id()),
+        "variants",
+    )
+    names = keyed.select("_id", "_q")
     legs = [
         bm25_topk(keyed.select(F.col("_id").alias("query_id"), "text"), docs, k),
         vector_topk(

@@ -15,9 +15,9 @@ K = 20
 
 
 def questions(t):
-    """Benchmark items with the vector of the same number."""
+    """Benchmark items with the vector of the same number, null where there is none."""
     return t.benchmark.select(F.col("item_id").alias("query_id"), "text").join(
-        t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id"
+        t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left"
     )
 
 
@@ -40,8 +40,7 @@ TERMS = f"""
 """
 
 BM25 = f"""{TERMS},
-    qt AS (SELECT item_id AS query_id, {Q.base_tokens('text')} AS b FROM benchmark
-      WHERE item_id IN (SELECT vec_id FROM embeddings)),
+    qt AS (SELECT item_id AS query_id, {Q.base_tokens('text')} AS b FROM benchmark),
     qq AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(list_concat(b,
         list_filter(b, lambda x: regexp_full_match(x, '[0-9]+')))) AS term FROM qt) GROUP BY ALL),
     bs AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (tokens / n)))), 6) AS score
@@ -135,10 +134,9 @@ def hybrid_fusion(t):
 
 
 VARIANTS = BM25.replace(
-    f"""SELECT item_id AS query_id, {Q.base_tokens('text')} AS b FROM benchmark
-      WHERE item_id IN (SELECT vec_id FROM embeddings)""",
+    f"""SELECT item_id AS query_id, {Q.base_tokens('text')} AS b FROM benchmark""",
     f"""SELECT item_id * 2 + v AS query_id, {Q.base_tokens("text || CASE WHEN v = 1 THEN ' the report of and' ELSE '' END")} AS b
-      FROM benchmark, (SELECT unnest([0, 1]) AS v) WHERE item_id IN (SELECT vec_id FROM embeddings)""",
+      FROM benchmark, (SELECT unnest([0, 1]) AS v)""",
 )
 
 

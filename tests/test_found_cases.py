@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgermill.operators import charts, documents, evaluation, finance, retrieval, verify
+from ledgermill.operators import charts, documents, evaluation, finance, ordering, retrieval, verify
 
 
 @pytest.mark.parametrize(
@@ -70,3 +70,13 @@ def test_terms_are_counted_in_their_row(spark):
     found = retrieval.build_postings(frame)
     assert sorted((r["doc_id"], r["dl"], r["term"], r["tf"]) for r in found.collect()) == [(1, 5, "7", 2), (1, 5, "a", 1), (1, 5, "b", 2)]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_follow_the_rows(spark):
+    keys = [10**12] + list(range(20000)) + [7] * 500
+    frame = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k long")
+    cut = ordering.with_segments(frame, "k", 8)
+    sizes = [r["count"] for r in cut.groupBy(ordering.SEGMENT).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 1.5 * len(keys) / 8
+    spans = sorted(map(tuple, cut.groupBy(ordering.SEGMENT).agg(F.min("k"), F.max("k")).collect()))
+    assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..operators import documents as D
 from ..operators import incremental as I
 from ..sources import files
+from . import duck as Q
 from .registry import query
 
 SUMMARY = ["source", "row", "total_rows", "content"]
@@ -388,7 +390,25 @@ def chunk_documents(t):
     )
 
 
-@query("chunk_by_paragraph")
+def _paragraph_cut() -> str:
+    ends = [f"length(regexp_extract(b, '(?s)^.*{mark}'))" for mark in ("\\n\\n", "\\n", " ")]
+    inner = ", ".join(f"CASE WHEN {end} * 2 > {STEP} THEN {end} END" for end in ends)
+    return f"CASE WHEN i = len(bs) THEN length(b) ELSE coalesce({inner}, {STEP}) END"
+
+
+STEP = D.paragraph_step(C.CHUNK_SIZE, C.CHUNK_OVERLAP)
+PARAGRAPHS = rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(text, '(?s).{{1,{STEP}}}') AS bs FROM documents),
+    b AS (SELECT doc_id, i, bs[i] AS b, {_paragraph_cut().replace('(b,', '(bs[i],').replace('length(b)', 'length(bs[i])')} AS cut
+      FROM (SELECT *, unnest(range(1, len(bs) + 1)) AS i FROM d)),
+    l AS (SELECT *, lag(b) OVER w AS pb, lag(cut) OVER w AS pc FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    p AS (SELECT doc_id, i, {Q.strip(rf"(coalesce(regexp_replace(substring(pb, greatest(pc - {C.CHUNK_OVERLAP} + 1, 1), least(pc, {C.CHUNK_OVERLAP})), '^\S*\s', '') || substring(pb, pc + 1), '') || substring(b, 1, cut))")} AS t FROM l)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_no, md5(t) AS chunk_md5, length(t) AS n_chars
+    FROM p WHERE t <> ''
+"""
+
+
+@query("chunk_by_paragraph", PARAGRAPHS)
 def chunk_by_paragraph(t):
     return D.chunk_by_paragraph(corpus(t)).select(
         "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"),

@@ -146,10 +146,16 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     df[list(seen)] = list(seen.values())
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     keyed = rows.withColumn("h", F.xxhash64("text", F.lit(8)))
-    languages = keyed.select("lang").distinct().count()
-    quota = max(1, SAMPLE_ROWS // languages)
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = keyed.select("lang", "h").distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= quota)
+    sizes = {r["lang"]: r["count"] for r in keyed.groupBy("lang").count().collect()}
+    quota = max(1, SAMPLE_ROWS // len(sizes))
+    # of a common language, hashes below which about four times the quota lie
+    limits = F.create_map(*[
+        x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, 4 * quota / n) * 2.0**32))
+    ])
+    keyed = keyed.withColumn("u", F.shiftrightunsigned("h", 32)).filter(F.col("u") <= F.element_at(limits, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy("u", "h")
+    chosen = keyed.select("lang", "u", "h").distinct().withColumn("r", F.row_number().over(order))
+    chosen = chosen.filter(F.col("r") <= quota)
     chosen = cut_lineage(chosen.select("lang", "h"), "sample")
     sample = keyed.join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
     found = sample.mapInArrow(_sparse, "lang string, places binary, counts binary").collect()

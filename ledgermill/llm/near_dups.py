@@ -48,6 +48,8 @@ WIDTH = 5
 DEVIATIONS = 6
 #: Pivots of an open list of shingles; each later round has so many times more.
 PIVOTS = 64
+#: Members of a list that one task holds against its pivots.
+LIST_ROWS = 256
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.05
 
@@ -349,12 +351,16 @@ def _list_pairs(lists: DataFrame, done: int, pivots: int, threshold: int) -> Dat
     upto = F.least(F.lit(1 << 32), F.floor(F.lit(float(pivots) * (1 << 32)) / F.col("m")))
     before = F.least(F.lit(1 << 32), F.floor(F.lit(float(done) * (1 << 32)) / F.col("m")))
     names = ("node", "label", "n", "c", "band")
-    side = lambda frame, end: frame.select(*KEY, *[F.col(c).alias(f"{c}_{end}") for c in names])
-    heads = side(lists.filter((F.col("place") < upto) & (F.col("place") >= before)), "a")
+    side = lambda frame, end: frame.select(*KEY, "salt", *[F.col(c).alias(f"{c}_{end}") for c in names])
+    # a large list is dealt over several tasks, each with all of its pivots
+    tasks = F.ceil(F.col("m") / LIST_ROWS)
+    heads = lists.filter((F.col("place") < upto) & (F.col("place") >= before))
+    heads = side(heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1))), "a")
+    others = side(lists.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(11)), tasks)), "b")
     # |A & B| is at most c of either, and so the union at least the rest
     alike = F.least("c_a", "c_b") * (100 + threshold) >= (F.col("n_a") + F.col("n_b")) * threshold
     across = (F.col("low") == F.col("high")) | (F.col("band_a") != F.col("band_b"))
-    pairs = heads.join(side(lists, "b"), KEY).filter((F.col("label_a") != F.col("label_b")) & across & alike)
+    pairs = heads.join(others, [*KEY, "salt"]).filter((F.col("label_a") != F.col("label_b")) & across & alike)
     turned = F.col("node_a") > F.col("node_b")
     return pairs.select(
         F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"),

@@ -10,8 +10,8 @@ words' counts. The weights of the attention model are fitted on a bounded
 sample: at most ``TRAIN_TEXTS`` training texts, those with the smallest
 hashes, and of them whole texts up to ``TRAIN_IDS`` ids.
 
-Looking up the counts of a text's words: the ``HOT`` most frequent words go to
-every task, a table of fixed size. The other words of a text join the table of
+Looking up the counts of a text's words: the most frequent words, ``HOT`` at most,
+go to every task. The other words of a text join the table of
 counts as rows of hash and text number, and their sums return per text. No
 text is shuffled. Words are matched by 64-bit hashes there.
 
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import attention
 from .language import fold
+from .sampling import least_hashes
 from .words import BLANK_WORDS, Words, text_slices
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -168,6 +169,23 @@ def _sequences(subwords: _Subwords, words: Words, vocabulary: attention.Vocabula
     return slot, text, inputs, classes, target, lengths
 
 
+def _hot_from(counts: DataFrame) -> int:
+    """The least count of which at most ``HOT`` words have as many or more.
+
+    Counts are grouped in bins of a sixteenth of a power of two, so the
+    grouped table has at most a thousand rows.
+    """
+    number = F.floor(F.log2("c") * 16)
+    bins = counts.groupBy(number.alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    above, least = 0, 2**62
+    for r in sorted(bins, key=lambda r: -r["b"]):
+        above += r["n"]
+        if above > HOT:
+            break
+        least = r["c"]
+    return least
+
+
 def fit(training: DataFrame, counts: DataFrame, tokenizer: str = TOKENIZER) -> Model:
     """The model from training texts and their word counts ``word, h, c``."""
     with open(tokenizer, "rb") as f:
@@ -175,7 +193,7 @@ def fit(training: DataFrame, counts: DataFrame, tokenizer: str = TOKENIZER) -> M
     pieces = sentencepiece.SentencePieceProcessor(model_proto=proto).get_piece_size()
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
-    hot = counts.orderBy(F.desc("c"), "h").limit(HOT).select("h", "c").toArrow()
+    hot = counts.filter(F.col("c") >= _hot_from(counts)).select("h", "c").toArrow()
     codes = hot.column("h").to_numpy().view(np.uint64)
     order = np.argsort(codes)
     of_ids = np.zeros(pieces, np.int64)
@@ -184,8 +202,8 @@ def fit(training: DataFrame, counts: DataFrame, tokenizer: str = TOKENIZER) -> M
     of_ids[END] += ends
     vocabulary = attention.vocabulary(of_ids)
     sample = training.select("text", F.xxhash64("text").alias("k")).filter("text is not null")
-    keys = sample.select("k").distinct().orderBy("k").limit(TRAIN_TEXTS).collect()
-    rows = sample.filter(F.col("k") <= (keys[-1][0] if keys else 0)).dropDuplicates(["k"])
+    keys = least_hashes(sample, "k", TRAIN_TEXTS)
+    rows = sample.filter(F.col("k") <= (keys[-1] if keys else 0)).dropDuplicates(["k"])
     # one task trains on the bounded sample
     trained = rows.repartition(1).mapInArrow(_train(proto, vocabulary), "weights binary").collect()
     weights = pickle.loads(trained[0][0]) if trained else attention.train(*(np.zeros(0, np.int64),) * 3)

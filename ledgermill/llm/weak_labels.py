@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.text import settle
 from ..session import cut_lineage
 from .rules import STOP_WORDS, WORD
+from .sampling import least_hashes
 from .words import BLANK_WORDS, Words, text_slices
 
 TRAIN_ROWS = 6000
@@ -178,9 +179,8 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -
     grouped.sort(key=lambda r: r["votes"])
     patterns = np.array([[int(c) for c in r["votes"]] for r in grouped])
     model = estimate(patterns, np.array([r["count"] for r in grouped], float))
-    chosen = voted.distinct().orderBy("h").limit(train_rows)
-    label = {r["h"]: r["votes"] for r in chosen.collect()}
-    last = max(label)
+    last = least_hashes(voted, "h", train_rows)[-1]
+    label = {r["h"]: r["votes"] for r in voted.filter(F.col("h") <= last).distinct().collect()}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(text.alias("text"), F.xxhash64(text, F.lit(5)).alias("h")).filter(F.col("h") <= last)
     found = keyed.mapInArrow(_hashed, "h long, places binary, shares binary").dropDuplicates(["h"]).collect()

@@ -9,6 +9,7 @@ import decimal
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -77,7 +78,7 @@ def main(argv):
 
     spark = build_session(
         **{"spark.master": "local[8]", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8",
-           "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"}
+           "spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="checking-"), "spark.ui.showConsoleProgress": "false"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)

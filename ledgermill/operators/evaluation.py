@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions import jsonvals as J
@@ -190,9 +191,41 @@ def token_overlap(answer: Column, target: Column) -> Column:
     return let(pair, body)
 
 
-def overlap_target() -> Column:
-    """The text an answer is compared with: its reference, else its context."""
-    return F.coalesce("reference_answer", "retrieved_context", "source_chunks")
+def _as_text(records: DataFrame, name: str) -> Column:
+    """A field as text; the texts of a list one after the other."""
+    if isinstance(records.schema[name].dataType, T.ArrayType):
+        return F.array_join(name, " ", "None")
+    return F.col(name).cast("string")
+
+
+def overlap_target(records: DataFrame) -> Column:
+    """The text an answer is compared with: its reference, else its context, else its chunks.
+
+    Each may be absent, text or a list of texts.
+    """
+    fields = ("reference_answer", "retrieved_context", "source_chunks")
+    present = [_as_text(records, name) for name in fields if name in records.columns]
+    return F.coalesce(*present, F.lit(""))
+
+
+def chunk_text(records: DataFrame, name: str = "source_chunks") -> Column:
+    """Source chunks as one numbered text; plain text stays as it is."""
+    if isinstance(records.schema[name].dataType, T.ArrayType):
+        numbered = F.transform(
+            name, lambda c, i: F.concat(F.lit("[Chunk "), (i + 1).cast("string"), F.lit("]\n"), F.coalesce(c, F.lit("None")))
+        )
+        return F.coalesce(F.array_join(numbered, "\n\n"), F.lit(""))
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def judge_texts(records: DataFrame) -> DataFrame:
+    """Question, sources and answer of each record without model names."""
+    plain = lambda c: redact_models(F.coalesce(c, F.lit("")))
+    return records.withColumns({
+        "question_text": plain(F.col("question")),
+        "source_text": plain(chunk_text(records)),
+        "answer_text": plain(F.col("generated_answer")),
+    })
 
 
 # --------------------------------------------------------------------------
@@ -574,10 +607,3 @@ def judge_means(rows: DataFrame, group_by: str = "model") -> DataFrame:
             ],
         )
     )
-
-
-def judge_prompt_texts(records: DataFrame) -> DataFrame:
-    """Question, sources and answer as a judge may see them: no model names."""
-    return records.withColumns(
-        {c: redact_models(F.col(c)) for c in ("question", "source_text", "generated_answer")}
-    )

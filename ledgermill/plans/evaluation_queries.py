@@ -152,6 +152,61 @@ def token_overlap(t):
     ).select("conv_id", "turn", "m.*")
 
 
+def evaluation_records(t):
+    """Records whose target is a reference, a list of contexts or a list of chunks."""
+    c, kind = t.conversations, F.pmod("turn", F.lit(3))
+    words = F.split("text", " ")
+    return c.select(
+        "conv_id", "turn", F.concat(F.lit("Did GPT-oss say: "), "text").alias("question"),
+        F.concat_ws(" ", F.slice(F.array_sort(words), 1, 6)).alias("generated_answer"),
+        F.when(kind == 0, F.col("text")).alias("reference_answer"),
+        F.when(kind == 1, words).alias("retrieved_context"),
+        F.when(kind == 2, F.array("text", F.lit("claude"))).alias("source_chunks"),
+    )
+
+
+RECORDS = f"""
+    r AS (SELECT conv_id, turn, 'Did GPT-oss say: ' || text AS question,
+      array_to_string(list_sort(string_split(text, ' '))[1:6], ' ') AS answer,
+      CASE WHEN turn % 3 = 2 THEN text || ' claude' ELSE text END AS target,
+      CASE WHEN turn % 3 = 2 THEN '[Chunk 1]' || chr(10) || text || chr(10) || chr(10) || '[Chunk 2]' || chr(10) || 'claude' ELSE '' END AS chunks
+    FROM conversations)
+"""
+
+
+def _clean_set(c: str) -> str:
+    return f"""list_distinct({Q.words(f"regexp_replace(lower({Q.plain(c)}), '[^{Q.W}\\s]', ' ', 'g')")})"""
+
+
+def _redacted(c: str) -> str:
+    return f"""regexp_replace({c}, '(?i)(^|[^{Q.W}])(?:{C.MODEL_NAMES_PATTERN})($|[^{Q.W}])', '\\1{C.REDACTED_MODEL}\\2', 'g')"""
+
+
+@query(
+    "overlap_records",
+    f"""WITH {RECORDS}, s AS (SELECT conv_id, turn, {_clean_set('answer')} AS aw, {_clean_set('target')} AS uw FROM r),
+    m AS (SELECT conv_id, turn, coalesce(len(list_intersect(aw, uw))::DOUBLE / nullif(len(aw), 0), 0) AS p,
+      coalesce(len(list_intersect(aw, uw))::DOUBLE / nullif(len(uw), 0), 0) AS r FROM s)
+    SELECT conv_id, turn, round_even(p::DECIMAL(30,15), 2)::DOUBLE AS token_precision, round_even(r::DECIMAL(30,15), 2)::DOUBLE AS token_recall,
+      round_even(coalesce(2 * p * r / nullif(p + r, 0), 0)::DECIMAL(30,15), 2)::DOUBLE AS token_f1 FROM m""",
+)
+def overlap_records(t):
+    """Overlap of answers with whichever target their record has."""
+    records = evaluation_records(t)
+    overlap = E.token_overlap(F.col("generated_answer"), E.overlap_target(records))
+    return records.select("conv_id", "turn", overlap.alias("m")).select("conv_id", "turn", "m.*")
+
+
+@query(
+    "judge_texts",
+    f"""WITH {RECORDS} SELECT conv_id, turn, {_redacted('question')} AS question_text, {_redacted('chunks')} AS source_text,
+      {_redacted('answer')} AS answer_text FROM r""",
+)
+def judge_texts(t):
+    """What a judge reads of each record."""
+    return E.judge_texts(evaluation_records(t)).select("conv_id", "turn", "question_text", "source_text", "answer_text")
+
+
 # judge replies -------------------------------------------------------------------
 
 def judge_replies(t):

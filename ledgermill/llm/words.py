@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one numpy pass handles at most, unless one text is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 # The separators of the two word rules.
 BLANKS = [0x20, *range(0x09, 0x0E)]

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import small_batches
 from .fm_index import FMIndex
 from .words import ALNUM_WORDS, Words, text_slices
 
@@ -176,7 +177,7 @@ def benchmark_hits(
     ``spans`` the same as UTF-8 byte offsets. ``remove`` cuts the spans out of
     the text. Without ``keep`` only the id and the added columns return.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
     bench = bench.filter("text is not null")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import small_batches
 from .html_blocks import Tree, blocks, features, labelled_table, train
 
 
@@ -37,7 +38,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    rows = pages.select(F.struct(*kept).alias("row"), F.col(html_col).cast("string").alias("html"))
+    rows = small_batches(pages).select(F.struct(*kept).alias("row"), F.col(html_col).cast("string").alias("html"))
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
     found = rows.mapInArrow(run, schema)
     return found.select("row.*", "text", F.length("text").cast("long").alias("n_chars"))

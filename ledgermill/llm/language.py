@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from .batches import small_batches
 from .words import text_bytes, text_slices
 
 FEATURES = 4096
@@ -135,7 +136,7 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
 
 def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Centroids | None:
     """Centroids from labelled rows; None where there are none."""
-    rows = training.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = small_batches(training).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("text is not null and lang is not null")
     seen = rows.select("text").mapInArrow(_document_counts, "place long, n long")
     seen = {r["place"]: r["n"] for r in seen.groupBy("place").agg(F.sum("n").alias("n")).collect()}
@@ -190,7 +191,7 @@ def _cutoffs(score: np.ndarray, band: np.ndarray) -> np.ndarray:
 
 def identify(docs: DataFrame, model: Centroids | None, text_col: str = "text", keep: bool = True, also=()) -> DataFrame:
     """Rows with ``lang_pred, score, rejected``; without ``keep`` only the columns ``also`` stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for part in _slices(batches):

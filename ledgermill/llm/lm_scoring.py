@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import attention
+from .batches import small_batches
 from .language import fold
 from .sampling import least_hashes
 from .words import BLANK_WORDS, Words, text_slices
@@ -274,7 +275,7 @@ def score_texts(
 
     Training texts are those whose id's fold is not ``held``.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         F.coalesce(fold(F.col(id_col), folds) == held, F.lit(False)).alias("held_out"),

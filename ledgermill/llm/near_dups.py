@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .batches import small_batches
 from .components import components
 from .words import BLANK_WORDS, Words, mix, shingles, text_slices
 
@@ -282,6 +283,7 @@ def near_duplicates(
     row's own id being that one. Linked are sets with
     ``100 * |A & B| >= threshold * |A | B|`` over ``width``-word shingles.
     """
+    docs = small_batches(docs)
     rows = cut_lineage(sketches(docs, width, sketch, id_col, text_col), "sketches")
     present = rows.filter("n > 0 and doc_id is not null")
     # a node is one distinct set, named by its smallest id

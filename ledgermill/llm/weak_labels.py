@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import settle
 from ..session import cut_lineage
+from .batches import small_batches
 from .rules import STOP_WORDS, WORD
 from .sampling import least_hashes
 from .words import BLANK_WORDS, Words, text_slices
@@ -172,6 +173,7 @@ class Scorer:
 
 def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Scorer:
     """Label model over all rows and the scorer from its posteriors."""
+    docs = small_batches(docs)
     voted = cut_lineage(votes(docs, text_col), "votes")
     grouped = voted.groupBy("votes").count().collect()  # at most 3 ** labellers rows
     if not grouped:
@@ -192,7 +194,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -
 
 def score(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, kept`` of every row; kept from a score of one half."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.weights)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model.weights)
 
     def run(batches):
         weights = shared.value

@@ -21,8 +21,8 @@ import numpy as np
 STRIDE = 16
 WIDTH = 16
 CLASSES = 128
-INPUTS = 4096
 CHUNK = 64  # windows in one numpy pass
+WEIGHTS_A_ROW = 16  # of the table form of a model
 
 
 @dataclass
@@ -31,10 +31,10 @@ class Vocabulary:
 
     classes: np.ndarray  # of each id
     within: np.ndarray  # log10 of each id's share of its class
-    inputs: np.ndarray  # of each id: its rank by frequency, at most INPUTS - 1
+    inputs: np.ndarray  # of each id: its rank by frequency, so every id has an input row of its own
 
 
-def vocabulary(counts: np.ndarray, classes: int = CLASSES, inputs: int = INPUTS) -> Vocabulary:
+def vocabulary(counts: np.ndarray, classes: int = CLASSES, inputs: int | None = None) -> Vocabulary:
     """From the count of each id; every id keeps a share, seen or not."""
     counts = counts + 1.0
     order = np.argsort(-counts, kind="stable")
@@ -50,7 +50,7 @@ def vocabulary(counts: np.ndarray, classes: int = CLASSES, inputs: int = INPUTS)
     rank = np.empty(len(counts), np.int64)
     rank[order] = np.arange(len(counts))
     total = np.bincount(cls, weights=counts, minlength=classes)
-    return Vocabulary(cls, np.log10(counts / total[cls]), np.minimum(rank, inputs - 1))
+    return Vocabulary(cls, np.log10(counts / total[cls]), np.minimum(rank, (inputs or len(counts)) - 1))
 
 
 def _start(seed: int, inputs: int, width: int, classes: int) -> dict[str, np.ndarray]:
@@ -109,7 +109,14 @@ def _forward(m: dict, inputs: np.ndarray, text: np.ndarray) -> dict:
     return {"x": x, "q": q, "k": k, "v": v, "s": s, "h": h, "z": z}
 
 
-def log10_classes(m: dict, inputs: np.ndarray, text: np.ndarray, target: np.ndarray) -> np.ndarray:
+def projected(m: dict) -> list[np.ndarray]:
+    """What ``log10_classes`` reads of each input row; made once for many runs of texts."""
+    own = [np.ascontiguousarray(m["embed"] @ m[k]) for k in ("query", "key", "value", "own")]
+    own[0] *= np.float32(WIDTH**-0.5)
+    return own
+
+
+def log10_classes(m: dict, inputs: np.ndarray, text: np.ndarray, target: np.ndarray, own=None) -> np.ndarray:
     """log10 of the model's probability of the class at each slot.
 
     ``inputs`` are the numbers read up to each slot, ``text`` tells texts apart;
@@ -119,8 +126,7 @@ def log10_classes(m: dict, inputs: np.ndarray, text: np.ndarray, target: np.ndar
     pass covers few windows, so that it stays in the cache.
     """
     out = np.empty(len(inputs), np.float32)
-    own = [np.ascontiguousarray(m["embed"] @ m[k]) for k in ("query", "key", "value", "own")]
-    own[0] *= np.float32(WIDTH**-0.5)
+    own = own or projected(m)
     # the mask: causal, and without the first half where a text begins
     near = np.where(_CAUSAL, m["near"][_BACK], np.float32(-1e9))
     near = np.stack([near, np.where(_KEY < STRIDE, np.float32(-1e9), near)])
@@ -148,35 +154,84 @@ def log10_classes(m: dict, inputs: np.ndarray, text: np.ndarray, target: np.ndar
     return out
 
 
+class Learner:
+    """Adam over minibatches of windows; an input row moves only in the steps that read it."""
+
+    def __init__(self, m: dict, seed: int = 7):
+        self.m = {k: v.copy() for k, v in m.items()}
+        self.first = {k: np.zeros_like(v) for k, v in m.items()}
+        self.second = {k: np.zeros_like(v) for k, v in m.items()}
+        self.reads = np.zeros(len(m["embed"]), np.int64)  # of each input row
+        self.rng = np.random.default_rng(seed)
+        self.step = self.positions = 0
+
+    def learn(self, inputs: np.ndarray, text: np.ndarray, target: np.ndarray, rate, batch: int = 64) -> None:
+        """One pass over all windows in a seeded order; ``rate`` gives the step's size from its number."""
+        if not len(inputs):
+            return
+        wi, wt, wy = _windows(inputs, 0), _windows(text, -1), _windows(target, -1)[:, STRIDE:]
+        order = self.rng.permutation(len(wi))
+        for a in range(0, len(order), batch):
+            pick = order[a : a + batch]
+            seen = wy[pick] >= 0
+            if not seen.any():
+                continue
+            self.step += 1
+            self.positions += int(seen.sum())
+            grad, rows, moved = _gradients(self.m, wi[pick], wt[pick], wy[pick])
+            self.reads += np.bincount(wi[pick][:, STRIDE:][seen], minlength=len(self.reads))
+            lr = rate(self.step)
+            for k, g in grad.items():
+                self._move(k, slice(None), g, lr)
+            self._move("embed", rows, moved, lr)
+
+    def _move(self, k: str, at, g: np.ndarray, lr: float) -> None:
+        first, second = self.first[k][at], self.second[k][at]
+        first = first + 0.1 * (g - first)
+        second = second + 0.01 * (g * g - second)
+        self.first[k][at], self.second[k][at] = first, second
+        size = np.sqrt(second / (1 - 0.99**self.step)) + 1e-8
+        self.m[k][at] -= (lr * (first / (1 - 0.9**self.step)) / size).astype(np.float32)
+
+
+def table(m: dict) -> np.ndarray:
+    """All weights as rows of ``WEIGHTS_A_ROW``: the input rows, then the rest in order of name."""
+    rest = np.concatenate([m[k].ravel() for k in sorted(m) if k != "embed"])
+    rest = np.concatenate([rest, np.zeros(-len(rest) % WEIGHTS_A_ROW, rest.dtype)])
+    return np.concatenate([m["embed"].reshape(-1, WEIGHTS_A_ROW), rest.reshape(-1, WEIGHTS_A_ROW)])
+
+
+def untable(rows: np.ndarray, like: dict) -> dict:
+    """The model of a table, in the shapes of another model."""
+    flat, out, at = rows.ravel().astype(np.float32), {}, 0
+    for k in ["embed", *sorted(k for k in like if k != "embed")]:
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).copy()
+        at += like[k].size
+    return out
+
+
 def train(
     inputs: np.ndarray, text: np.ndarray, target: np.ndarray, epochs: int = 6, seed: int = 7, batch: int = 64,
-    width: int = WIDTH, classes: int = CLASSES, rate: float = 0.02,
+    width: int = WIDTH, classes: int = CLASSES, rate: float = 0.02, rows: int = 1,
 ) -> dict:
     """Weights after passes of Adam over all windows in a seeded order; target -1: none."""
-    m = _start(seed, INPUTS, width, classes)
-    if not len(inputs):
-        return m
-    wi, wt, wy = _windows(inputs, 0), _windows(text, -1), _windows(target, -1)[:, STRIDE:]
-    rng = np.random.default_rng(seed)
-    first = {k: np.zeros_like(v) for k, v in m.items()}
-    second = {k: np.zeros_like(v) for k, v in m.items()}
-    step, steps = 0, epochs * -(-len(wi) // batch)
+    learner = Learner(_start(seed, rows, width, classes), seed)
+    steps = epochs * -(-(len(inputs) // STRIDE) // batch)
     for _ in range(epochs):
-        order = rng.permutation(len(wi))
-        for a in range(0, len(order), batch):
-            pick = order[a : a + batch]
-            grad = _gradient(m, wi[pick], wt[pick], wy[pick])
-            step += 1
-            lr = rate * (1 - step / (steps + 1))
-            for k, g in grad.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                m[k] -= (lr * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return m
+        learner.learn(inputs, text, target, lambda step: rate * (1 - step / (steps + 1)), batch)
+    return learner.m
 
 
 def _gradient(m: dict, inputs: np.ndarray, text: np.ndarray, target: np.ndarray) -> dict:
     """Gradient of the mean cross entropy over the positions with a target."""
+    g, rows, moved = _gradients(m, inputs, text, target)
+    g["embed"] = np.zeros_like(m["embed"])
+    g["embed"][rows] = moved
+    return g
+
+
+def _gradients(m: dict, inputs: np.ndarray, text: np.ndarray, target: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The gradient, without that of the input rows; the rows that were read, and theirs."""
     f = _forward(m, inputs, text)
     p = np.exp(f["z"])
     p /= p.sum(axis=-1, keepdims=True)
@@ -202,7 +257,8 @@ def _gradient(m: dict, inputs: np.ndarray, text: np.ndarray, target: np.ndarray)
     g["query"], g["key"] = flat(late).T @ flat(dq), flat(x).T @ flat(dk)
     dx[:, STRIDE:] += dq @ m["query"].T
     dx += dk @ m["key"].T
-    embed = np.zeros_like(m["embed"])
-    np.add.at(embed, inputs.ravel(), flat(dx))
-    g["embed"] = embed
-    return g
+    read = inputs.ravel()
+    order = np.argsort(read, kind="stable")
+    read = read[order]
+    begins = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
+    return g, read[begins], np.add.reduceat(flat(dx)[order], begins, axis=0)

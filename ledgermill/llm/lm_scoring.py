@@ -6,9 +6,13 @@ model's score is that of the causal attention model in ``attention`` over the
 words' subword ids, which a public tokenizer gives.
 
 Every training word is counted, and the counts of subword ids follow from the
-words' counts. The weights of the attention model are fitted on a bounded
-sample: at most ``TRAIN_TEXTS`` training texts, those with the smallest
-hashes, and of them whole texts up to ``TRAIN_IDS`` ids.
+words' counts. The weights of the attention model start from a bounded sample:
+``TRAIN_TEXTS`` distinct training texts, those with the smallest hashes, without
+those that exceed what is left of ``TRAIN_IDS`` ids. From there they learn from
+all training texts, each once, in ``RATES`` rounds. In a round every task moves
+the weights over its own texts, slice by slice, and Spark averages what the
+tasks moved: an input row by how often each task read it, the rest by positions.
+How rows are dealt to tasks therefore changes scores a little.
 
 Looking up the counts of a text's words: the most frequent words, ``HOT`` at most,
 go to every task. The other words of a text join the table of
@@ -45,6 +49,8 @@ HOT = 1 << 18
 TRAIN_TEXTS = 600
 TRAIN_IDS = 600_000
 EPOCHS = 6
+RATES = (0.006, 0.003, 0.001)  # step size of each round over the training texts
+BATCH = 256  # windows in a step of a round
 KEPT_WORDS = 1 << 19  # encoded words that a task remembers
 
 
@@ -207,7 +213,9 @@ def fit(training: DataFrame, counts: DataFrame, tokenizer: str = TOKENIZER) -> M
     rows = sample.filter(F.col("k") <= (keys[-1] if keys else 0)).dropDuplicates(["k"])
     # one task trains on the bounded sample
     trained = rows.repartition(1).mapInArrow(_train(proto, vocabulary), "weights binary").collect()
-    weights = pickle.loads(trained[0][0]) if trained else attention.train(*(np.zeros(0, np.int64),) * 3)
+    weights = pickle.loads(trained[0][0]) if trained else _trained(vocabulary, *(np.zeros(0, np.int64),) * 3)
+    for number, rate in enumerate(RATES if ends else ()):
+        weights = _round(training, number, proto, vocabulary, weights, rate)
     return Model(
         proto, vocabulary, weights, codes[order], hot.column("c").to_numpy()[order],
         int(totals["n"]) + ends, int(totals["v"]) + (ends > 0), ends,
@@ -221,18 +229,68 @@ def _train(proto: bytes, vocabulary: attention.Vocabulary):
             return
         words = Words(rows.column("text").combine_chunks(), BLANK_WORDS)
         _, text, inputs, classes, _, lengths = _sequences(_Subwords(proto), words, vocabulary)
-        whole = max(1, int(np.searchsorted(np.cumsum(lengths), TRAIN_IDS, side="right")))
-        stop = int((-(-lengths[:whole] // attention.STRIDE) * attention.STRIDE).sum())
-        weights = attention.train(inputs[:stop], text[:stop], classes[:stop], epochs=EPOCHS, classes=int(vocabulary.classes.max()) + 1)
+        kept, left = np.zeros(len(lengths), bool), TRAIN_IDS
+        for i, n in enumerate(lengths.tolist()):
+            if n <= left:
+                kept[i], left = True, left - n
+        slots = np.repeat(kept, -(-lengths // attention.STRIDE) * attention.STRIDE)
+        weights = _trained(vocabulary, inputs[slots], text[slots], classes[slots])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(weights)], pa.binary())], ["weights"])
 
     return run
 
 
+def _trained(vocabulary: attention.Vocabulary, inputs: np.ndarray, text: np.ndarray, classes: np.ndarray) -> dict:
+    return attention.train(
+        inputs, text, classes, epochs=EPOCHS, classes=int(vocabulary.classes.max()) + 1, rows=int(vocabulary.inputs.max()) + 1
+    )
+
+
+def _round(training: DataFrame, number: int, proto: bytes, vocabulary: attention.Vocabulary, weights: dict, rate: float) -> dict:
+    """Weights after every task learned from its training texts of this round.
+
+    What comes back is at most one row per row of weights, whatever the corpus.
+    """
+    shared = training.sparkSession.sparkContext.broadcast((proto, vocabulary, weights))
+    own = training.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(len(RATES))) == number).select("text")
+    moves = [f"d{j}" for j in range(attention.WEIGHTS_A_ROW)]
+    schema = "place int, n double, " + ", ".join(f"{d} double" for d in moves)
+    found = own.mapInArrow(_moved(shared, rate), schema).groupBy("place").agg(F.sum("n"), *[F.sum(d) for d in moves]).toArrow()
+    shared.unpersist()
+    table = attention.table(weights).astype(float)
+    place, n, *sums = [c.to_numpy() for c in found.columns]
+    table[place] += np.stack(sums, axis=1) / n[:, None] if len(place) else 0.0
+    return attention.untable(table, weights)
+
+
+def _moved(shared, rate: float):
+    """``place, n, d0 ...``: how far a task moved each row of weights, times the weight ``n`` of its say."""
+
+    def run(batches):
+        proto, vocabulary, weights = shared.value
+        subwords, learner = _Subwords(proto), attention.Learner(weights)
+        for part in text_slices(batches):
+            _, text, inputs, classes, _, _ = _sequences(subwords, Words(part.column("text"), BLANK_WORDS), vocabulary)
+            learner.learn(inputs, text, classes, lambda step: rate, BATCH)
+        if not learner.positions:
+            return
+        moved = attention.table(learner.m).astype(float) - attention.table(weights)
+        n = np.full(len(moved), float(learner.positions))
+        n[: len(learner.reads)] = learner.reads
+        place = np.flatnonzero(n)
+        moved = moved[place] * n[place, None]
+        names = ["place", "n", *[f"d{j}" for j in range(moved.shape[1])]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(place, pa.int32()), pa.array(n[place]), *[pa.array(np.ascontiguousarray(c)) for c in moved.T]], names
+        )
+
+    return run
+
+
 def _score(shared):
     def run(batches):
         model: Model = shared.value
-        subwords = _Subwords(model.tokenizer)
+        subwords, own = _Subwords(model.tokenizer), attention.projected(model.weights)
         task, number = TaskContext.get().partitionId(), 0
         logs = np.log10(model.hot_counts + 1.0)
         for part in text_slices(batches):
@@ -248,7 +306,7 @@ def _score(shared):
                 sums += np.bincount(words.row[hit], weights=logs[at[hit]], minlength=part.num_rows)
                 known += np.bincount(words.row[hit], minlength=part.num_rows)
             slot, text, inputs, classes, target, lengths = _sequences(subwords, words, model.vocabulary)
-            logp = attention.log10_classes(model.weights, inputs, text, np.maximum(classes, 0))[slot]
+            logp = attention.log10_classes(model.weights, inputs, text, np.maximum(classes, 0), own)[slot]
             logp += model.vocabulary.within[target]
             score = np.add.reduceat(logp, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)
             rest = np.bincount(words.row[cold], minlength=part.num_rows)

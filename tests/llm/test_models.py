@@ -142,3 +142,42 @@ def test_main_text(spark):
 def test_tree_learns_its_table():
     x, y = html_blocks.labelled_table()
     assert (html_blocks.train(x, y).tell(x) == y).all()
+
+
+def _mean_score(spark, rows, ids):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["score"] / (r["n_tokens"] + 1) for r in lm_scoring.score_texts(docs).collect()}
+    return sum(found[i] for i in ids) / len(ids)
+
+
+def test_weights_learn_from_every_training_text(spark, monkeypatch):
+    """The sample's only text does not fit here; the texts beyond the sample teach alone."""
+    rng = random.Random(3)
+    ring = "alpha bravo charlie delta echo foxtrot golf hotel".split()
+    rows = [(i, " ".join(ring[(s + j) % 8] for j in range(40))) for i, s in enumerate(rng.choices(range(8), k=700))]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    monkeypatch.setattr(lm_scoring, "TRAIN_TEXTS", 1)
+    monkeypatch.setattr(lm_scoring, "TRAIN_IDS", 1)
+    taught = _mean_score(spark, rows, held)
+    monkeypatch.setattr(lm_scoring, "RATES", ())
+    assert taught > _mean_score(spark, rows, held) + 0.1
+
+
+def test_sample_skips_only_the_text_that_does_not_fit(monkeypatch):
+    import pickle
+
+    import pyarrow as pa
+
+    with open(lm_scoring.TOKENIZER, "rb") as f:
+        proto = f.read()
+    voc = attention.vocabulary(np.ones(32000, np.int64))
+    monkeypatch.setattr(lm_scoring, "TRAIN_IDS", 50)
+    train = lm_scoring._train(proto, voc)
+    batch = lambda *t: [pa.RecordBatch.from_arrays([pa.array(t), pa.array(range(len(t)), pa.int64())], ["text", "k"])]
+    short, other, long = "one two three", "four five six", "word " * 500
+    found, want = [pickle.loads(next(train(batch(*t)))["weights"][0].as_py()) for t in ((short, long, other), (short, other))]
+    assert all(np.array_equal(found[k], want[k]) for k in want)
+
+
+def test_every_id_has_an_input_row():
+    assert len(set(attention.vocabulary(np.ones(9000, np.int64)).inputs.tolist())) == 9000

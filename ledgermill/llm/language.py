@@ -134,6 +134,28 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return centers
 
 
+def _limits(keyed: DataFrame, sizes: dict[str, int], quota: int) -> Column:
+    """Map of each language to a bound of ``u`` below which its quota of distinct texts lies, or all of them.
+
+    The bound lets about four times the quota of rows through. Where copies
+    leave too few distinct texts below it, that language's bound widens.
+    """
+    shares = {lang: min(1.0, 4 * quota / n) for lang, n in sorted(sizes.items())}
+    while True:
+        limits = F.create_map(*[x for lang, share in shares.items() for x in (F.lit(lang), F.lit(share * 2.0**32))])
+        # only languages whose bound may still have to widen
+        open_ = [lang for lang, share in shares.items() if share < 1]
+        if not open_:
+            return limits
+        near = keyed.filter(F.col("lang").isin(open_) & (F.col("u") <= F.element_at(limits, F.col("lang"))))
+        found = {r["lang"]: r["n"] for r in near.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        few = [lang for lang in open_ if found.get(lang, 0) < quota]
+        if not few:
+            return limits
+        for lang in few:
+            shares[lang] = min(1.0, 4 * shares[lang])
+
+
 def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Centroids | None:
     """Centroids from labelled rows; None where there are none."""
     rows = small_batches(training).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -147,15 +169,12 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     df[list(seen)] = list(seen.values())
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     keyed = rows.withColumn("h", F.xxhash64("text", F.lit(8)))
+    keyed = keyed.withColumn("u", F.shiftrightunsigned("h", 32))
     sizes = {r["lang"]: r["count"] for r in keyed.groupBy("lang").count().collect()}
     quota = max(1, SAMPLE_ROWS // len(sizes))
-    # of a common language, hashes below which about four times the quota lie
-    limits = F.create_map(*[
-        x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, 4 * quota / n) * 2.0**32))
-    ])
-    keyed = keyed.withColumn("u", F.shiftrightunsigned("h", 32)).filter(F.col("u") <= F.element_at(limits, F.col("lang")))
+    near = keyed.select("lang", "u", "h").filter(F.col("u") <= F.element_at(_limits(keyed, sizes, quota), F.col("lang")))
     order = Window.partitionBy("lang").orderBy("u", "h")
-    chosen = keyed.select("lang", "u", "h").distinct().withColumn("r", F.row_number().over(order))
+    chosen = near.distinct().withColumn("r", F.row_number().over(order))
     chosen = chosen.filter(F.col("r") <= quota)
     chosen = cut_lineage(chosen.select("lang", "h"), "sample")
     sample = keyed.join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")

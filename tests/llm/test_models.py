@@ -33,6 +33,18 @@ def test_languages_are_told_apart(spark):
     assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_of_mostly_copies_stays_in_the_model(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 4)
+    rng = random.Random(4)
+    few = [(prose(rng, "de", 60), "de") for _ in range(2)]
+    many = [(prose(rng, "en", 60), "en") for _ in range(40)]
+    docs = spark.createDataFrame(few * 2000 + many, "text string, lang string")
+    model = language.fit(docs)
+    # both texts of the copied language are sampled, and the other's quota of two
+    assert model.languages == ["de", "de", "en", "en"]
+    assert set(language.fit(docs.filter("lang = 'de'").filter(docs["text"] == few[0][0])).languages) == {"de"}
+
+
 def test_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(0)
     inputs, classes = rng.integers(0, 9, 64), rng.integers(0, 5, 64)

@@ -1,6 +1,7 @@
 """The named queries of this subpackage; importing this module registers them."""
 
 from . import (  # noqa: F401
+    audit_queries,
     decontam_queries,
     dedup_queries,
     html_queries,

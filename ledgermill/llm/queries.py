@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     audit_queries,
+    bpe_queries,
     decontam_queries,
     dedup_queries,
     html_queries,

@@ -10,6 +10,7 @@ from . import (  # noqa: F401
     lm_queries,
     mixing_queries,
     quality_queries,
+    repair_queries,
     rule_queries,
     secret_queries,
     shard_queries,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -11,16 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import let, settle, strip, tokenize
+from ..functions.text import let, strip
 from ..session import cut_lineage
 from .documents import context_label
-
-# Scores are compared after rounding, so ranks do not depend on the order in
-# which executors add up doubles.
-SCORE_DIGITS = 6
-TERM_SALTS = 8
-# Rows of question terms (about 50 bytes each) that may go to every task.
-BROADCAST_TERM_ROWS = 1_000_000
+from .postings import (  # noqa: F401
+    SCORE_DIGITS, LexicalIndex, bm25_scores, build_postings, corpus_stats, document_frequencies, term_weights,
+)
 
 
 def ranked(
@@ -50,132 +45,6 @@ def ranked(
 # lexical leg
 # --------------------------------------------------------------------------
 
-def build_postings(docs: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
-    """``(doc_id, dl, term, tf)``.
-
-    Terms are counted inside their row: equal tokens are neighbours in sorted
-    order, and a term occurs as often as its run is long. Neither texts nor
-    tokens are shuffled.
-    """
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
-    tokens = settle(texts, _t=F.array_sort(tokenize(F.col("_text")))).drop("_text")
-    places = F.sequence(F.lit(0), F.size("_t") - 1)
-    first = F.filter(
-        F.when(F.size("_t") > 0, places), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))
-    )
-    runs = settle(tokens, _first=first)
-    terms = F.transform(
-        "_first",
-        lambda i, n: F.struct(
-            F.get("_t", i).alias("term"),
-            (F.coalesce(F.get("_first", n + 1), F.size("_t")) - i).cast("long").alias("tf"),
-        ),
-    )
-    return runs.select("doc_id", F.size("_t").alias("dl"), F.inline(terms))
-
-
-def raw_idf(df: Column, n_docs: Column) -> Column:
-    return F.log(n_docs - df + 0.5) - F.log(df + 0.5)
-
-
-def document_frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def corpus_stats(docs: DataFrame, postings: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """One row: number of documents, tokens, mean length, vocabulary, mean idf."""
-    terms = document_frequencies(postings) if terms is None else terms
-    n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
-    tokens = postings.agg(F.sum("tf")).scalar()
-    return terms.agg(
-        F.count(F.lit(1)).alias("n_terms"),
-        F.avg(raw_idf(F.col("df"), n_docs)).alias("avg_idf"),
-    ).select(
-        n_docs.cast("long").alias("n_docs"),
-        tokens.alias("n_tokens"),
-        F.try_divide(tokens.cast("double"), n_docs).alias("avg_dl"),
-        "n_terms",
-        "avg_idf",
-    )
-
-
-@dataclass
-class LexicalIndex:
-    """Postings, term weights and the corpus figures BM25 needs.
-
-    The tables are written to the shared folder: they are read several times
-    by every batch of questions, and the tokens of a corpus are made once.
-    """
-
-    postings: DataFrame
-    terms: DataFrame
-    avg_dl: float
-
-    @classmethod
-    def build(cls, docs: DataFrame, key: str = "doc_id", text: str = "content") -> LexicalIndex:
-        postings = cut_lineage(build_postings(docs, key, text), "postings")
-        counts = cut_lineage(document_frequencies(postings), "terms")
-        stats = corpus_stats(docs, postings, counts).first()
-        return cls(
-            postings,
-            term_weights(counts, stats["n_docs"], stats["avg_idf"] or 0.0),
-            stats["avg_dl"] or 1.0,
-        )
-
-
-def term_weights(terms: DataFrame, n_docs: int, avg_idf: float) -> DataFrame:
-    """``(term, df, idf)``; a negative idf is replaced by a quarter of the mean."""
-    raw = raw_idf(F.col("df"), F.lit(float(n_docs)))
-    return terms.withColumn(
-        "idf", F.when(raw < 0, F.lit(C.BM25_EPSILON * avg_idf)).otherwise(raw)
-    )
-
-
-def bm25_scores(
-    queries: DataFrame,
-    index: LexicalIndex,
-    *,
-    k1: float = C.BM25_K1,
-    b: float = C.BM25_B,
-    salts: int = TERM_SALTS,
-    broadcast_rows: int = BROADCAST_TERM_ROWS,
-) -> DataFrame:
-    """Okapi BM25 of every (question, document) pair that shares a term.
-
-    The weighted question terms are counted first. Up to ``broadcast_rows``
-    they go to every task; the postings, stored by document, are then read
-    without a shuffle and a pair's terms add up before the only one. Beyond
-    that both sides are shuffled by term, and a very frequent term is spread
-    over ``salts`` keys by document, with the question side repeated per salt.
-    """
-    q_terms = (
-        queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
-    )
-    weighted = cut_lineage(
-        q_terms.join(index.terms, "term").select(
-            "query_id", "term", (F.col("qtf") * F.col("idf")).alias("_w")
-        ),
-        "query-terms",
-    )
-    if weighted.count() <= broadcast_rows:
-        pairs = index.postings.join(F.broadcast(weighted), "term")
-    else:
-        salted = index.postings.withColumn(
-            "_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-        )
-        repeated = weighted.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        )
-        pairs = salted.join(repeated, ["term", "_salt"])
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(index.avg_dl))
-    part = F.col("_w") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
-    return pairs.groupBy("query_id", "doc_id").agg(
-        F.round(F.sum(part), SCORE_DIGITS).alias("score")
-    )
-
-
 def bm25_topk(
     queries: DataFrame,
     docs: DataFrame | LexicalIndex,
@@ -188,7 +57,7 @@ def bm25_topk(
     index built from it.
     """
     index = docs if isinstance(docs, LexicalIndex) else LexicalIndex.build(docs)
-    return ranked(bm25_scores(queries, index, **options).filter("score > 0"), k)
+    return ranked(bm25_scores(queries, index, k, **options).filter("score > 0"), k)
 
 
 # --------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermill.operators import documents as D
+from ledgermill.operators import postings as P
 from ledgermill.operators import retrieval as R
 
 TEXTS = ["cash flow 5 cash", "net income net", "cash income rows", "other words here", "", "net cash net 5 million"]
@@ -28,13 +29,13 @@ def okapi(texts, question):
     ]
 
 
-@pytest.mark.parametrize("bound", [0, 1000])
-def test_bm25_matches_brute_force(spark, bound):
+@pytest.mark.parametrize("bound, pairs", [(0, 0), (1000, 0), (1000, 10**9)])
+def test_bm25_matches_brute_force(spark, bound, pairs):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, content string")
     asked = {7: "cash cash net", 8: "income words", 9: "absent"}
     queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
     index = R.LexicalIndex.build(docs)
-    got = R.bm25_topk(queries, index, 3, broadcast_rows=bound).collect()
+    got = R.bm25_topk(queries, index, 3, broadcast_rows=bound, all_pairs=pairs).collect()
     for key, question in asked.items():
         scores = [(round(s, 6), -i) for i, s in enumerate(okapi(TEXTS, question)) if s > 0]
         want = [(-i, s) for s, i in sorted(scores, reverse=True)[:3]]
@@ -42,6 +43,39 @@ def test_bm25_matches_brute_force(spark, bound):
         assert mine == want
 
 
+def test_a_term_of_every_document_is_not_scored(spark):
+    """The pairs that are scored grow with k, not with the corpus."""
+    rng = random.Random(3)
+    scored = {}
+    for n in (400, 1600):
+        rows = [(i, "total " + "x " * (i % 9) + f"w{rng.randrange(n // 8)} " + f"v{i % 40}" * (i < 400)) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, content string")
+        asked = {1: "total w3 v7", 2: "total x", 3: "total", 4: "total w1 w2 absent"}
+        queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+        index = R.LexicalIndex.build(docs)
+        weighted = P.question_terms(queries, index)
+        pairs = P.candidates(weighted, index, 5)
+        scored[n] = {r[0]: r[1] for r in pairs.groupBy("query_id").count().collect()}
+        got = R.bm25_topk(queries, index, 5, all_pairs=0).collect()
+        for key, question in asked.items():
+            scores = [(round(s, 6), -i) for i, s in enumerate(okapi([t for _, t in rows], question)) if s > 0]
+            want = [(-i, s) for s, i in sorted(scores, reverse=True)[:5]]
+            assert [(r["doc_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == key] == want
+    assert scored[1600][1] <= 60 and scored[1600][4] <= 60
+    assert scored[1600][3] <= 200 and scored[1600][2] < 1600
+
+
+def test_negative_weights_and_few_documents(spark):
+    # every term in most documents: the mean idf, and with it every weight, is below zero
+    rows = [(i, "a b c" if i else "a b") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, content string")
+    queries = spark.createDataFrame([(1, "a b c"), (2, "c")], "query_id long, text string")
+    want = {q: [s for s in okapi([t for _, t in rows], x) if s > 0] for q, x in ((1, "a b c"), (2, "c"))}
+    assert R.bm25_topk(queries, docs, 3, all_pairs=0).count() == sum(min(3, len(s)) for s in want.values())
+    assert R.bm25_topk(queries, docs.limit(0), 3, all_pairs=-1).count() == 0
+    assert R.bm25_topk(queries.limit(0), docs, 3, all_pairs=-1).count() == 0
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_both_vector_searches_are_exact(spark, metric):
     rng = np.random.default_rng(5)

@@ -8,18 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.amounts import exact_sum, is_unreadable, money, subtract, sum_overflows
 from ..functions.text import contains_any, is_blank, last_wins, let, normalize_arabic, strip
 from .documents import source_name
 from .ordering import null_safe_join, number_rows, spread_join
 
-MONEY = "decimal(18,2)"
-TOTAL = "decimal(28,2)"
-
-
-def money(c: Column) -> Column:
-    return c.try_cast(MONEY)
-
-
 # --------------------------------------------------------------------------
 # rows back from documents
 # --------------------------------------------------------------------------
@@ -119,7 +112,11 @@ def parse_csv_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def ledger_columns(rows: DataFrame) -> DataFrame:
-    """Typed columns used by the calculations, from a ``fields`` map."""
+    """Typed columns used by the calculations, from a ``fields`` map.
+
+    ``unreadable`` marks rows with a number of more digits than an amount has,
+    ``amount_raw`` keeps its text if it is the amount.
+    """
     field = lambda name: F.try_element_at("fields", F.lit(name))
     return rows.withColumns(
         {
@@ -127,6 +124,10 @@ def ledger_columns(rows: DataFrame) -> DataFrame:
             "budget": money(field("budget_sar")),
             "actual": money(field("actual_sar")),
             "amount": money(field("amount_sar")),
+            "amount_raw": F.when(is_unreadable(field("amount_sar")), field("amount_sar")),
+            "unreadable": reduce(
+                lambda a, b: a | b, [is_unreadable(field(n)) for n in ("budget_sar", "actual_sar", "amount_sar")]
+            ),
             "record_type": field("record_type"),
             "stage": field("stage"),
             "customer": field("customer"),
@@ -145,25 +146,32 @@ def ledger_columns(rows: DataFrame) -> DataFrame:
 # totals
 # --------------------------------------------------------------------------
 
-def _total(value: Column, when: Column) -> Column:
+def _total(rows: DataFrame, name: str, when: Column) -> Column:
     """Sum over matching rows: NULL without such rows, 0 when all are null."""
-    return F.when(
-        F.count_if(when) > 0,
-        F.coalesce(F.sum(F.when(when, value)), F.lit(0)).cast(TOTAL),
-    )
+    return F.when(F.count_if(when) > 0, exact_sum(rows, name, when))
+
+
+def _overflow(rows: DataFrame, **sums: Column | None) -> Column:
+    """Whether a total misses something: an amount or a sum has too many digits."""
+    missing = [sum_overflows(rows, name, when) for name, when in sums.items()]
+    if "unreadable" in rows.columns:
+        missing.append(F.coalesce(F.max("unreadable"), F.lit(False)))
+    return reduce(lambda a, b: a | b, missing)
 
 
 def budget_actual_summary(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Budgeted and actual expenses, revenue and net profit per source, in one
-    pass over ``rows(source, type, budget, actual)``."""
+    pass over ``rows(source, type, budget, actual)``; ``overflow`` says whether
+    one of them misses something."""
     group = group or ["source"]
     expense = F.lower("type") == "expense"
     revenue = F.lower("type") == "revenue"
     sums = rows.groupBy(*group).agg(
-        _total(F.col("budget"), expense).alias("budget_expenses"),
-        _total(F.col("actual"), expense).alias("actual_expenses"),
-        _total(F.col("budget"), revenue).alias("budget_revenue"),
-        _total(F.col("actual"), revenue).alias("actual_revenue"),
+        _total(rows, "budget", expense).alias("budget_expenses"),
+        _total(rows, "actual", expense).alias("actual_expenses"),
+        _total(rows, "budget", revenue).alias("budget_revenue"),
+        _total(rows, "actual", revenue).alias("actual_revenue"),
+        (_overflow(rows, budget=expense, actual=expense) | _overflow(rows, budget=revenue, actual=revenue)).alias("overflow"),
     )
     return net_profit(sums)
 
@@ -171,24 +179,22 @@ def budget_actual_summary(rows: DataFrame, group: list[str] | None = None) -> Da
 def net_profit(sums: DataFrame) -> DataFrame:
     """Revenue less expenses; NULL unless the source has both."""
     return sums.withColumn(
-        "budget_net", (F.col("budget_revenue") - F.col("budget_expenses")).cast(TOTAL)
-    ).withColumn(
-        "actual_net", (F.col("actual_revenue") - F.col("actual_expenses")).cast(TOTAL)
-    )
+        "budget_net", subtract(F.col("budget_revenue"), F.col("budget_expenses"))
+    ).withColumn("actual_net", subtract(F.col("actual_revenue"), F.col("actual_expenses")))
 
 
 def variance(rows: DataFrame, group: list[str]) -> DataFrame:
     """Actual less budget per group, and its share of the budget in percent."""
     sums = rows.groupBy(*group).agg(
-        F.coalesce(F.sum("budget"), F.lit(0)).cast(TOTAL).alias("budget"),
-        F.coalesce(F.sum("actual"), F.lit(0)).cast(TOTAL).alias("actual"),
+        exact_sum(rows, "budget").alias("budget"),
+        exact_sum(rows, "actual").alias("actual"),
+        _overflow(rows, budget=None, actual=None).alias("overflow"),
     )
-    gap = (F.col("actual") - F.col("budget")).cast(TOTAL)
-    return sums.withColumn("variance", gap).withColumn(
+    return sums.withColumn("variance", subtract(F.col("actual"), F.col("budget"))).withColumn(
         "variance_pct",
         F.round(
             F.try_divide(F.lit(100) * F.col("variance"), F.col("budget")).cast("decimal(38,6)"), 2
-        ).cast(MONEY),
+        ).cast("decimal(18,2)"),
     )
 
 
@@ -200,7 +206,7 @@ def statement_totals(rows: DataFrame) -> DataFrame:
     return (
         rows.filter(is_bank_source(F.col("source")))
         .groupBy("source")
-        .agg(F.coalesce(F.sum("amount"), F.lit(0)).cast(TOTAL).alias("statement_total"))
+        .agg(exact_sum(rows, "amount").alias("statement_total"), _overflow(rows, amount=None).alias("overflow"))
     )
 
 
@@ -209,16 +215,16 @@ def invoice_totals(rows: DataFrame) -> DataFrame:
     its rows carry no record type."""
     is_invoice = F.lower("record_type") == "invoice"
     typed = F.max(F.col("has_record_type"))
-    invoices = _total(F.col("amount"), is_invoice)
-    everything = F.coalesce(F.sum("amount"), F.lit(0)).cast(TOTAL)
     return (
         rows.filter(~is_bank_source(F.col("source")))
         .groupBy("source")
         .agg(
             F.when(typed, F.lit("invoice")).otherwise(F.lit("amount")).alias("basis"),
-            F.when(typed, invoices).otherwise(everything).alias("total"),
+            F.when(typed, _total(rows, "amount", is_invoice)).otherwise(exact_sum(rows, "amount")).alias("total"),
+            F.when(typed, F.count_if(is_invoice)).otherwise(F.lit(1)).alias("_n"),
+            F.when(typed, _overflow(rows, amount=is_invoice)).otherwise(_overflow(rows, amount=None)).alias("overflow"),
         )
-        .filter(F.col("total").isNotNull())
+        .filter("_n > 0").drop("_n")
     )
 
 
@@ -227,7 +233,7 @@ def stage_totals(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
     return (
         rows.filter((F.lower("record_type") == "pipeline") & F.col("stage").isNotNull())
         .groupBy(*group, "stage")
-        .agg(F.coalesce(F.sum("amount"), F.lit(0)).cast(TOTAL).alias("stage_total"))
+        .agg(exact_sum(rows, "amount").alias("stage_total"), _overflow(rows, amount=None).alias("overflow"))
     )
 
 
@@ -277,10 +283,11 @@ def duplicate_invoice_lines(
         )
     )
     ids = F.array_join(F.transform("_ids", lambda s: s["id"].cast("string")), ", ")
+    raw = F.concat("amount_raw", F.lit(" SAR")) if "amount_raw" in group else F.lit(None).cast("string")
     text = F.concat(
         F.lit("Potential duplicate invoice in "), F.col("source"), F.lit(": "), ids,
         F.lit(" have the same customer ("), F.coalesce("customer", F.lit("nan")),
-        F.lit(") and amount ("), format_sar(F.col("amount")),
+        F.lit(") and amount ("), F.coalesce(format_sar(F.col("amount")), raw),
         F.lit("); verify before counting both as separate revenue."),
     )
     return lines.select(*group, "n_rows", "line_no", text.alias("line"))
@@ -396,8 +403,8 @@ def verified_lines(queries: DataFrame, rows: DataFrame) -> DataFrame:
     bank = is_bank_source(F.col("source"))
     invoice = F.lower("record_type") == "invoice"
     amounts = rows.filter("has_amount").groupBy(*group).agg(
-        F.coalesce(F.sum("amount"), F.lit(0)).cast(TOTAL).alias("_all"),
-        _total(F.col("amount"), invoice).alias("_invoices"),
+        exact_sum(rows, "amount").alias("_all"),
+        _total(rows, "amount", invoice).alias("_invoices"),
         F.max("has_record_type").alias("_typed"),
     )
     stages = stage_totals(rows.filter("has_amount"), group)
@@ -405,7 +412,8 @@ def verified_lines(queries: DataFrame, rows: DataFrame) -> DataFrame:
         F.col("has_customer") & F.col("has_amount")
         & (~F.col("has_record_type") | F.coalesce(invoice, F.lit(False)))
     )
-    duplicates = duplicate_invoice_lines(invoices, ["query_id", "source", "customer", "amount"])
+    same = ["query_id", "source", "customer", "amount", *(["amount_raw"] if "amount_raw" in rows.columns else [])]
+    duplicates = duplicate_invoice_lines(invoices, same)
     parts = [
         spread(budget, F.col("_calc"), 1, [
             (1, named("Total budgeted expenses", "budget_expenses")),

@@ -13,8 +13,8 @@ from .registry import query
 
 
 def doubles(df, *columns):
-    """Exact decimals as doubles for the comparison."""
-    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+    """Exact decimals as doubles for the comparison; no total of these tables overflows."""
+    return df.drop("overflow").withColumns({c: F.col(c).cast("double") for c in columns})
 
 
 def budget_rows(t):
@@ -69,6 +69,47 @@ def budget_variance(t):
     )
 
 
+EXACT = """
+    r AS (SELECT o_orderkey, o_orderpriority || '.csv' AS source,
+        CASE WHEN o_orderkey % 5 = 0 THEN 'expense' ELSE 'revenue' END AS type,
+        CASE o_orderkey % 4 WHEN 0 THEN (12345678901234567 + o_orderkey)::VARCHAR || '.5'
+          WHEN 1 THEN '-' || (o_orderkey % 1000)::VARCHAR || '.005' WHEN 2 THEN '0.000000000001' ELSE '1.005' END AS budget,
+        CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 64 = 0 THEN repeat('9', 30)
+          ELSE (o_orderkey % 7)::VARCHAR || '.125' END AS actual FROM orders),
+    v AS (SELECT source, type, CAST(budget AS DECIMAL(38,12)) AS budget,
+        CASE WHEN length(actual) < 30 THEN CAST(actual AS DECIMAL(38,12)) END AS actual, length(actual) = 30 AS wide FROM r)
+"""
+
+
+@query(
+    "totals_exact",
+    f"""WITH {EXACT},
+    s AS (SELECT source, sum(budget) FILTER (type = 'expense') AS be, sum(actual) FILTER (type = 'expense') AS ae,
+        sum(budget) FILTER (type = 'revenue') AS br, sum(actual) FILTER (type = 'revenue') AS ar, bool_or(wide) AS overflow
+      FROM v GROUP BY source)
+    SELECT source, CAST(be AS VARCHAR) AS budget_expenses, CAST(ae AS VARCHAR) AS actual_expenses,
+      CAST(br AS VARCHAR) AS budget_revenue, CAST(ar AS VARCHAR) AS actual_revenue, overflow,
+      CAST(br - be AS VARCHAR) AS budget_net, CAST(ar - ae AS VARCHAR) AS actual_net FROM s""",
+)
+def totals_exact(t):
+    """Amounts of 17 digits, of thousandths and less, and some too wide for any total."""
+    key, remainder = F.col("o_orderkey"), F.col("o_orderkey") % 4
+    budget = (
+        F.when(remainder == 0, F.concat((F.lit(12345678901234567) + key).cast("string"), F.lit(".5")))
+        .when(remainder == 1, F.concat(F.lit("-"), (key % 1000).cast("string"), F.lit(".005")))
+        .when(remainder == 2, "0.000000000001").otherwise("1.005")
+    )
+    wide = (F.col("o_orderpriority") == "1-URGENT") & (key % 64 == 0)
+    actual = F.when(wide, "9" * 30).otherwise(F.concat((key % 7).cast("string"), F.lit(".125")))
+    row = F.concat(
+        F.lit("type: "), F.when(key % 5 == 0, "expense").otherwise("revenue"),
+        F.lit(" | budget_sar: "), budget, F.lit(" | actual_sar: "), actual,
+    )
+    docs = D.union_documents(t.orders.select(F.concat("o_orderpriority", F.lit(".csv")).alias("source"), row.alias("content")))
+    sums = A.budget_actual_summary(A.ledger_columns(A.parse_row_sentences(docs)))
+    return sums.select("source", "overflow", *[F.col(c).cast("string").alias(c) for c in sums.columns if c[:7] in ("budget_", "actual_")])
+
+
 def payments(t):
     """Orders as entries of bank statements (three priorities) and ledgers."""
     p = F.col("o_orderpriority")

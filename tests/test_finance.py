@@ -72,3 +72,21 @@ def test_reconcile_pairs_copies_one_to_one(spark):
 def test_money_text(one):
     assert one(lambda c: A.format_sar(c), "1234.5") == "1,234.50 SAR"
     assert one(lambda c: A.format_sar(c, True), "50000") == "+50,000 SAR"
+
+
+def test_totals_are_exact_or_reported(spark):
+    rows = [("a", "12345678901234567.5"), ("a", "1.005"), ("a", "-0.000000000001"), ("a", None), ("b", "9" * 25), ("b", "9" * 25),
+            ("c", "1" * 27), ("c", "2"), ("d", "0.0000000000001"), ("e", "n/a")]
+    frame = spark.createDataFrame([(s, {"amount_sar": v}) for s, v in rows], "source string, fields map<string,string>")
+    ledger = A.ledger_columns(frame)
+    got = {r["source"]: (r["total"], r["overflow"]) for r in A.invoice_totals(ledger.withColumn("has_record_type", F.lit(False))).collect()}
+    assert got["a"] == (Decimal("12345678901234568.504999999999"), False)
+    assert got["b"] == (None, True) and got["c"] == (Decimal(2), True) and got["d"] == (Decimal(0), True)
+    assert got["e"] == (Decimal(0), False)
+
+
+def test_amounts_too_wide_are_not_equal_invoices(spark):
+    rows = [(k, {"amount_sar": v, "customer": "x", "id": str(k)}) for k, v in enumerate(["1" * 30, "2" * 30, "1" * 30, "5"])]
+    ledger = A.ledger_columns(spark.createDataFrame(rows, "row long, fields map<string,string>").withColumn("source", F.lit("s")))
+    found = A.duplicate_invoice_lines(ledger, ["source", "customer", "amount", "amount_raw"]).collect()
+    assert [r["line"].split(": ")[1].split(" have")[0] for r in found] == ["0, 2"] and "1" * 30 in found[0]["line"]

@@ -51,6 +51,8 @@ DEVIATIONS = 6
 PIVOTS = 64
 #: Members of a list that one task holds against its pivots.
 LIST_ROWS = 256
+#: Classes of values whose parities tell most dissimilar sets apart.
+PARITIES = 1024
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.05
 
@@ -72,6 +74,12 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return (values ^ _SIGN).view(np.int64)
 
 
+def _parity(values: np.ndarray) -> np.ndarray:
+    """Whether the number of a set's values is odd in each of ``PARITIES`` classes, as bits of longs."""
+    classes = (mix(values) >> np.uint64(64 - int(PARITIES).bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(classes, minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _row_sets(batches, width: int):
     """Per slice: the slice and the sorted distinct shingles of each of its rows."""
     for part in text_slices(batches):
@@ -228,7 +236,7 @@ def _sketch_lists(nodes: DataFrame, threshold: int, sketch: int) -> DataFrame:
 
 
 def _set_lists(open_nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """``v, low, high, band, node, n, label, c``: lists of all shingles of nodes
+    """``v, low, high, band, node, n, label, c, bits``: lists of all shingles of nodes
     that may still link with another component.
 
     Only a shingle that another component holds too can be in common. Sizes
@@ -242,14 +250,16 @@ def _set_lists(open_nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFr
         for batch in batches:
             values = [np.frombuffer(m.as_buffer(), np.uint64) for m in batch.column("members")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("label"), _lists([_signed(m) for m in values], pa.int64())],
-                ["node", "label", "s"],
+                [
+                    batch.column("node"), batch.column("label"), _lists([_signed(m) for m in values], pa.int64()),
+                    _lists([_parity(m) for m in values], pa.int64()),
+                ],
+                ["node", "label", "s", "bits"],
             )
 
-    held = open_nodes.join(sets, "node").select("node", "label", "members")
-    held = held.mapInArrow(run, "node long, label long, s array<long>")
-    held = held.select("node", "label", F.size("s").cast("long").alias("n"), F.explode("s").alias("v"))
-    held = cut_lineage(held, "held")
+    found = open_nodes.join(sets, "node").select("node", "label", "members")
+    found = cut_lineage(found.mapInArrow(run, "node long, label long, s array<long>, bits array<long>"), "held")
+    held = found.select("node", "label", F.size("s").cast("long").alias("n"), F.explode("s").alias("v"))
     foreign = held.groupBy("v").agg(
         F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")
     ).filter("low <> high").select("v", "df")
@@ -263,9 +273,10 @@ def _set_lists(open_nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFr
     both = F.ceil((F.col("n") + size) * threshold / (100 + threshold) - 1e-6)
     need = F.greatest(both, up(F.col("n") * threshold), up(size * threshold))
     wanted = wanted.withColumn("take", (F.col("c") - need + 1).cast("int")).filter("take > 0")
+    wanted = wanted.join(found.select("node", "bits"), "node")
     return wanted.select(
         F.explode(F.slice("s", F.lit(1), F.col("take"))).alias("v"), F.least("band", "other").alias("low"),
-        F.greatest("band", "other").alias("high"), "band", "node", "n", "label", "c",
+        F.greatest("band", "other").alias("high"), "band", "node", "n", "label", "c", "bits",
     )
 
 
@@ -352,7 +363,7 @@ def _list_pairs(lists: DataFrame, done: int, pivots: int, threshold: int) -> Dat
     """
     upto = F.least(F.lit(1 << 32), F.floor(F.lit(float(pivots) * (1 << 32)) / F.col("m")))
     before = F.least(F.lit(1 << 32), F.floor(F.lit(float(done) * (1 << 32)) / F.col("m")))
-    names = ("node", "label", "n", "c", "band")
+    names = ("node", "label", "n", "c", "band", "bits")
     side = lambda frame, end: frame.select(*KEY, "salt", *[F.col(c).alias(f"{c}_{end}") for c in names])
     # a large list is dealt over several tasks, each with all of its pivots
     tasks = F.ceil(F.col("m") / LIST_ROWS)
@@ -361,6 +372,11 @@ def _list_pairs(lists: DataFrame, done: int, pivots: int, threshold: int) -> Dat
     others = side(lists.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(11)), tasks)), "b")
     # |A & B| is at most c of either, and so the union at least the rest
     alike = F.least("c_a", "c_b") * (100 + threshold) >= (F.col("n_a") + F.col("n_b")) * threshold
+    # no fewer values are in one set alone than there are unequal parities
+    unequal = reduce(
+        lambda x, y: x + y, [F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))) for i in range(PARITIES // 64)]
+    )
+    alike &= unequal * (100 + threshold) <= (F.col("n_a") + F.col("n_b")) * (100 - threshold)
     across = (F.col("low") == F.col("high")) | (F.col("band_a") != F.col("band_b"))
     pairs = heads.join(others, [*KEY, "salt"]).filter((F.col("label_a") != F.col("label_b")) & across & alike)
     turned = F.col("node_a") > F.col("node_b")

@@ -97,8 +97,8 @@ def mix(
     )
     copies = counted.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.select(
-        "row.*", F.col("copy").cast("long").alias("copy"), "n_copies",
-        uniform(seed + 1, F.col("id"), F.col("copy")).alias("order_key"), F.monotonically_increasing_id().alias("_place"),
+        "row", F.col("copy").cast("long").alias("copy"), "n_copies",
+        uniform(seed + 1, F.col("id"), F.col("copy")).alias("order_key"), F.monotonically_increasing_id().alias("place"),
     )
-    ordered = keyed.repartitionByRange("order_key", "_place").sortWithinPartitions("order_key", "_place")
-    return ordered.drop("_place")
+    ordered = keyed.repartitionByRange("order_key", "place").sortWithinPartitions("order_key", "place")
+    return ordered.select("row.*", *added)

@@ -435,12 +435,13 @@ def keep_one(
     repeated = found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     marks = cut_lineage(
         gone.withColumn("mark", F.lit("gone")).unionByName(repeated.withColumn("mark", F.lit("one"))), "marks"
-    ).select(F.col("doc_id").alias("_of"), F.col("mark").alias("_mark"))
-    marked = docs.join(marks, F.col(id_col).cast("long") == F.col("_of"), "left")
-    words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    marked = marked.withColumn("_mark", F.when(words, F.col("_mark")))
-    plain = marked.filter("_mark is null").drop("_of", "_mark")
-    several = marked.filter("_mark = 'one'").withColumn("_sum", F.xxhash64(text_col))
-    one = several.dropDuplicates(["_of", "_sum"])
-    least = one.groupBy("_of").agg(F.min("_sum").alias("_sum"))
-    return plain.unionByName(one.join(least, ["_of", "_sum"], "left_semi").select(*docs.columns))
+    ).withColumnRenamed("doc_id", "of")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sum"),
+        F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"),
+    )
+    marked = rows.join(marks, F.col("id") == F.col("of"), "left").withColumn("mark", F.when(F.col("words"), F.col("mark")))
+    plain = marked.filter("mark is null").select("row")
+    one = marked.filter("mark = 'one'").dropDuplicates(["of", "sum"])
+    least = one.groupBy("of").agg(F.min("sum").alias("sum"))
+    return plain.unionByName(one.join(least, ["of", "sum"], "left_semi").select("row")).select("row.*")

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from .numbers import text_items
 from .text import let, strip
 
-# A list inside a list inside a list ... is followed this many levels deep;
-# deeper values count as one text item (their JSON).
-LIST_DEPTH = 8
-
 
 def parse_object(json: Column) -> Column:
     """JSON object -> MAP<STRING, VARIANT>; anything else -> NULL."""
@@ -60,24 +56,41 @@ def variant_text(v: Column) -> Column:
     )
 
 
-def leaves(v: Column, depth: int = LIST_DEPTH) -> Column:
-    """Non-list values of a JSON value in order, lists flattened, nulls dropped."""
+def nesting(json: Column) -> Column:
+    """How many lists of a JSON text lie inside each other at most."""
+    bare = F.regexp_replace(F.regexp_replace(json, r"\\.", ""), r'"[^"]*"', "")
+    brackets = F.split(F.regexp_replace(bare, r"[^\[\]]+", ""), "")
 
-    def body(value: Column) -> Column:
+    def follow(at: Column, bracket: Column) -> Column:
+        depth = at["depth"] + F.when(bracket == "[", 1).when(bracket == "]", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.greatest(at["most"], depth).alias("most"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
+    return F.aggregate(brackets, start, follow, lambda at: at["most"])
+
+
+def leaves(v: Column) -> Column:
+    """Non-list values of a JSON value in order, lists flattened, nulls dropped.
+
+    Each step opens the outermost lists, as often as the value's own nesting
+    asks for, so no depth is too deep.
+    """
+
+    def opened(value: Column) -> Column:
         kind = _kind(value)
-        inner = F.array(value)
-        if depth > 0:
-            inner = F.flatten(
-                F.transform(
-                    value.cast("array<variant>"), lambda e: leaves(e, depth - 1)
-                )
-            )
         return (
             F.when(value.isNull() | (kind == "VOID"), F.array().cast("array<variant>"))
-            .when(kind.startswith("ARRAY"), inner)
+            .when(kind.startswith("ARRAY"), value.cast("array<variant>"))
             .otherwise(F.array(value))
         )
 
+    def body(value: Column) -> Column:
+        depth = F.when(_kind(value).startswith("ARRAY"), nesting(F.to_json(value))).otherwise(0)
+        return F.aggregate(
+            F.sequence(F.lit(0), F.coalesce(depth, F.lit(0))), F.array(value),
+            lambda found, _: F.flatten(F.transform(found, opened)),
+        )
+
     return let(v, body)
 
 

@@ -253,10 +253,10 @@ def duplicate_rows(
     rows: DataFrame, group: list[str] | None = None, spread_by: list[str] | None = None
 ) -> DataFrame:
     """Rows that share (source, customer, amount) with another row; nulls are
-    equal to each other. The counts are joined back with salted keys, so one
-    much-copied invoice does not fill a task."""
+    equal to each other. The counts are joined back; a much-copied invoice is
+    dealt over as many tasks as its count asks for."""
     group = group or ["source", "customer", "amount"]
-    return spread_join(rows, duplicate_groups(rows, group), group, spread_by or ["row"])
+    return spread_join(rows, duplicate_groups(rows, group), group, spread_by or ["row"], size="n_rows")
 
 
 def duplicate_invoice_lines(

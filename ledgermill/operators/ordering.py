@@ -1,9 +1,11 @@
 """Row numbers and carried values over groups of any size.
 
 A window partitioned by source alone puts a whole source into one task. Here
-a group is cut into segments along its order key; every segment is a window of
-its own, and what earlier segments contribute (row counts, the last value) is
-a small table of one row per group and segment.
+the rows are dealt by range over their group, their order and a number of
+their own: a segment is a stretch of that order, and neither a group nor a
+value with very many rows has to fit into one. What earlier segments
+contribute (row counts, the last value) is a small table of one row per group
+and segment.
 """
 
 from __future__ import annotations
@@ -12,53 +14,36 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-SEGMENT = "_segment"
+SEGMENT, PLACE = "_segment", "_place"
+#: Rows of one key that a task joins at most.
+TASK_ROWS = 100_000
 
 
 def segment_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _position(df: DataFrame, key: str) -> Column:
-    kind = df.schema[key].dataType
-    if isinstance(kind, (T.TimestampType,)):
-        return F.unix_micros(F.col(key)).cast("double")
-    if isinstance(kind, (T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(key).cast("timestamp")).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(key).cast("double")
-    raise TypeError(f"order key {key} must be a number, date or timestamp")
+def with_segments(df: DataFrame, group: list[str], order: list, segments: int | None = None) -> DataFrame:
+    """The rows with their ``_segment`` and their ``_place``, which rises along the order.
 
-
-def with_segments(df: DataFrame, key: str, segments: int | None = None) -> DataFrame:
-    """Add a segment number that never decreases along ``key``.
-
-    Segments are cut at the key's quantiles, so each has about as many rows
-    whatever the keys look like; rows of one key value share a segment. The
-    cuts are one row, read as a scalar subquery over the key column alone, and
-    a row finds its segment by halving. Rows without a key are in the first.
+    The cuts come from a sample of the whole key, the number of the row
+    included, so rows that are equal in everything else still spread. The
+    placed rows are written: their places must be the same for all that is
+    computed from them, also when a task runs again.
     """
-    n = segments or segment_count(df)
-    position = _position(df, key)
-    shares = [i / n for i in range(1, n)] or [0.5]
-    cuts = df.select(F.percentile_approx(position, shares, 10 * n).alias("c")).scalar()
-    steps = [F.lit(1 << b) for b in reversed(range(len(shares).bit_length()))]
-    found = F.aggregate(
-        F.array(*steps),
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= F.size("_cuts")) & (F.get("_cuts", at + step - 1) <= F.col("_position")), at + step
-        ).otherwise(at),
-    )
-    return (
-        df.withColumn("_cuts", cuts).withColumn("_position", position)
-        .withColumn(SEGMENT, F.when(F.lit(n > 1), F.coalesce(found, F.lit(0))).otherwise(F.lit(0)).cast("int"))
-        .drop("_cuts", "_position")
+    keys = [*group, *order, "_own"]
+    placed = (
+        df.withColumn("_own", F.monotonically_increasing_id())
+        .repartitionByRange(segments or segment_count(df), *keys)
+        .sortWithinPartitions(*keys)
+        .drop("_own")
+        .withColumn(SEGMENT, F.spark_partition_id())
+        .withColumn(PLACE, F.monotonically_increasing_id())
     )
+    return cut_lineage(placed, "placed")
 
 
 def null_safe_join(
@@ -80,19 +65,24 @@ def spread_join(
     on: list[str],
     spread_by: list[str],
     *,
+    size: str,
     how: str = "inner",
-    salts: int = 8,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Join in which a key that holds very many left rows spans several tasks.
 
-    Left rows get a salt from their ``spread_by`` columns; the right side, one
-    row per key, is repeated once per salt.
+    ``right`` has one row per key, with the number ``size`` of left rows that
+    have it. Keys of more than ``task_rows`` rows are heavy: their left rows
+    get a salt from the ``spread_by`` columns, out of as many as the number
+    asks for, and the right row is repeated once per salt.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    repeated = right.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    salts = F.ceil(F.col(size) / task_rows)
+    heavy = right.filter(F.col(size) > task_rows).select(*on, salts.alias("_salts"))
+    salted = null_safe_join(left, heavy, on, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*spread_by), F.coalesce("_salts", F.lit(1)))
     )
-    return null_safe_join(salted, repeated, [*on, "_salt"], how).drop("_salt")
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    return null_safe_join(salted.drop("_salts"), repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def before(group: list[str]):
@@ -113,52 +103,10 @@ def number_rows(
     total: str | None = None,
     segments: int | None = None,
 ) -> DataFrame:
-    """1-based row number per group in the given order, and the group's size.
-
-    When ``order`` starts with the name of a numeric, date or timestamp
-    column, segments follow from its value and the other entries break ties.
-    Any other order is dealt by range instead.
-    """
-    first = order[0]
-    if not (isinstance(first, str) and isinstance(
-        df.schema[first].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    )):
-        return _number_by_range(df, group, order, row, total)
-    cut = with_segments(df, order[0], segments)
-    counts = cut.groupBy(*group, SEGMENT).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*group)
-    offsets = counts.select(
-        *group,
-        SEGMENT,
-        F.coalesce(F.sum("_n").over(before(group)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias("_total"),
-    )
-    local = Window.partitionBy(*group, SEGMENT).orderBy(*order)
-    numbered = null_safe_join(cut, offsets, [*group, SEGMENT]).withColumn(
-        row, F.row_number().over(local).cast("long") + F.col("_before")
-    )
-    if total:
-        numbered = numbered.withColumn(total, F.col("_total"))
-    return numbered.drop(SEGMENT, "_before", "_total")
-
-
-def _number_by_range(
-    df: DataFrame, group: list[str], order: list, row: str, total: str | None
-) -> DataFrame:
-    """Numbers rows from their place in range partitions.
-
-    The placed rows are written once: their partition and position must be the
-    same for the counts and for the rows, also when a task runs again.
-    """
-    placed = cut_lineage(
-        df.repartitionByRange(segment_count(df), *group, *order)
-        .sortWithinPartitions(*group, *order)
-        .withColumn(SEGMENT, F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id()),
-        "placed",
-    )
+    """1-based row number per group in the given order, and the group's size."""
+    placed = with_segments(df, group, order, segments)
     counts = placed.groupBy(*group, SEGMENT).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")
+        F.count(F.lit(1)).alias("_n"), F.min(PLACE).alias("_first")
     )
     offsets = counts.select(
         *group,
@@ -168,8 +116,8 @@ def _number_by_range(
         F.sum("_n").over(Window.partitionBy(*group)).alias("_total"),
     )
     numbered = null_safe_join(placed, offsets, [*group, SEGMENT]).withColumn(
-        row, F.col("_at") - F.col("_first") + F.col("_before") + 1
+        row, F.col(PLACE) - F.col("_first") + F.col("_before") + 1
     )
     if total:
         numbered = numbered.withColumn(total, F.col("_total"))
-    return numbered.drop(SEGMENT, "_at", "_first", "_before", "_total")
+    return numbered.drop(SEGMENT, PLACE, "_first", "_before", "_total")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import jsonvals as J
 from ..functions import numbers as N
 from ..functions import text as T
 from . import duck as Q
@@ -271,3 +272,24 @@ def answer_checks(t):
         T.item_has_no_data(F.col("answer")).alias("no_data_item"), "needs_check",
         F.col("rating").cast("long").alias("rating"),
     )
+
+
+@query(
+    "item_sets_nested",
+    """
+    SELECT o_orderkey, 'Revenue: ' || o_orderkey || ' / Cost [' || (o_orderkey % 7) || '] / Margin: 5%' AS items,
+      CAST(3 AS BIGINT) AS n_items FROM orders
+    """,
+)
+def item_sets_nested(t):
+    """Lists inside up to 40 lists, with a null, brackets in texts and a repeated item."""
+    key = F.col("o_orderkey")
+    depth = (key % 40).cast("int")
+    value = F.concat(
+        F.repeat(F.lit("["), depth), F.lit('["Revenue: '), key.cast("string"), F.lit('", [null, "Cost ['),
+        (key % 7).cast("string"), F.lit(']"], [[]]'), F.repeat(F.lit("]"), depth), F.lit(', "Margin: 5%", "Margin: 5%"]'),
+    )
+    nested = t.spread("orders").select("o_orderkey", J.item_set(F.try_parse_json(value)).alias("i"))
+    return nested.select(
+        "o_orderkey", F.array_join("i", " / ").alias("items"), F.size("i").cast("long").alias("n_items")
+    )

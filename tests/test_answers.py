@@ -82,3 +82,24 @@ def test_variants(spark):
     rows = [(1, 0, "Net Income?"), (1, 1, " net income? "), (1, 2, ""), (1, 3, "profit")]
     got = P.dedupe_variants(spark.createDataFrame(rows, "query_id long, pos int, text string")).orderBy("variant").collect()
     assert [(r["variant"], r["text"]) for r in got] == [(0, "Net Income?"), (1, "profit")]
+
+
+def test_token_budget_by_sweep(spark):
+    import random
+
+    from ledgermill.operators.usage import token_budget
+
+    rng = random.Random(8)
+    # most calls of one model fall into one minute, many at one moment
+    calls = [(k, rng.choice(["m", "m", "m", "n", None]), rng.choice([1000.0, 1000.25, 1060.0, 1060.000001, rng.uniform(900, 1200)]), rng.randrange(1, 90)) for k in range(400)]
+    calls += [(400, "m", None, 5), (401, "m", None, 6), (402, "q", 7.0, 9000)]
+    frame = spark.createDataFrame(calls, "call_id long, model string, at double, tokens long").selectExpr(
+        "call_id", "model", "timestamp_micros(cast(round(at * 1000000) as bigint)) as ts", "tokens"
+    )
+    micros = [None if a is None else round(a * 10**6) for _, _, a, _ in calls]
+    got = {r["call_id"]: (r["used_tokens"], r["over_budget"]) for r in token_budget(frame, 2000, segments=5).collect()}
+    assert len(got) == len(calls)
+    for (k, model, _, _), at in zip(calls, micros):
+        window = [t for (_, m, _, t), a in zip(calls, micros) if m == model and (a == at if at is None or a is None else 0 <= at - a <= 60_000_000)]
+        assert got[k] == (sum(window), sum(window) > 1800 and len(window) > 1), k
+    assert token_budget(frame.limit(0)).count() == 0

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgermill.operators import documents as D
 from ledgermill.operators import finance as A
 from ledgermill.operators import incremental as I
-from ledgermill.operators.ordering import number_rows, spread_join
+from ledgermill.operators.ordering import SEGMENT, number_rows, spread_join, with_segments
 from ledgermill.sources import chatlog, files
 
 
@@ -104,8 +104,20 @@ def test_numbering_by_text_order(spark):
 def test_spread_join_matches_plain_join(spark):
     left = spark.range(100).select((F.col("id") % 2).alias("k"), "id")
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
-    got = spread_join(left, right, ["k"], ["id"], salts=4)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").select("k", "id", "v").collect()))
+    right = right.withColumn("n", F.lit(50))
+    for task_rows in (7, 1000):
+        got = spread_join(left, right, ["k"], ["id"], size="n", task_rows=task_rows)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").select("k", "id", "v", "n").collect()))
+
+
+def test_equal_order_keys_spread_over_segments(spark):
+    rows = spark.range(20_000).select(F.lit("s").alias("g"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).alias("k"))
+    placed = with_segments(rows, ["g"], ["k"], 8)
+    sizes = [r["count"] for r in placed.groupBy(SEGMENT).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 20_000 / 8
+    numbered = number_rows(rows, ["g"], ["k"], segments=8).collect()
+    assert sorted(r["row"] for r in numbered) == list(range(1, 20_001))
+    assert [r["k"] for r in sorted(numbered, key=lambda r: r["row"])] == sorted(r["k"] for r in numbered)
 
 
 def test_incremental_runs_add_nothing_twice(spark):

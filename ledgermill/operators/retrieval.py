@@ -108,6 +108,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return values.reshape(rows, -1)
 
 
+def whole_vectors(table: DataFrame, key: str) -> DataFrame:
+    """``key, embedding, dim`` of the rows whose vector has values and no null among them."""
+    usable = (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull())
+    return table.filter(usable & F.col(key).isNotNull()).select(
+        F.col(key).cast("long").alias(key), "embedding", F.size("embedding").alias("dim")
+    )
+
+
 def vector_topk(
     queries: DataFrame,
     docs: DataFrame,
@@ -118,26 +126,33 @@ def vector_topk(
 ) -> DataFrame:
     """Exact nearest documents per question vector.
 
-    ``queries(query_id, embedding)``, ``docs(doc_id, embedding)``. No pair is
+    ``queries(query_id, embedding)``, ``docs(doc_id, embedding)``. Every
+    question is answered among the documents of its own dimension. No pair is
     ever emitted: a task keeps the best k per question while it reads. The
-    questions travel with the tasks in blocks of about ``block_bytes``, and the
-    corpus is read once for each block, without a shuffle; every metric takes
-    this way at every size. :func:`vector_topk_blocks` prunes instead, for
-    metrics that are distances. Vectors that are null, hold a null, or do not
-    have the questions' largest dimension match nothing.
+    questions travel with the tasks in blocks of about ``block_bytes``, one
+    after the other, and the corpus is read once for each block, without a
+    shuffle; what a block finds is written before the next one starts, so the
+    driver holds one block. Every metric takes this way at every size.
+    :func:`vector_topk_blocks` prunes instead, for metrics that are distances.
+    Vectors that are null, empty or hold a null match nothing.
     """
-    width = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
-    whole = (F.size("embedding") == width) & ~F.exists("embedding", lambda x: x.isNull())
-    asked = queries.filter(whole & F.col("query_id").isNotNull()).select("query_id", "embedding")
-    blocks = max(1, -(-asked.count() * width * 8 // block_bytes))
-    rows = docs.filter(whole).select(F.col("doc_id").cast("long"), "embedding")
-    parts = []
-    for b in range(blocks):
-        table = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+    asked, rows = whole_vectors(queries, "query_id"), whole_vectors(docs, "doc_id")
+    # one row per dimension
+    sizes = sorted((r["dim"], r["count"]) for r in asked.groupBy("dim").count().collect())
+    blocks = [
+        (dim, n, b) for dim, count in sizes
+        for n in [max(1, -(-count * dim * 8 // block_bytes))] for b in range(n)
+    ]
+    schema, parts = "query_id long, doc_id long, score double", []
+    for dim, n, b in blocks:
+        block = asked.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(n)) == b))
+        table = block.select("query_id", "embedding").toArrow()
         if table.num_rows:
-            parts.append(rows.mapInArrow(_nearest(table, k, metric), "query_id long, doc_id long, score double"))
+            near = rows.filter(F.col("dim") == dim).select("doc_id", "embedding")
+            found = near.mapInArrow(_nearest(table, k, metric), schema)
+            parts.append(cut_lineage(ranked(found, k).drop("rank"), "nearest") if len(blocks) > 1 else found)
     if not parts:
-        return ranked(docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double"), k)
+        return ranked(docs.sparkSession.createDataFrame([], schema), k)
     return ranked(reduce(DataFrame.unionByName, parts), k)
 
 
@@ -174,13 +189,14 @@ def vector_topk_blocks(
     k: int,
     *,
     metric: str = "cosine",
-    pivots: int = 64,
+    pivots: int | None = None,
     block_rows: int = 2048,
 ) -> DataFrame:
     """Exact nearest documents when the question table is large too.
 
-    Both sides are assigned to the nearest of a few pivot vectors. Each
-    question first ranks the documents of its own cell, which gives a k-th
+    Every dimension is searched on its own. Both sides are assigned to pivot
+    vectors, as many as the root of the number of documents, found through a
+    coarser set of pivots above them. Each question first ranks the documents of its own cell, which gives a k-th
     distance it has to beat; a cell can hold something better only if the
     distance to its pivot minus the cell's radius is within that distance. The
     surviving (question, cell) pairs join on the cell number with blocks of at

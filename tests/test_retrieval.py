@@ -146,3 +146,20 @@ def test_context_is_in_rank_order(spark):
     docs = D.union_documents(spark.createDataFrame([(1, "one", "a.pdf", 3), (2, "two", "b.csv", None)], "doc_id long, content string, source string, page int"))
     hits = spark.createDataFrame([(5, 2, 0), (5, 1, 1)], "query_id long, doc_id long, rank long")
     assert R.assemble_context(hits, docs).first()["context"] == "[Source: b.csv]\ntwo\n\n[Source: a.pdf | Page 3]\none"
+
+
+def test_every_question_is_answered_in_its_dimension(spark):
+    rng = np.random.default_rng(2)
+    docs = [(i, [float(x) for x in rng.normal(size=2 + i % 3)]) for i in range(90)] + [(900, None), (901, []), (902, [1.0, None])]
+    asks = [(i, [float(x) for x in rng.normal(size=2 + i % 4)]) for i in range(16)] + [(50, []), (51, None)]
+    d = spark.createDataFrame(docs, "doc_id long, embedding array<double>")
+    q = spark.createDataFrame(asks, "query_id long, embedding array<double>")
+    cosine = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 6)
+    want = {
+        (i, j) for i, v in asks[:16]
+        for _, j in sorted((-cosine(v, w), j) for j, w in docs[:90] if len(w) == len(v))[:4]
+    }
+    assert {i for i, _ in want} == {i for i, v in asks[:16] if len(v) < 5}
+    for found in (R.vector_topk(q, d, 4), R.vector_topk(q, d, 4, block_bytes=100), R.vector_topk_blocks(q, d, 4, block_rows=5)):
+        assert {(r["query_id"], r["doc_id"]) for r in found.collect()} == want
+    assert R.vector_topk_blocks(q, d.limit(0), 4).count() == R.vector_topk(q.limit(0), d, 4).count() == 0

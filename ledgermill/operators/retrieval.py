@@ -345,16 +345,20 @@ def hybrid_candidates(
 ) -> DataFrame:
     """BM25 and vector hits of every question variant, fused per question.
 
-    ``queries(query_id, variant, text, embedding)``; ``variant`` may be absent.
+    ``queries(query_id, text, embedding[, k])``, a row per variant. ``k`` is
+    the most that any question gets; with a column ``k`` (see
+    :func:`adaptive_k`, :func:`exhaustive_k`) a question takes as many from
+    each leg and keeps as many. What leaves a task before a shuffle is bounded
+    by the one number, what a question reads by its own.
     """
-    if "variant" not in queries.columns:
-        queries = queries.withColumn("variant", F.lit(0))
+    own = ["k"] if "k" in queries.columns else []
     # each variant is a question of its own; its number is written once
     keyed = cut_lineage(
-        queries.select(F.col("query_id").alias("_q"), "text", "embedding").withColumn("_id", F.monotonically_increasing_id()),
+        queries.select(F.col("query_id").alias("_q"), "text", "embedding", *own).withColumn("_id", F.monotonically_increasing_id()),
         "variants",
     )
-    names = keyed.select("_id", "_q")
+    names = keyed.select("_id", "_q", *own)
+    within = (F.col("rank") < F.col("k")) if own else F.lit(True)
     legs = [
         bm25_topk(keyed.select(F.col("_id").alias("query_id"), "text"), docs, k),
         vector_topk(
@@ -363,11 +367,15 @@ def hybrid_candidates(
         ),
     ]
     back = [
-        leg.withColumnRenamed("query_id", "_id").join(names, "_id")
+        leg.withColumnRenamed("query_id", "_id").join(names, "_id").filter(within)
         .select(F.col("_q").alias("query_id"), "doc_id", "rank")
         for leg in legs
     ]
-    return rrf_fuse(back, k)
+    fused = rrf_fuse(back, k)
+    if not own:
+        return fused
+    most = names.groupBy(F.col("_q").alias("query_id")).agg(F.max("k").alias("k"))
+    return fused.join(most, "query_id").filter(within).drop("k")
 
 
 def assemble_context(hits: DataFrame, docs: DataFrame) -> DataFrame:

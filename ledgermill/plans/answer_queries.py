@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -427,6 +428,67 @@ def chat_history(t):
     return entries.select("session_id", "id", F.md5(body).alias("text_md5"))
 
 
+def _stored_chat(t):
+    """A store that got even and odd turns as two batches, the first of them twice."""
+    path = scratch_path(t.spark, "chat")
+    for batch in ("even", "odd", "even"):
+        chatlog.append_entries(chat_entries(t).filter(F.col("id") % 2 == int(batch == "odd")), path, batch)
+    return path
+
+
+def _chat_rows(entries):
+    body = F.coalesce(F.get_json_object("entry_json", "$.question"), F.get_json_object("entry_json", "$.answer"))
+    return entries.select("session_id", "id", F.md5(body).alias("text_md5"))
+
+
+@query(
+    "chat_store_history",
+    "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS id, md5(text) AS text_md5 FROM conversations WHERE role <> 'system'",
+)
+def chat_store_history(t):
+    """Everything readable in a store whose first batch was appended twice."""
+    return _chat_rows(chatlog.load_all_history(t.spark, _stored_chat(t)))
+
+
+@query(
+    "chat_store_cleared",
+    """
+    WITH s AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system')
+    SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS id, md5(text) AS text_md5 FROM conversations
+    WHERE role <> 'system' AND conv_id NOT IN (SELECT conv_id FROM s)
+    UNION ALL SELECT CAST(conv_id AS VARCHAR), turn + 1000, md5(text) FROM conversations
+    WHERE role <> 'system' AND conv_id IN (SELECT conv_id FROM s)
+    """,
+)
+def chat_store_cleared(t):
+    """Sessions with a system turn cleared, then continued."""
+    path = _stored_chat(t)
+    cleared = t.conversations.filter(F.col("role") == "system").select(F.col("conv_id").cast("string").alias("session_id"))
+    chatlog.clear_sessions(cleared, path)
+    more = chat_entries(t).join(cleared.distinct(), "session_id", "left_semi").withColumn("id", F.col("id") + 1000)
+    chatlog.append_entries(more, path, "continued")
+    return _chat_rows(chatlog.load_all_history(t.spark, path))
+
+
+@query(
+    "chart_preview",
+    """
+    SELECT o_orderpriority AS series, pos, CAST(o_custkey AS VARCHAR) AS label, value FROM (
+      SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY value DESC, o_custkey) - 1 AS pos FROM (
+        SELECT o_orderpriority, o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders GROUP BY ALL))
+    WHERE pos < 50
+    """,
+)
+def chart_preview(t):
+    """The first fifty points of every series, customers by what they ordered."""
+    points = t.orders.groupBy(F.col("o_orderpriority").alias("series"), "o_custkey").agg(
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value")
+    )
+    falling = Window.partitionBy("series").orderBy(F.desc("value"), "o_custkey")
+    numbered = points.withColumn("pos", (F.row_number().over(falling) - 1).cast("long"))
+    return H.chart_preview(numbered).select("series", "pos", F.col("o_custkey").cast("string").alias("label"), "value")
+
+
 @query(
     "json_lines_round_trip",
     """

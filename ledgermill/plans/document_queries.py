@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import documents as D
 from ..operators import incremental as I
+from ..session import scratch_path
 from ..sources import files
 from . import duck as Q
 from .registry import query
@@ -313,6 +314,25 @@ def incremental_new(t):
     )
 
 
+@query(
+    "manifest_round_trip",
+    """
+    WITH known AS (SELECT DISTINCT text FROM documents WHERE lang IN ('fr', 'de'))
+    SELECT min(doc_id) AS doc_id, md5(text) AS content_md5, (SELECT count(DISTINCT text) FROM documents) AS n_recorded
+    FROM documents WHERE text NOT IN (SELECT text FROM known) GROUP BY text
+    """,
+)
+def manifest_round_trip(t):
+    """Two batches over a stored manifest, each run twice; the second finds what the first left."""
+    path = scratch_path(t.spark, "manifest")
+    docs = t.documents.select("doc_id", "lang", F.col("text").alias("content"))
+    for batch, part in enumerate((docs.filter(F.col("lang").isin("fr", "de")), docs)):
+        for _ in range(2):
+            fresh = I.process_new(part, path, "run-1", batch)
+    recorded = I.read_manifest(t.spark, path).agg(F.count(F.lit(1))).scalar()
+    return fresh.select("doc_id", F.md5("content").alias("content_md5"), recorded.alias("n_recorded"))
+
+
 @query(
     "small_table_test",
     """

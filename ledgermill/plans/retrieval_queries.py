@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
+from ..functions.text import settle
+from ..operators import context as X
 from ..operators import retrieval as R
 from ..operators import verify as V
 from ..session import cut_lineage
 from . import duck as Q
 from .document_queries import corpus
+from .finance_queries import LINES, asked, fact_rows
 from .registry import query
 
 K = 20
@@ -133,6 +137,44 @@ def hybrid_fusion(t):
     return R.hybrid_candidates(questions(t), corpus(t), vectors(t), K)
 
 
+def _own_k(depth: str) -> str:
+    """Fusion in which every question has its own k."""
+    wide = lambda cte: cte.replace(f"rank < {K}", f"rank < {C.EXHAUSTIVE_DOCS}")
+    return f"""WITH {wide(BM25)}, {wide(VECTOR)},
+    kn AS (SELECT item_id AS query_id, n, CAST(CASE WHEN item_id % 2 = 0
+        THEN least(greatest(n // 15, 3, CASE WHEN n <= 150 THEN least(20, greatest(8, floor(n * 0.3::DOUBLE))) ELSE 0 END), 20, n)
+        ELSE least(greatest(n // 10, 4, CASE WHEN n <= 150 THEN least(25, greatest(8, floor(n * 0.3::DOUBLE))) ELSE 0 END), 25, n)
+        END AS BIGINT) AS usual FROM benchmark, (SELECT count(*) AS n FROM documents)),
+    kq AS (SELECT query_id, {depth} AS k FROM kn),
+    fs AS (SELECT query_id, doc_id, round(sum(1.0 / (61 + rank)), 9) AS score FROM (
+        SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM ve) JOIN kq USING (query_id)
+      WHERE rank < k GROUP BY query_id, doc_id)
+    SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score,
+      row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM fs) JOIN kq USING (query_id) WHERE rank < k"""
+
+
+def questions_with_depth(t):
+    """Questions with the corpus size and how much each usually reads; odd ones ask for a chart."""
+    size = t.documents.agg(F.count(F.lit(1))).scalar()
+    asked = settle(questions(t), n=size)
+    chart = F.col("query_id") % 2 != 0
+    return settle(asked, k=F.when(chart, R.adaptive_k(F.col("n"), 4, 25, 10)).otherwise(R.adaptive_k(F.col("n"))))
+
+
+@query("hybrid_adaptive", _own_k("usual"))
+def hybrid_adaptive(t):
+    """Fusion as deep as the corpus and the kind of question ask for."""
+    return R.hybrid_candidates(questions_with_depth(t), corpus(t), vectors(t), C.EXHAUSTIVE_DOCS)
+
+
+@query("hybrid_exhaustive", _own_k(f"CASE WHEN query_id % 3 = 0 THEN least(n, {C.EXHAUSTIVE_DOCS}) ELSE usual END"))
+def hybrid_exhaustive(t):
+    """Every third question asks for improvement rates and reads far more."""
+    improvement = F.col("query_id") % 3 == 0
+    asked = questions_with_depth(t).withColumn("k", R.exhaustive_k(improvement, F.col("n"), F.col("k")))
+    return R.hybrid_candidates(asked, corpus(t), vectors(t), C.EXHAUSTIVE_DOCS)
+
+
 VARIANTS = BM25.replace(
     f"""SELECT item_id AS query_id, {Q.base_tokens('text')} AS b FROM benchmark""",
     f"""SELECT item_id * 2 + v AS query_id, {Q.base_tokens("text || CASE WHEN v = 1 THEN ' the report of and' ELSE '' END")} AS b
@@ -254,3 +296,28 @@ def adaptive_k(t):
         .withColumn("chart_k", R.adaptive_k(n, 4, 25, 10))
         .withColumn("exhaustive_k", R.exhaustive_k(F.col("o_custkey") % 2 == 0, n, F.col("k")))
     )
+
+
+PART = 4000
+
+
+@query(
+    "answer_context",
+    f"""WITH {LINES}, {VECTOR},
+    pc AS (SELECT query_id, section, 1 AS step, source, seq, line, chr(10) || '- ' || line AS piece FROM ln WHERE line IS NOT NULL
+      UNION ALL SELECT DISTINCT query_id, section, 0, '', 0, '', chr(10) || chr(10) || CASE section
+        WHEN 1 THEN {Q.quote(C.CALCULATIONS_TITLE)} ELSE {Q.quote(C.ANOMALIES_TITLE)} END FROM ln WHERE line IS NOT NULL
+      UNION ALL SELECT ve.query_id, 3, 1, '', rank, '', chr(10) || chr(10) || '[Source: ' || source || ']' || chr(10) || documents.text
+        FROM ve JOIN q ON q.query_id = ve.query_id JOIN documents USING (doc_id)),
+    sm AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY query_id ORDER BY section, step, source, seq, line
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM pc)
+    SELECT CAST(query_id AS BIGINT) AS query_id, CAST(start // {PART} AS BIGINT) AS part, count(*) AS n_pieces,
+      md5(string_agg(CASE WHEN start = 0 THEN ltrim(piece, chr(10)) ELSE piece END, '' ORDER BY section, step, source, seq, line)) AS text_md5
+    FROM sm GROUP BY query_id, start // {PART}""",
+)
+def answer_context(t):
+    """Verified facts in front of the nearest documents of every question asked."""
+    asks = asked(t)
+    hits = vector_topk(t).join(asks.select("query_id"), "query_id", "left_semi")
+    parts = X.answer_context(asks, fact_rows(t), hits, corpus(t), part_chars=PART)
+    return parts.select("query_id", "part", "n_pieces", F.md5("text").alias("text_md5"))

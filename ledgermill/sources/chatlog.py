@@ -1,12 +1,16 @@
 """The append-only chat log.
 
-Entries are Parquet files in session buckets; a cleared session is a row in a
-second, equally append-only table that names the last id it covers. Nothing is
-rewritten in place, so a lost executor cannot leave a half-deleted log.
+Entries are Parquet files in a folder per batch and buckets of sessions; a
+cleared session is a row in a second, equally append-only table that names the
+last id it covers. An append replaces the folder of its own batch and touches
+no other, so one that runs again after a failure stores its entries once.
+Nothing else is rewritten, so a lost executor cannot leave a half-deleted log.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,16 +26,24 @@ def _bucket(session: Column) -> Column:
     return F.pmod(F.xxhash64(session), F.lit(BUCKETS)).cast("int")
 
 
-def append_entries(entries: DataFrame, path: str) -> None:
-    """Rows that share a bucket are spread over tasks by id as well, so one
-    busy session does not become one task."""
+def append_entries(entries: DataFrame, path: str, batch: str | None = None) -> None:
+    """Store entries as one batch; the same batch again takes the place of the first.
+
+    Without a name the batch is a new one.
+    """
     (
         entries.select("session_id", "id", "entry_json", "created_at")
         .withColumn("bucket", _bucket(F.col("session_id")))
-        .write.mode("append").partitionBy("bucket").parquet(f"{path}/entries")
+        .write.mode("overwrite").partitionBy("bucket")
+        .parquet(f"{path}/entries/batch={batch or uuid.uuid4().hex}")
     )
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """Entries with their bucket, as of the batches that are complete now."""
+    return spark.read.schema(ENTRY_SCHEMA + ", batch string, bucket int").parquet(f"{path}/entries").drop("batch")
+
+
 def _cleared(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(CLEARED_SCHEMA).parquet(f"{path}/cleared")
@@ -42,8 +54,7 @@ def _cleared(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    entries = spark.read.schema(ENTRY_SCHEMA + ", bucket int").parquet(f"{path}/entries")
-    return drop_cleared(entries.drop("bucket"), _cleared(spark, path))
+    return drop_cleared(_stored(spark, path).drop("bucket"), _cleared(spark, path))
 
 
 def drop_cleared(entries: DataFrame, cleared: DataFrame) -> DataFrame:
@@ -62,8 +73,7 @@ def readable(entries: DataFrame) -> DataFrame:
 
 def load_history(spark: SparkSession, path: str, session_id: str) -> DataFrame:
     """One session in order of id; only its bucket is read."""
-    entries = spark.read.schema(ENTRY_SCHEMA + ", bucket int").parquet(f"{path}/entries")
-    mine = entries.filter(
+    mine = _stored(spark, path).filter(
         (F.col("bucket") == _bucket(F.lit(session_id))) & (F.col("session_id") == session_id)
     ).drop("bucket")
     return readable(
@@ -75,14 +85,17 @@ def load_all_history(spark: SparkSession, path: str) -> DataFrame:
     return readable(read_log(spark, path)).orderBy("session_id", "id")
 
 
-def clear_session(spark: SparkSession, path: str, session_id: str) -> None:
-    (
-        read_log(spark, path)
-        .filter(F.col("session_id") == session_id)
-        .groupBy("session_id")
-        .agg(F.max("id").alias("up_to"))
-        .write.mode("append").parquet(f"{path}/cleared")
+def clear_sessions(sessions: DataFrame, path: str) -> None:
+    """Hide all that the log holds so far of ``sessions(session_id)``; later entries show again."""
+    last = (
+        read_log(sessions.sparkSession, path).join(sessions.select("session_id"), "session_id", "left_semi")
+        .groupBy("session_id").agg(F.max("id").alias("up_to"))
     )
+    last.write.mode("append").parquet(f"{path}/cleared")
+
+
+def clear_session(spark: SparkSession, path: str, session_id: str) -> None:
+    clear_sessions(spark.createDataFrame([(session_id,)], "session_id string"), path)
 
 
 def _text(name: str) -> Column:

@@ -50,13 +50,13 @@ def stream_of(t, name):
     f"""WITH {RATES} {RATE_COLUMNS}""",
 )
 def token_rate_stream(t):
-    """All windows of the calls, kept by a stream; no call is too late for it."""
+    """All windows of the calls, added up from a stream's batches; no call is too late for it."""
     calls = stream_of(t, "events").select(
         F.col("event_type").alias("model"), F.col("ts").cast("timestamp").alias("ts"),
         estimate_tokens(F.floor(F.col("value") * 300)).alias("tokens"),
     )
     out, checkpoint = scratch_path(t.spark, "rates"), scratch_path(t.spark, "rates-state")
-    jobs.start_token_rate(calls, out, checkpoint, late="36500 days").awaitTermination()
+    jobs.start_token_rate(calls, out, checkpoint).awaitTermination()
     return in_micros(jobs.latest_rates(t.spark.read.parquet(out)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,17 +43,32 @@ def token_rate(
 
 
 def start_token_rate(calls: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Windows as they change, appended to a Parquet table; ``latest_rates`` reads it.
+    """What each batch adds to its windows, in a Parquet table; ``latest_rates`` adds it up.
 
-    A window counts from its first call on, and the last ones need no later
-    call to close them. Calls later than ``late`` are left out.
+    The stream keeps no state and needs no watermark: a batch writes one row
+    per model and window it has calls of, so a call counts however late it
+    comes and nothing waits for a window to close.
     """
-    return _start_updates(token_rate(calls, **options), path, checkpoint)
+    run, number = _run_id(checkpoint), _run_number(calls.sparkSession, path, checkpoint)
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(token_rate(batch, **options).drop("over_budget"), path, run, batch_id, number)
 
-def latest_rates(updates: DataFrame) -> DataFrame:
-    """The current row of each window from the written updates."""
-    return _latest(updates, ["model", "window_start"], ["window_end", "used_tokens", "n_calls", "over_budget"])
+    return (
+        calls.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def latest_rates(
+    updates: DataFrame, limit: int = C.MAIN_MODEL_TOKENS_PER_MINUTE, margin: float = C.RATE_SAFETY_MARGIN
+) -> DataFrame:
+    """The windows as of all written batches; of several runs over one window the newest counts."""
+    window = ["model", "window_start", "window_end"]
+    sums = updates.groupBy(*window, "run_no").agg(F.sum("used_tokens").alias("used_tokens"), F.sum("n_calls").alias("n_calls"))
+    newest = sums.groupBy(*window).agg(F.max_by(F.struct("used_tokens", "n_calls"), "run_no").alias("_v"))
+    return newest.select(*window, "_v.*").withColumn("over_budget", F.col("used_tokens") > F.lit(limit * margin))
 
 
 def _run_id(checkpoint: str) -> str:
@@ -61,20 +76,28 @@ def _run_id(checkpoint: str) -> str:
     return hashlib.md5(checkpoint.encode()).hexdigest()
 
 
-def _write_batch(rows: DataFrame, path: str, run: str, batch_id: int) -> None:
+def _run_number(spark: SparkSession, path: str, checkpoint: str) -> int:
+    """The place of a checkpoint among those that have written to the table."""
+    runs = _stored(spark, path, "run_no long, run_id string").select("run_no", "run_id").distinct().collect()
+    known = {r["run_id"]: r["run_no"] for r in runs}  # one row per checkpoint
+    return known.get(_run_id(checkpoint), max(known.values(), default=0) + 1)
+
+
+def _write_batch(rows: DataFrame, path: str, run: str, batch_id: int, number: int = 0) -> None:
     """Write a batch to its own folder; the same batch of the same run replaces it."""
     (
-        rows.withColumn("run_id", F.lit(run)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        rows.withColumn("run_no", F.lit(number).cast("long"))
+        .withColumn("run_id", F.lit(run)).withColumn("batch_id", F.lit(batch_id).cast("long"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id", "batch_id").parquet(path)
     )
 
 
 def _start_updates(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    run = _run_id(checkpoint)
+    run, number = _run_id(checkpoint), _run_number(changes.sparkSession, path, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch.withColumn("written_at", F.current_timestamp()), path, run, batch_id)
+        _write_batch(batch, path, run, batch_id, number)
 
     return (
         changes.writeStream.foreachBatch(write).outputMode("update")
@@ -84,7 +107,7 @@ def _start_updates(changes: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 
 def _latest(updates: DataFrame, key: list[str], values: list[str]) -> DataFrame:
-    when = F.struct("written_at", "batch_id")
+    when = F.struct("run_no", "batch_id")
     return updates.groupBy(*key).agg(F.max_by(F.struct(*values), when).alias("_v")).select(*key, "_v.*")
 
 

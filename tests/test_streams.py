@@ -33,6 +33,30 @@ def test_rate_stream_equals_its_batch_twin(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and got.count() > 0
 
 
+def test_late_calls_count_and_no_state_grows(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randrange(30 * 86400), rng.randrange(1, 6000)) for _ in range(300)]
+    frame, out, state = calls(spark, rows), str(tmp_path / "out"), str(tmp_path / "state")
+    for n in range(6):  # files in no order of time
+        frame.filter(f"call_id % 6 = {n}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def read(state):
+        stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        started = jobs.start_token_rate(stream, out, state)
+        started.awaitTermination()
+        assert all(not p.stateOperators for p in started.recentProgress)
+        return jobs.latest_rates(spark.read.parquet(out))
+
+    batch = jobs.token_rate(frame)
+    want = sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, read(state).select(*batch.columns).collect())) == want
+    # the same checkpoint adds nothing, another one counts anew
+    assert sorted(map(tuple, read(state).select(*batch.columns).collect())) == want
+    assert sorted(map(tuple, read(state + "2").select(*batch.columns).collect())) == want
+
+
 def test_ingest_twice(spark, tmp_path):
     schema = "doc_id long, text string, arrived_at timestamp"
     def arrive(name, rows):

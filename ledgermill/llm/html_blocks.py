@@ -1,43 +1,59 @@
 """Flat text blocks of a web page and a decision tree that tells article blocks.
 
-A page is cut at block-level tags; scripts, styles and comments are no text.
-Every block has its number of words, its share of words in links, whether it
-lies in an article and whether in a part that is none by its tag, role or
-class. The tree sees these of the block and the first two of its neighbours.
+A page is cut at block-level tags; scripts, styles, choices of forms and
+markup comments are no text. Every block has its number of words, its share of
+words in links, whether it lies in an article and whether in a part that is
+none by its tag, role or class. The tree sees these of the block and the first
+two of its neighbours.
+
+Some tags and roles are never part of an article. Words in a class or id are
+only hints, as a page's wrapper or the article itself may carry them
+(``comments-open``, ``tag-login``), and so is a form, which may wrap a page.
+A hint is held against the rest of the page: of articles those with the fewest
+hints around them count, and where a page has no article element, hints that
+lie around nearly all of its words are ignored.
+
+A page is read once from left to right, and its open elements are found by
+their tag, so time grows with its length whatever the nesting. A quote that
+swallows markup counts as a plain character.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
 # Fixed values ---------------------------------------------------------------
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "canvas", "select")
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "canvas", "select")
 INLINE = frozenset(
+    "math mi mo mn ms mtext mrow msup msub mfrac msqrt object "
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike "
     "strong sub sup time tt u var wbr img".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
-#: Parts that are no article by their tag, role or a word of their class or id.
-OTHER_TAGS = frozenset("nav footer aside form button dialog menu fieldset".split())
+#: Parts that are no article by their tag or role.
+OTHER_TAGS = frozenset("nav footer aside button dialog menu fieldset".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-OTHER_WORDS = frozenset(
+#: Hints: tags, and words of a class or id.
+HINT_TAGS = frozenset(["form", "header"])
+HINT_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer ad ads advert advertisement advertising adsense sponsor "
     "sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup share "
     "sharing social related recommended comment comments reply replies disqus respond widget pagination pager copyright "
-    "login form skip toolbar tooltip".split()
+    "login form skip toolbar tooltip header masthead topbar banner sidebar side rail alert".split()
 )
-#: These too, unless an article lies inside them.
-AROUND_TAGS = frozenset(["header"])
-AROUND_WORDS = frozenset("header masthead topbar banner sidebar side rail alert".split())
+#: Hints around so large a share of a page's words say nothing.
+WRAPPED = 0.9
 # ----------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _LETTERS = re.compile(r"[a-z]+")
 
@@ -58,23 +74,48 @@ class _Open:
 
     tag: str
     article: bool = False
-    other: bool = False
-    fixed: bool = False  # no article inside resets ``other``
-
-
-@dataclass
-class _Flow:
-    stack: list[_Open] = field(default_factory=lambda: [_Open("")])
-    link: int = 0
-    heading: int = 0
+    never: bool = False  # by a tag, a role or being hidden
+    around: int = 0  # hints on and around the nearest article, or around all if there is none
+    inside: int = 0  # hints since the nearest article
+    heading: bool = False
+
+
+class _Ends:
+    """Finds where tags end; what is not there once is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.none = page, {}
+
+    def _find(self, mark: str, at: int) -> int:
+        if self.none.get(mark, len(self.page) + 1) <= at:
+            return -1
+        found = self.page.find(mark, at)
+        if found < 0:
+            self.none[mark] = min(at, self.none.get(mark, at))
+        return found
+
+    def of_tag(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag, or -1."""
+        while True:
+            mark = _MARK.search(self.page, at)
+            if not mark or self._find(">", at) < 0:
+                return -1
+            if mark.group() == ">":
+                return mark.start()
+            close = self._find(mark.group(), mark.end())
+            if close >= 0:
+                end = self.page.find(">", mark.end(), close)
+                if end >= 0 and self.page.find("<", mark.end(), end) < 0 <= self.page.find("<", end, close):
+                    close = -1  # markup between the quotes
+            at = close + 1 if close >= 0 else mark.end()
 
 
 def _element(tag: str, attributes: str, parent: _Open) -> _Open:
-    words, role, gone = set(), "", False
+    names, role, gone = set(), "", False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words.update(_LETTERS.findall(value))
+            names.update(value.split())
         elif name == "role":
             role = value
         elif name == "hidden" or name == "aria-hidden" and value == "true":
@@ -82,65 +123,105 @@ def _element(tag: str, attributes: str, parent: _Open) -> _Open:
         elif name == "style" and "display:none" in value.replace(" ", ""):
             gone = True
     page = tag in ("html", "body")
-    other = not page and (gone or tag in OTHER_TAGS or role in OTHER_ROLES or bool(words & OTHER_WORDS))
-    around = not page and tag not in ARTICLE and (tag in AROUND_TAGS and not parent.article or bool(words & AROUND_WORDS))
-    if parent.fixed or other:
-        return _Open(tag, parent.article, True, True)
-    if tag in ARTICLE or role in ("main", "article"):
-        return _Open(tag, True, False)
-    return _Open(tag, parent.article, parent.other or around)
+    never = parent.never or not page and (gone or tag in OTHER_TAGS or role in OTHER_ROLES)
+    # a whole name says more than a word of one
+    hint = 0 if page else 2 if names & HINT_WORDS else int(any(HINT_WORDS.intersection(_LETTERS.findall(n)) for n in names))
+    if tag in HINT_TAGS and not (tag == "header" and parent.article):
+        hint += 1
+    heading = parent.heading or tag in HEADINGS
+    article = tag in ARTICLE or role in ("main", "article")
+    if article and not (parent.article and (hint or parent.inside)):
+        # a hint on the article itself is one more around it
+        around = parent.around + parent.inside + hint
+        return _Open(tag, True, never, around, 0, heading)
+    if parent.article:
+        return _Open(tag, True, never, parent.around, parent.inside + hint, heading)
+    return _Open(tag, False, never, parent.around + hint, 0, heading)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; unclosed parts end with the page."""
-    out: list[Block] = []
-    flow = _Flow()
+    found: list[tuple[str, int, float, _Open]] = []
+    stack, places, link = [_Open("")], {}, False
     parts: list[tuple[str, bool]] = []
+    ends = _Ends(page)
 
     def end() -> None:
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         if text:
             linked = sum(len(html.unescape(p).split()) for p, in_link in parts if in_link)
             words = len(text.split())
-            top = flow.stack[-1]
-            out.append(Block(text, words, min(1.0, linked / words), top.article, top.other, flow.heading > 0))
+            found.append((text, words, min(1.0, linked / words), stack[-1]))
         parts.clear()
 
+    def pop() -> None:
+        places[stack.pop().tag].pop()
+
     at = 0
     while at < len(page):
-        match = _TOKEN.search(page, at)
-        stop = match.start() if match else len(page)
-        if stop > at:
-            parts.append((page[at:stop], flow.link > 0))
-        if not match:
+        start = page.find("<", at)
+        start = len(page) if start < 0 else start
+        if start > at:
+            parts.append((page[at:start], link))
+        if start == len(page):
             break
-        at = match.end()
-        tag = (match.group(2) or "").lower()
-        if not tag:
+        name = _NAME.match(page, start)
+        if not name:
+            other = _OTHER.match(page, start)
+            if not other:
+                parts.append(("<", link))
+            at = other.end() if other else start + 1
             continue
-        closing = bool(match.group(1))
+        stop = ends.of_tag(name.end())
+        if stop < 0:
+            break  # cut off inside a tag
+        tag, closing, attributes, at = name.group(2).lower(), bool(name.group(1)), page[name.end() : stop], stop + 1
+        empty = attributes.endswith("/")
         if tag in RAW:
-            if not closing and not match.group(3).endswith("/"):
+            if not closing and not empty:
                 close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
                 at = close.end() if close else len(page)
-            continue
-        if tag == "br":
+        elif tag == "br":
             parts.append((" ", False))
         elif tag == "a":
-            flow.link = 0 if closing else 1
+            link = not closing
         elif tag not in INLINE:
             end()
             if closing:
-                places = [i for i, e in enumerate(flow.stack) if e.tag == tag]
-                if places:
-                    del flow.stack[places[-1] :]
-            elif tag not in VOID and not match.group(3).endswith("/"):
+                if places.get(tag):
+                    depth = places[tag][-1]
+                    while len(stack) > depth:
+                        pop()
+            elif tag not in VOID and not empty:
                 # the end tag of a paragraph or an item may be left out
-                if tag in ("p", "li") and flow.stack[-1].tag == tag:
-                    flow.stack.pop()
-                flow.stack.append(_element(tag, match.group(3), flow.stack[-1]))
-            flow.heading = sum(e.tag in HEADINGS for e in flow.stack)
+                if tag in ("p", "li") and stack[-1].tag == tag:
+                    pop()
+                places.setdefault(tag, []).append(len(stack))
+                stack.append(_element(tag, attributes, stack[-1]))
     end()
+    return _judged(found)
+
+
+def _judged(found: list[tuple[str, int, float, _Open]]) -> list[Block]:
+    """Blocks with their flags, hints held against those of the rest of the page."""
+    inside = [e.around for _, _, _, e in found if e.article and not e.never and not e.inside]
+    fewest = min(inside, default=None)
+    # how many hints lie around nearly all words of a page without an article
+    loose = sorted((e.around, words) for _, words, _, e in found if not e.never)
+    left, usual = (1 - WRAPPED) * sum(w for _, w in loose), 0
+    for hints, words in loose:
+        left -= words
+        if left < 0:
+            usual = hints
+            break
+    out = []
+    for text, words, links, e in found:
+        article = e.article and not e.never and not e.inside and e.around == fewest
+        if fewest is None:
+            other = e.never or bool(e.inside) or e.around > usual
+        else:
+            other = e.never or bool(e.inside) or (e.around > fewest if e.article else e.around > 0)
+        out.append(Block(text, words, links, article or e.article and not other, other, e.heading))
     return out
 
 
@@ -185,6 +266,11 @@ LABELLED = (
     ("<div>" + _P + _S + "</div><main>" + _P + "<p><a href=/q>Quoted</a> by all of them that day.</p></main><div>" + _P + "</div>", "00110"),
     ("<article>" + _W + "</article>" + _S, "10"),
     ("<div>" + _P + "</div><div>" + _P + _S + "</div>", "111"),
+    # hints on wrappers, on the article itself and on parts of it
+    ("<form>" + _MENU + "<div><h1>Title of it</h1>" + _P + _S + _P + "</div><div class=comments>" + _S + _P + "</div>" + _FOOT + "</form>", "001111000"),
+    ("<div class='content share-enabled'>" + _P + _W + _P + "<div class=share><a href=/f>Share this</a></div></div>", "1110"),
+    ("<article class='post tag-login'>" + _P + _S + "</article><article class=comment>" + _P + "</article>", "110"),
+    ("<div class=comments-open><article>" + _P + "<div class=related>" + _S + "</div>" + _S + "</article><div class=comments-area><article>" + _P + "</article></div></div>", "1010"),
     ("<div>Daily</div>" + "<article>" + _P + "</article>" + "<p>Terms and conditions apply to each and every use of this page as they are set out there.</p>", "010"),
 )
 

@@ -151,6 +151,44 @@ def test_main_text(spark):
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+PARAGRAPH = "<p>The council said on Monday that the bridge would stay open for all traffic until the work is done.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    "<article class='post category-social tag-login'>{}</article>",
+    "<div class='content comments-open'><article>{}</article><div class=comments-area><article class=comment><p>I like it a lot.</p></article></div></div>",
+    "<main class='share-enabled'>{}</main>",
+    "<html><body><form id=f><nav><a href=/>Home</a></nav>{}<footer>Imprint</footer></form></body></html>",
+    "<article class=post>{}</article><article class=comment><p>I like it a lot.</p></article>",
+    "<article>{}<form><p>Subscribe to the letter of the day now.</p></form></article>",
+])
+def test_words_in_classes_are_hints(page):
+    tree = html_blocks.train(*html_blocks.labelled_table())
+    text = " ".join([PARAGRAPH[3:-4]] * 3)
+    assert html_text.main_text(page.format(PARAGRAPH * 3), tree) == text
+
+
+def test_quotes_without_end_leak_no_markup():
+    tree = html_blocks.train(*html_blocks.labelled_table())
+    for start in ("<p class=\"x>", "<p class='x y>", "<p title=it's>"):
+        page = start + PARAGRAPH[3:] + PARAGRAPH + '<a class="k" href="/x">link</a>'
+        assert html_text.main_text(page, tree) == " ".join([PARAGRAPH[3:-4]] * 2)
+    kept = '<p data-x="a > b" title=\'<b>"x"</b>\'>' + PARAGRAPH[3:]
+    assert html_text.main_text(kept, tree) == PARAGRAPH[3:-4]
+
+
+@pytest.mark.parametrize("part", ["<div>", "<a href='x ", "<p class=\"x>", "<", "<div></p>", "<li>x", "<form><article>"])
+def test_time_grows_with_the_page(part):
+    import time
+
+    took = []
+    for n in (3000, 30_000):
+        start = time.process_time()
+        html_blocks.blocks(part * n + "x > y </div>")
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * max(took[0], 0.02)
+
+
 def test_tree_learns_its_table():
     x, y = html_blocks.labelled_table()
     assert (html_blocks.train(x, y).tell(x) == y).all()

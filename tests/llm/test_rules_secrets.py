@@ -63,6 +63,28 @@ def test_random_strings_are_told_from_words(texts):
     assert sum(i >= 1000 for i in found) == 0
 
 
+def test_random_strings_of_every_encoding_and_length(texts):
+    rng = random.Random(11)
+    rows, of = [], {}
+    for name, _, alphabet, _ in secret_scan.ENCODINGS:
+        if name in ("decimal", "hex"):  # ten symbols say little; long hex strings are a base kind
+            continue
+        for length in (40, 64, 96, 128, 256):
+            for _ in range(20):
+                of[len(rows)] = (name, length)
+                rows.append((len(rows), "key " + "".join(rng.choices(alphabet, k=length)) + " end"))
+    words = ["the", "ation", "ing", "er", "Over", "con", "data", "file", "2024", "12", "section"]
+    plain = [(len(rows) + i, "see " + "".join(rng.choices(words, k=rng.choice([6, 9, 14, 30]))) + " now") for i in range(400)]
+    plain += [(9000, "x" * 500_000), (9001, "ab" * 100), (9002, None)]
+    found = secret_scan.find_secrets(texts(rows + plain)).collect()
+    caught = [of.get(r["doc_id"]) for r in found if any(s["kind"] == "random" for s in r["spans"])]
+    for name, length in set(of.values()):
+        # 32 symbols in one case differ little from words: only longer strings are evidence enough
+        least = 0 if name.startswith("base32") and length < 96 else 10 if length == 40 else 17
+        assert caught.count((name, length)) >= least, (name, length, caught.count((name, length)))
+    assert caught.count(None) <= 0.02 * len(caught)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 64, 65])
 def test_running_sums(spark, n):
     from pyspark.sql import functions as F

@@ -8,8 +8,9 @@ of the remaining stretches is searched backward for all windows at once, the
 occurrences are located, and overlapping ones merge to spans.
 
 The benchmark is split by hash into blocks of about ``BLOCK_BYTES`` text
-bytes; the rows pass one block after the other in the same stage, so memory
-does not grow with the benchmark and no text is shuffled.
+bytes. The rows pass one block after the other, and are written in between, so
+the driver and a task hold the windows of one block at a time, in arrays of
+about sixty times its bytes at most, and no text is shuffled.
 
 Edge cases: a null or empty text, or one without words, has no hits. An item
 without words has no window; equal items all count, one without an id hits but
@@ -28,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .batches import small_batches
 from .fm_index import FMIndex
 from .words import ALNUM_WORDS, Words, text_slices
 
 WINDOW = 10
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _BREAK = 1  # the symbol between stretches; 0 ends the index
 
 _ADDED = "n_words long, hit_words array<array<int>>, spans array<array<int>>, items array<long>"
@@ -48,17 +50,27 @@ class Windows:
         self.vocabulary, symbol = np.unique(words.codes(), return_inverse=True)
         self.sigma = len(self.vocabulary) + 2
         symbol = symbol + 2
-        owners: dict[int, dict[tuple, set]] = {}
-        for r, (item, _) in enumerate(rows):
-            own = symbol[words.first[r] : words.first[r + 1]]
-            width = min(window, len(own))
-            for i in range(len(own) - width + 1 if width else 0):
-                owners.setdefault(width, {}).setdefault(tuple(own[i : i + width].tolist()), set()).add(item)
-        self.patterns = {m: np.array(list(p), np.int64) for m, p in owners.items()}
-        self.items = {
-            m: [np.array(sorted(i for i in x if i is not None), np.int64) for x in p.values()] for m, p in owners.items()
-        }
-        self.shortest = min(owners, default=0)
+        items = np.array([-1 if item is None else item for item, _ in rows], np.int64)
+        named = np.array([item is not None for item, _ in rows], bool)
+        counts = np.diff(words.first)
+        widths = np.minimum(window, counts)
+        #: By width: the windows, and the items that hold each, one run of ``items`` per window.
+        self.patterns: dict[int, np.ndarray] = {}
+        self.items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m in np.unique(widths[widths > 0]).tolist():
+            own = np.flatnonzero(widths == m)
+            n = counts[own] - m + 1
+            at = np.arange(n.sum()) + np.repeat(words.first[own] - np.cumsum(n) + n, n)
+            self.patterns[m], which = np.unique(symbol[at[:, None] + np.arange(m)], axis=0, return_inverse=True)
+            owner = np.repeat(own, n)
+            kept = named[owner]
+            pairs = np.unique(np.stack([which.reshape(-1)[kept], items[owner[kept]]]), axis=1)
+            self.items[m] = (np.searchsorted(pairs[0], np.arange(len(self.patterns[m]) + 1)), pairs[1])
+        self.shortest = min(self.patterns, default=0)
+
+    def items_of(self, width: int, which: int) -> list[int]:
+        first, items = self.items[width]
+        return items[first[which] : first[which + 1]].tolist()
 
     def occurrences(self, words: Words, codes: np.ndarray):
         """``(width, pattern, first word)`` arrays of all occurrences in a shard."""
@@ -120,7 +132,7 @@ def _search(block: list[tuple], window: int, last: bool):
                     np.add.at(cover, at + width, -1)
                     pairs = np.unique(np.stack([words.row[at], which]), axis=1)
                     for r, w in pairs.T.tolist():
-                        items[r].update(windows.items[width][w].tolist())
+                        items[r].update(windows.items_of(width, w))
             hit = np.cumsum(cover)[:-1] > 0
             hit_words, spans = [], []
             for r in range(part.num_rows):
@@ -195,6 +207,9 @@ def benchmark_hits(
         block = bench.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
         shared = spark.sparkContext.broadcast([tuple(r) for r in block])
         rows = rows.mapInArrow(_search(shared, window, b == blocks - 1), schema)
+        if b < blocks - 1:
+            rows = cut_lineage(rows, "hits")
+            shared.destroy()
     if remove:
         rows = rows.mapInArrow(_remove, rows.schema)
     n_hit = F.aggregate("hit_words", F.lit(0), lambda s, x: s + x[1] - x[0]).cast("long")

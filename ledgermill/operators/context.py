@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from .documents import context_label
 from .finance import verified_lines
-from .ordering import PLACE, SEGMENT, before, null_safe_join, with_segments
+from .ordering import PLACE, SEGMENT, before, null_safe_join, place_rows
 
 #: Characters of a part; its last piece may reach beyond.
 PART_CHARS = 1 << 20
@@ -61,7 +61,7 @@ def assemble_parts(*pieces: DataFrame, part_chars: int = PART_CHARS) -> DataFram
     which its pieces start; stretches inside one long piece have no part.
     """
     whole = reduce(DataFrame.unionByName, pieces).filter(F.col("piece").isNotNull())
-    placed = with_segments(whole, ["query_id"], ORDER).withColumn("_size", F.length("piece").cast("long"))
+    placed = place_rows(whole, ["query_id"], ORDER).withColumn("_size", F.length("piece").cast("long"))
     carried = placed.groupBy("query_id", SEGMENT).agg(F.sum("_size").alias("_s")).select(
         "query_id", SEGMENT, F.coalesce(F.sum("_s").over(before(["query_id"])), F.lit(0)).alias("_before")
     )

@@ -26,7 +26,7 @@ def segment_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_segments(df: DataFrame, group: list[str], order: list, segments: int | None = None) -> DataFrame:
+def place_rows(df: DataFrame, group: list[str], order: list, segments: int | None = None) -> DataFrame:
     """The rows with their ``_segment`` and their ``_place``, which rises along the order.
 
     The cuts come from a sample of the whole key, the number of the row
@@ -46,6 +46,11 @@ def with_segments(df: DataFrame, group: list[str], order: list, segments: int |
     return cut_lineage(placed, "placed")
 
 
+def with_segments(df: DataFrame, key: str, segments: int | None = None) -> DataFrame:
+    """The rows with a segment number that never decreases along ``key``; rows without a key come first."""
+    return place_rows(df, [], [key], segments).drop(PLACE)
+
+
 def null_safe_join(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "inner"
 ) -> DataFrame:
@@ -104,7 +109,7 @@ def number_rows(
     segments: int | None = None,
 ) -> DataFrame:
     """1-based row number per group in the given order, and the group's size."""
-    placed = with_segments(df, group, order, segments)
+    placed = place_rows(df, group, order, segments)
     counts = placed.groupBy(*group, SEGMENT).agg(
         F.count(F.lit(1)).alias("_n"), F.min(PLACE).alias("_first")
     )

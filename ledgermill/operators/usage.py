@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .ordering import PLACE, SEGMENT, before, null_safe_join, spread_join, with_segments
+from .ordering import PLACE, SEGMENT, before, null_safe_join, spread_join, place_rows
 
 
 def estimate_tokens(length: Column) -> Column:
@@ -42,7 +42,7 @@ def token_budget(
         "model", F.inline(F.array(change(F.col("_at"), 1, 1), change(F.col("_at") + reach + 1, -1, 0)))
     )
     moments = changes.groupBy("model", "_at").agg(*[F.sum(c).alias(c) for c in ("tokens", "n", "own")])
-    placed = with_segments(moments, ["model"], ["_at"], segments)
+    placed = place_rows(moments, ["model"], ["_at"], segments)
     carried = placed.groupBy("model", SEGMENT).agg(F.sum("tokens").alias("_t"), F.sum("n").alias("_n")).select(
         "model", SEGMENT, *[F.coalesce(F.sum(c).over(before(["model"])), F.lit(0)).alias(c) for c in ("_t", "_n")]
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgermill.operators import documents as D
 from ledgermill.operators import finance as A
 from ledgermill.operators import incremental as I
-from ledgermill.operators.ordering import SEGMENT, number_rows, spread_join, with_segments
+from ledgermill.operators.ordering import SEGMENT, number_rows, spread_join, place_rows
 from ledgermill.sources import chatlog, files
 
 
@@ -112,7 +112,7 @@ def test_spread_join_matches_plain_join(spark):
 
 def test_equal_order_keys_spread_over_segments(spark):
     rows = spark.range(20_000).select(F.lit("s").alias("g"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).alias("k"))
-    placed = with_segments(rows, ["g"], ["k"], 8)
+    placed = place_rows(rows, ["g"], ["k"], 8)
     sizes = [r["count"] for r in placed.groupBy(SEGMENT).count().collect()]
     assert len(sizes) == 8 and max(sizes) <= 2 * 20_000 / 8
     numbered = number_rows(rows, ["g"], ["k"], segments=8).collect()

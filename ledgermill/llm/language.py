@@ -72,6 +72,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The rows of counts as weighted unit vectors, in place and a slice at a time."""
+    for a in range(0, len(counts), SLICE_ROWS):
+        counts[a : a + SLICE_ROWS] = _unit(counts[a : a + SLICE_ROWS] * idf)
+    return counts
+
+
 def _bands(counts: np.ndarray) -> np.ndarray:
     """Length band of texts from their n-gram counts: powers of two."""
     return np.log2(1 + counts.sum(axis=1)).astype(int)
@@ -183,14 +190,16 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     counts = np.zeros((len(found), FEATURES), np.float32)
     for i, r in enumerate(found):
         counts[i, np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["counts"], np.float32)
-    x, label = _unit(counts * idf), np.array([r["lang"] for r in found])
+    label, bands = np.array([r["lang"] for r in found]), _bands(counts)
+    del found
+    x = _weighted(counts, idf)
     names, vectors = [], []
     for name in sorted(set(label)):
         own = _cluster(x[label == name], CENTROIDS)
         vectors.append(own)
         names += [name] * len(own)
     vectors = np.concatenate(vectors).astype(np.float32)
-    return Centroids(idf, vectors, names, _cutoffs((x @ vectors.T).max(axis=1), _bands(counts)))
+    return Centroids(idf, vectors, names, _cutoffs((x @ vectors.T).max(axis=1), bands))
 
 
 def _cutoffs(score: np.ndarray, band: np.ndarray) -> np.ndarray:

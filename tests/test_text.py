@@ -94,3 +94,29 @@ def test_normalizing_is_stable_and_order_free(spark, texts):
     rows = [(" ".join(["x:", *t.split()]), " ".join(["x:", *t.split()])) for t in texts]
     frame = spark.createDataFrame(rows, "a string, b string")
     assert frame.filter(N.normalize_item(F.col("a")) != N.normalize_item(F.col("b"))).isEmpty()
+
+
+def test_lists_inside_lists_at_any_depth(spark):
+    import json
+    import random
+
+    from ledgermill.functions import jsonvals as J
+
+    rng = random.Random(3)
+
+    def build(depth):
+        if depth == 0:
+            return rng.choice([None, "a", "b [1", 'q"]', 7, True, {"k": [1, [2]]}, "c\\"])
+        return [build(depth - 1) if i == 0 else build(rng.randrange(min(depth, 3))) for i in range(rng.randrange(1, 4))]
+
+    def flat(v):
+        if isinstance(v, list):
+            return [x for e in v for x in flat(e)]
+        return [] if v is None else [v]
+
+    values = [build(d) for d in (0, 1, 2, 5, 9, 17, 40, 120)] + [[], [[]], [[], [None]], "[[[", None]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, v string")
+    found = {r["i"]: r["x"] for r in rows.selectExpr("i", "try_parse_json(v) as v").select("i", J.leaves(F.col("v")).alias("x")).select(
+        "i", F.transform("x", lambda e: F.to_json(e)).alias("x")).collect()}
+    for i, v in enumerate(values):
+        assert [json.loads(x) for x in found[i]] == flat(v), v

@@ -47,7 +47,10 @@ def _kind(v: Column) -> Column:
 
 def variant_text(v: Column) -> Column:
     """Text of a JSON value; null and booleans read None, True, False."""
-    kind = _kind(v)
+    return let(v, lambda value: let(_kind(value), lambda kind: _text(value, kind)))
+
+
+def _text(v: Column, kind: Column) -> Column:
     return (
         F.when(kind == "STRING", strip(v.cast("string")))
         .when(kind == "VOID", F.lit("None"))
@@ -77,17 +80,21 @@ def leaves(v: Column) -> Column:
     """
 
     def opened(value: Column) -> Column:
-        kind = _kind(value)
-        return (
-            F.when(value.isNull() | (kind == "VOID"), F.array().cast("array<variant>"))
-            .when(kind.startswith("ARRAY"), value.cast("array<variant>"))
-            .otherwise(F.array(value))
-        )
+        # what is no list has no elements; that is told without looking at what a list holds
+        elements = F.coalesce(value.try_cast("array<variant>"), F.array(value))
+        return F.when(
+            value.isNull() | F.is_variant_null(value), F.array().cast("array<variant>")
+        ).otherwise(elements)
+
+    def depth(value: Column) -> Column:
+        # elements of one kind name it; only mixed ones are followed bracket by bracket
+        named = F.length(F.regexp_extract(_kind(value), "^(?:ARRAY<)*", 0)) / F.lit(len("ARRAY<"))
+        return F.when(_kind(value).contains("ARRAY<VARIANT"), nesting(F.to_json(value))).otherwise(named.cast("int"))
 
     def body(value: Column) -> Column:
-        depth = F.when(_kind(value).startswith("ARRAY"), nesting(F.to_json(value))).otherwise(0)
+        lists = F.when(value.try_cast("array<variant>").isNotNull(), depth(value)).otherwise(0)
         return F.aggregate(
-            F.sequence(F.lit(0), F.coalesce(depth, F.lit(0))), F.array(value),
+            F.sequence(F.lit(0), lists), F.array(value),
             lambda found, _: F.flatten(F.transform(found, opened)),
         )
 
@@ -102,13 +109,16 @@ def item_set(v: Column) -> Column:
     """
 
     def items(value: Column) -> Column:
-        return F.when(
-            _kind(value).startswith("OBJECT"),
-            F.transform(
-                F.map_entries(value.cast("map<string,variant>")),
-                lambda e: F.concat(e.key, F.lit(": "), variant_text(e.value)),
-            ),
-        ).otherwise(text_items(variant_text(value)))
+        def of_kind(kind: Column) -> Column:
+            return F.when(
+                kind.startswith("OBJECT"),
+                F.transform(
+                    F.map_entries(value.cast("map<string,variant>")),
+                    lambda e: F.concat(e.key, F.lit(": "), variant_text(e.value)),
+                ),
+            ).otherwise(text_items(_text(value, kind)))
+
+        return let(_kind(value), of_kind)
 
     return F.array_distinct(F.flatten(F.transform(leaves(v), items)))
 

@@ -7,39 +7,61 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .text import (
+    CUT,
     DIACRITICS,
     WORD,
     ascii_digits,
     item_has_no_data,
+    is_ascii,
     let,
     matches,
     plain_spaces,
     split_at,
     squeeze,
     strip,
+    strip_ascii,
 )
 
-NUMBER = rf"(?i)\(?[-+]?\d[\d,]*(?:\.\d+)?\)?(?:\s*(?:{C.NUMBER_UNITS}))?"
+#: A figure in a prepared, hence lower-cased text.
+NUMBER = rf"\(?[-+]?\d[\d,]*(?:\.\d+)?\)?(?:\s*(?:{C.NUMBER_UNITS}))?"
 
 
-def prepare(c: Column) -> Column:
-    text = strip(F.lower(ascii_digits(plain_spaces(c))))
-    text = F.regexp_replace(text, DIACRITICS, "")
-    text = F.regexp_replace(
-        text, rf"(?<![{WORD}])unnamed\s*:?\s*[0-9]+(?![{WORD}])", " "
-    )
+def _with_currencies(text: Column, ignored: str = "") -> Column:
     for symbol, word in C.CURRENCY_WORDS:
-        text = F.replace(text, F.lit(symbol), F.lit(word))
+        if symbol != ignored:
+            text = F.replace(text, F.lit(symbol), F.lit(word))
     return text
 
 
+def _in_ascii(text: Column) -> Column:
+    """The part of both preparations that concerns ASCII texts."""
+    return F.replace(strip_ascii(F.lower(text)), F.lit("$"), F.lit(dict(C.CURRENCY_WORDS)["$"]))
+
+
+def prepare(c: Column) -> Column:
+    """Lower case, ASCII digits, currency words; without diacritics and made-up column names.
+
+    Most steps concern characters outside ASCII and are left out for ASCII texts.
+    """
+
+    def named(text: Column) -> Column:
+        unnamed = rf"(?<![{WORD}])unnamed\s*:?\s*[0-9]+(?![{WORD}])"
+        return F.when(text.contains("unnamed"), F.regexp_replace(text, unnamed, " ")).otherwise(text)
+
+    def any_script(t: Column) -> Column:
+        text = strip(F.lower(ascii_digits(plain_spaces(t))))
+        return let(F.regexp_replace(text, DIACRITICS, ""), lambda x: _with_currencies(named(x)))
+
+    def ascii(t: Column) -> Column:
+        return let(_in_ascii(t), named)
+
+    return let(c, lambda t: F.when(is_ascii(t), ascii(t)).otherwise(any_script(t)))
+
+
 def prepare_plain(c: Column) -> Column:
     """The simpler preparation: keeps diacritics and the Arabic percent sign."""
-    text = strip(F.lower(ascii_digits(plain_spaces(c))))
-    for symbol, word in C.CURRENCY_WORDS:
-        if symbol != "٪":
-            text = F.replace(text, F.lit(symbol), F.lit(word))
-    return text
+    any_script = lambda t: _with_currencies(strip(F.lower(ascii_digits(plain_spaces(t)))), "٪")
+    return let(c, lambda t: F.when(is_ascii(t), _in_ascii(t)).otherwise(any_script(t)))
 
 
 _SHIFT = "CASE p.unit " + " ".join(
@@ -121,19 +143,19 @@ def _without_scales(prepared: Column) -> Column:
         r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*"
         rf"(?:/|{open_}من{edge}|{open_}out\s+of{edge})\s*[45]{edge}"
     )
-    return F.regexp_replace(prepared, scale, "$1")
+    # what a scale is written with; most texts hold none of it
+    written = prepared.contains("/") | prepared.contains("من") | prepared.contains("out")
+    return F.when(written, F.regexp_replace(prepared, scale, "$1")).otherwise(prepared)
 
 
 def material_numbers(c: Column) -> Column:
-    return _figures(_without_scales(prepare(c)))
+    return let(prepare(c), lambda t: _figures(_without_scales(t)))
 
 
 def _words(prepared: Column, ignored=C.NON_LABEL_WORDS) -> Column:
     text = F.regexp_replace(prepared, NUMBER, " ")
-    return F.array_except(
-        matches(text, r"[a-z\u0600-\u06ff]{2,}"),
-        F.array(*[F.lit(w) for w in ignored]),
-    )
+    found = matches(text, r"[a-z\u0600-\u06ff]{2,}")
+    return F.array_distinct(F.filter(found, lambda w: ~w.isin(*ignored)))
 
 
 def word_tokens(c: Column) -> Column:
@@ -196,20 +218,16 @@ def normalize_item(c: Column) -> Column:
 
 def extract_items(c: Column) -> Column:
     """Numeric clauses of an answer or source text, as a distinct array."""
-    pieces = split_at(
-        plain_spaces(c), r"[\n\r]+|(?:\s+[\u2022*-]\s+)|(?:\s+[0-9]+[.)]\s+)|\|"
-    )
+    spaced = F.when(is_ascii(c), c).otherwise(plain_spaces(c))
+    pieces = split_at(spaced, r"[\n\r]+|(?:\s+[\u2022*-]\s+)|(?:\s+[0-9]+[.)]\s+)|\|")
     # most pieces hold no figure and are dropped before any cleaning
     pieces = F.filter(pieces, lambda p: p.rlike(r"[0-9\u0660-\u0669]"))
-    pieces = F.transform(
-        pieces,
-        lambda p: strip(
-            F.regexp_replace(
-                squeeze(strip(F.regexp_replace(p, r"^\s*[-\u2022*]\s*", ""))),
-                r"^\[Source:[^\]]+\]\s*", "",
-            )
-        ),
-    )
+    # the rest is cleaned as one text, with a cut between two pieces
+    text = F.regexp_replace(F.array_join(pieces, CUT), rf"(^|{CUT})\s*[-\u2022*]\s*", "$1")
+    edge = rf"(?<=^|{CUT}) | (?=[\u0085\u2028\u2029]?(?:{CUT}|\z))"
+    text = F.regexp_replace(squeeze(text), edge, "")
+    text = F.regexp_replace(text, rf"(^|{CUT})\[Source:[^\]{CUT}]+\]\s*", "$1")
+    pieces = F.split(text, CUT, -1)
     pieces = F.transform(
         pieces,
         lambda p: F.when(
@@ -227,7 +245,7 @@ def extract_items(c: Column) -> Column:
 def looks_like_blob(c: Column) -> Column:
     return (
         (F.length(c) > C.BLOB_MIN_CHARS)
-        | c.rlike(r"\n|\||  ")
+        | c.contains("\n") | c.contains("|") | c.contains("  ")
         | c.rlike(r"^\s*[-*\u2022]")
     )
 

@@ -39,6 +39,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def is_ascii(c: Column) -> Column:
+    """Whether a text has as many bytes as characters."""
+    return F.octet_length(c) == F.char_length(c)
+
+
+def strip_ascii(c: Column) -> Column:
+    """:func:`strip` of an ASCII text, without a pattern."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
 def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", " ")
 
@@ -62,12 +72,12 @@ def matches(c: Column, pattern: str) -> Column:
 
 
 # U+FFFF is no character, so texts do not hold it.
-_CUT = "\uffff"
+CUT = "\uffff"
 
 
 def split_at(c: Column, pattern: str) -> Column:
     """Pieces between matches; the pattern is compiled once, not per row."""
-    return F.split(F.regexp_replace(c, pattern, _CUT), _CUT, -1)
+    return F.split(F.regexp_replace(c, pattern, CUT), CUT, -1)
 
 
 def contains_any(c: Column, phrases) -> Column:

@@ -127,16 +127,27 @@ def categorized_errors(items: DataFrame) -> DataFrame:
 
 
 def error_analysis(items: DataFrame) -> DataFrame:
-    """Exact and normalized error counts per entry with the likely cause."""
+    """Exact and normalized error counts per entry with the likely cause.
 
-    def counts(normalize: bool, prefix: str) -> DataFrame:
-        outcome = F.col("outcome")
-        return match_items(items, normalize).groupBy("entry_id").agg(
-            F.count_if(outcome == "FP").alias(f"{prefix}_fp"),
-            F.count_if(outcome == "FN").alias(f"{prefix}_fn"),
+    Equal spellings are brought together first, their keys next, so that the
+    items are read once and each spelling is normalized once.
+    """
+    mine = F.col("side") == RETRIEVED
+    held = lambda c: F.bool_or(F.coalesce(c & F.col("item").isNotNull(), F.lit(False)))
+    one_sided = [F.count_if(F.col("_r") & ~F.col("_v")), F.count_if(~F.col("_r"))]
+    spelled = items.groupBy("entry_id", "item").agg(held(mine).alias("_r"), held(~mine).alias("_v"))
+    keyed = (
+        spelled.withColumn("key", normalize_item(F.col("item")))
+        .groupBy("entry_id", "key")
+        .agg(
+            *[c.alias(n) for c, n in zip(one_sided, ("exact_fp", "exact_fn"))],
+            F.bool_or("_r").alias("_r"), F.bool_or("_v").alias("_v"),
         )
-
-    joined = counts(False, "exact").join(counts(True, "normalized"), "entry_id")
+    )
+    joined = keyed.groupBy("entry_id").agg(
+        F.sum("exact_fp").alias("exact_fp"), F.sum("exact_fn").alias("exact_fn"),
+        *[c.alias(n) for c, n in zip(one_sided, ("normalized_fp", "normalized_fn"))],
+    )
     cause = (
         F.when((F.col("exact_fp") == 0) & (F.col("exact_fn") == 0), F.lit("no_error"))
         .when(

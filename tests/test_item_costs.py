@@ -1,0 +1,18 @@
+"""Items are read once."""
+
+from ledgermill.operators import evaluation as E
+
+
+def test_error_analysis_reads_its_items_once(spark):
+    items = spark.createDataFrame(
+        [(1, "retrieved", "Cost: 5 SAR"), (1, "relevant", "cost: SAR 5"), (2, "retrieved", "x 1"), (2, "retrieved", "x 1"),
+         (3, "relevant", "y 2"), (3, "retrieved", "y 2"), (4, "relevant", None), (4, "retrieved", None)],
+        "entry_id int, side string, item string",
+    )
+    found = E.error_analysis(items)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["entry_id"]: (r["exact_fp"], r["exact_fn"], r["normalized_fp"], r["normalized_fn"], r["likely_cause"]) for r in found.collect()}
+    assert got == {
+        1: (1, 1, 0, 0, "matching/normalization"), 2: (1, 0, 1, 0, "retrieval_or_extraction"),
+        3: (0, 0, 0, 0, "no_error"), 4: (0, 1, 0, 1, "retrieval_or_extraction"),
+    }

@@ -173,7 +173,8 @@ def tokenize(c: Column) -> Column:
         figures = matches(t, rf"(?<![{WORD}])[0-9]+(?![{WORD}])")
         return F.when(t.rlike("[0-9]"), F.concat(words, figures)).otherwise(words)
 
-    text = F.translate(c, _TOKEN_FROM, _TOKEN_TO)
+    # ASCII texts hold none of these characters
+    text = let(c, lambda t: F.when(is_ascii(t), t).otherwise(F.translate(t, _TOKEN_FROM, _TOKEN_TO)))
     return let(
         let(text, lambda t: F.when(t.rlike("[0-9]"), scaled(t)).otherwise(t)), tokens
     )

@@ -23,18 +23,26 @@ A search has four steps, none of which adds up all pairs that share a term:
 
 The result is that of scoring every pair. A question with fewer than ``k``
 documents has no floor and all its documents are candidates.
+
+Where the questions' terms and their best documents fit a task, there is a
+shorter way: the index has one row per document, so every question is scored
+where a document is read, and a task hands on its best ``k`` alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import settle, tokenize
+from ..functions.text import matches, settle, tokenize
 from ..session import cut_lineage
 
 # Scores are compared after rounding, so ranks do not depend on the order in
@@ -53,32 +61,38 @@ UNREAD = 0.1
 ALL_PAIRS = 50_000_000
 #: Rows of question terms (about 50 bytes each) that may go to every task.
 BROADCAST_TERM_ROWS = 1_000_000
+#: The most that a task keeps of all questions' best documents (24 bytes each),
+#: and about how many pairs it adds up at once.
+KEPT_ROWS, CHUNK = 1_000_000, 500_000
 #: Documents of a term that one task joins, where terms are not broadcast.
 TERM_ROWS = 100_000
 
 
-def build_postings(docs: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
-    """``(doc_id, dl, term, tf)``.
+#: A token and its repetitions, in sorted tokens joined by blanks (which no token holds).
+RUN = r"([^ ]+)(?: \1(?![^ ]))*+"
+
+
+def document_terms(docs: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
+    """``(doc_id, dl, terms)``: a row per document, with ``term, tf`` of its distinct terms.
 
     Terms are counted inside their row: equal tokens are neighbours in sorted
     order, and a term occurs as often as its run is long. Neither texts nor
     tokens are shuffled.
     """
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
-    tokens = settle(texts, _t=F.array_sort(tokenize(F.col("_text")))).drop("_text")
-    places = F.sequence(F.lit(0), F.size("_t") - 1)
-    first = F.filter(
-        F.when(F.size("_t") > 0, places), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))
-    )
-    runs = settle(tokens, _first=first)
-    terms = F.transform(
-        "_first",
-        lambda i, n: F.struct(
-            F.get("_t", i).alias("term"),
-            (F.coalesce(F.get("_first", n + 1), F.size("_t")) - i).cast("long").alias("tf"),
-        ),
+    tokens = settle(texts, _t=F.sort_array(tokenize(F.col("_text")))).drop("_text")
+    runs = matches(F.array_join("_t", " "), RUN)
+    term = lambda run: F.substring_index(run, " ", 1)
+    times = lambda run: (F.octet_length(run) + 1) / (F.octet_length(term(run)) + 1)
+    counted = F.transform(
+        runs, lambda run: F.struct(term(run).alias("term"), times(run).cast("long").alias("tf"))
     )
-    return runs.select("doc_id", F.size("_t").alias("dl"), F.inline(terms))
+    return tokens.select("doc_id", F.size("_t").alias("dl"), counted.alias("terms"))
+
+
+def build_postings(docs: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
+    """``(doc_id, dl, term, tf)`` of :func:`document_terms`."""
+    return document_terms(docs, key, text).select("doc_id", "dl", F.inline("terms"))
 
 
 def raw_idf(df: Column, n_docs: Column) -> Column:
@@ -122,7 +136,7 @@ class LexicalIndex:
     by every batch of questions, and the tokens of a corpus are made once.
     """
 
-    postings: DataFrame
+    documents: DataFrame
     terms: DataFrame
     avg_dl: float
     k1: float = C.BM25_K1
@@ -132,11 +146,22 @@ class LexicalIndex:
     def build(
         cls, docs: DataFrame, key: str = "doc_id", text: str = "content", k1: float = C.BM25_K1, b: float = C.BM25_B
     ) -> LexicalIndex:
-        postings = cut_lineage(build_postings(docs, key, text), "postings")
+        documents = cut_lineage(document_terms(docs, key, text), "postings")
+        postings = documents.select("doc_id", "dl", F.inline("terms"))
         counts = cut_lineage(document_frequencies(postings), "terms")
         stats = corpus_stats(docs, postings, counts).first()
         terms = term_weights(counts, stats["n_docs"], stats["avg_idf"] or 0.0)
-        return cls(postings, terms, stats["avg_dl"] or 1.0, k1, b)
+        return cls(documents, terms, stats["avg_dl"] or 1.0, k1, b)
+
+    @property
+    def postings(self) -> DataFrame:
+        """``doc_id, dl, term, tf``; those of a row of ``documents`` follow each other."""
+        return self.documents.select("doc_id", "dl", F.inline("terms"))
+
+    @cached_property
+    def one_row_each(self) -> bool:
+        """Whether every document has a number of its own."""
+        return self.documents.agg(F.count(F.lit(1)) == F.count_distinct("doc_id")).first()[0]
 
     @cached_property
     def blocks(self) -> DataFrame:
@@ -259,22 +284,113 @@ def candidates(weighted: DataFrame, index: LexicalIndex, k: int, small: bool = T
     return cut_lineage(reach.select("query_id", "doc_id"), "candidates")
 
 
+def _row_scores(table: pa.Table, terms: pa.Array, k: int):
+    """Adds up whole documents as their postings pass by and keeps a task's best k per question."""
+    number = pc.index_in(table["term"], value_set=terms).to_numpy()
+    order = np.argsort(number, kind="stable")
+    query_ids, asks = np.unique(table["query_id"].to_numpy(), return_inverse=True)
+    asks, weights = asks[order], table["w"].to_numpy()[order]
+    # the questions of term t are those from starts[t] to starts[t + 1]
+    starts = np.searchsorted(number[order], np.arange(len(terms) + 1))
+    n = len(query_ids)
+
+    def scored(ids, term, part):
+        """Question, document and rounded score of whole documents."""
+        many = starts[term + 1] - starts[term]
+        row = np.repeat(np.arange(len(term)), many)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + starts[term][row]
+        docs, place = np.unique(ids, return_inverse=True)
+        cell, add = place[row] * n + asks[at], part[row] * weights[at]
+        if len(docs) * n <= 8 * len(cell):
+            sums = np.bincount(cell, add, len(docs) * n)
+            cell = np.flatnonzero(sums > 0)
+            sums = sums[cell]
+        else:
+            cell, same = np.unique(cell, return_inverse=True)
+            sums = np.bincount(same, add, len(cell))
+        return cell % n, docs[cell // n], np.round(sums, SCORE_DIGITS)
+
+    def best(slot, ids, score):
+        order = np.lexsort((ids, -score, slot))
+        slot, ids, score = slot[order], ids[order], score[order]
+        place = np.arange(len(slot)) - np.searchsorted(slot, slot, side="left")
+        floor[slot[place == k - 1]] = score[place == k - 1]
+        keep = place < k
+        return slot[keep], ids[keep], score[keep]
+
+    floor = np.zeros(n)
+
+    def run(batches):
+        floor[:] = 0.0
+        kept = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        left = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0)
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                left = tuple(np.concatenate(both) for both in zip(left, new))
+            ids, term, part = left
+            firsts = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
+            # the last document may go on in the next batch
+            ends = firsts[1:] if batch is not None else np.append(firsts[1:], len(ids))
+            pairs = np.append(0, np.cumsum(starts[term + 1] - starts[term]))[ends]
+            done = 0
+            while done < (ends[-1] if len(ends) else 0):
+                # documents with about CHUNK pairs together, one at least
+                seen = pairs[np.searchsorted(ends, done, side="right") - 1] if done else 0
+                end = ends[max(np.searchsorted(pairs, seen + CHUNK, side="right") - 1, np.searchsorted(ends, done, side="right"))]
+                slot, doc, score = scored(ids[done:end], term[done:end], part[done:end])
+                good = (score > 0) & (score >= floor[slot])
+                kept = tuple(np.concatenate(both) for both in zip(kept, (slot[good], doc[good], score[good])))
+                if len(kept[0]) > 2 * k * n + CHUNK:
+                    kept = best(*kept)
+                done = end
+            left = ids[done:], term[done:], part[done:]
+        slot, doc, score = best(*kept)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(query_ids[slot]), pa.array(doc), pa.array(score)], names=["query_id", "doc_id", "score"]
+        )
+
+    return run
+
+
+def scores_in_rows(weighted: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
+    """``query_id, doc_id, score``: the positive scores among the best ``k`` of a question in a task.
+
+    The questions' terms travel with the tasks. A document's postings lie in
+    one row, so it is scored for all questions where it is read; no pair of
+    question and document leaves a task but its best.
+    """
+    table = weighted.select(F.col("query_id").cast("long").alias("query_id"), "term", "w").toArrow()
+    terms = pc.unique(table["term"])
+    names = pa.table({"term": terms, "_term": pa.array(np.arange(len(terms), dtype=np.int32))})
+    named = F.broadcast(weighted.sparkSession.createDataFrame(names))
+    found = index.postings.join(named, "term").select("doc_id", "_term", index.part().alias("part"))
+    return found.mapInArrow(_row_scores(table, terms, k), "query_id long, doc_id long, score double")
+
+
 def bm25_scores(
     queries: DataFrame, index: LexicalIndex, k: int, *,
-    broadcast_rows: int = BROADCAST_TERM_ROWS, all_pairs: int = ALL_PAIRS,
+    broadcast_rows: int = BROADCAST_TERM_ROWS, all_pairs: int = ALL_PAIRS, kept_rows: int = KEPT_ROWS,
 ) -> DataFrame:
-    """BM25 of every (question, document) pair that may be among the question's best ``k``.
+    """Positive BM25 of every (question, document) pair that may be among the question's best ``k``.
 
     Where the questions' terms have at most ``all_pairs`` postings, of every
-    pair that shares a term.
+    pair that shares a term. Above that, documents are scored in their rows if
+    the questions' terms may go to every task and their best documents
+    together are at most ``kept_rows``.
     """
     weighted = question_terms(queries, index)
-    rows, postings = weighted.agg(F.count(F.lit(1)), F.sum("df")).first()
+    rows, postings, asked, nulls = weighted.agg(
+        F.count(F.lit(1)), F.sum("df"), F.count_distinct("query_id"), F.count_if(F.col("query_id").isNull())
+    ).first()
     small = rows <= broadcast_rows
+    numbered = dict(weighted.dtypes)["query_id"] == dict(index.documents.dtypes)["doc_id"] == "bigint" and not nulls
     if (postings or 0) <= all_pairs:
         scores = with_terms(index, index.postings, weighted, small).groupBy("query_id", "doc_id").agg(
             F.sum(F.col("w") * index.part()).alias("score")
         )
+    elif rows and small and numbered and asked * k <= kept_rows and index.one_row_each:
+        scores = scores_in_rows(weighted, index, k)
     else:
         scores = _full_scores(index, weighted, candidates(weighted, index, k, small), small)
     return scores.withColumn("score", F.round("score", SCORE_DIGITS))

@@ -43,6 +43,44 @@ def test_bm25_matches_brute_force(spark, bound, pairs):
         assert mine == want
 
 
+@pytest.mark.parametrize("batch, chunk, kept", [(10_000, 500_000, 10**6), (7, 20, 10**6), (7, 20, 0)])
+def test_documents_are_scored_in_their_rows(spark, monkeypatch, batch, chunk, kept):
+    """Documents across batches, copies, scores that tie; as when every pair is added up."""
+    monkeypatch.setattr(P, "CHUNK", chunk)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["total", "x", "y", *(f"w{i}" for i in range(30))], k=rng.randrange(12))) for _ in range(150)]
+    rows = list(enumerate(texts + texts[:60] + ["total x"] * 40 + [None, "7 7 x"]))
+    docs = spark.createDataFrame(rows, "doc_id long, content string").repartition(3)
+    asked = [(i, " ".join(rng.choices(["total", "x", "absent", "w3", "w9", "7"], k=4))) for i in range(12)]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    index = R.LexicalIndex.build(docs)
+    assert index.one_row_each
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        got = R.bm25_topk(queries, index, 6, all_pairs=0, kept_rows=kept)
+        want = R.bm25_topk(queries, index, 6, all_pairs=10**9)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        if kept:
+            scores = P.bm25_scores(queries, index, 6, all_pairs=0, kept_rows=kept)
+            plan = scores._jdf.queryExecution().executedPlan().toString()
+            assert "mapInArrow" in plan or "MapInArrow" in plan
+            assert "hashpartitioning" not in plan  # no pair is shuffled
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_rows_of_one_document_add_up(spark):
+    """A number that several rows share is scored over all of them, at any size."""
+    docs = spark.createDataFrame([(1, "cash net"), (1, "cash"), (2, "cash rows"), (3, "other")], "doc_id long, content string")
+    queries = spark.createDataFrame([(1, "cash net")], "query_id long, text string")
+    index = R.LexicalIndex.build(docs)
+    assert not index.one_row_each
+    got, want = (R.bm25_topk(queries, index, 2, all_pairs=n).collect() for n in (0, 10**9))
+    assert sorted(got) == sorted(want)
+
+
 def test_a_term_of_every_document_is_not_scored(spark):
     """The pairs that are scored grow with k, not with the corpus."""
     rng = random.Random(3)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import text_items
-from .text import let, strip
+from .text import let, strip_text
 
 
 def parse_object(json: Column) -> Column:
@@ -52,7 +52,7 @@ def variant_text(v: Column) -> Column:
 
 def _text(v: Column, kind: Column) -> Column:
     return (
-        F.when(kind == "STRING", strip(v.cast("string")))
+        F.when(kind == "STRING", strip_text(v.cast("string")))
         .when(kind == "VOID", F.lit("None"))
         .when(kind == "BOOLEAN", F.initcap(F.to_json(v)))
         .otherwise(F.to_json(v))

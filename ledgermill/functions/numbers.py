@@ -20,6 +20,7 @@ from .text import (
     squeeze,
     strip,
     strip_ascii,
+    strip_text,
 )
 
 #: A figure in a prepared, hence lower-cased text.
@@ -103,13 +104,19 @@ def _figure_list(prepared: Column) -> Column:
     return F.call_function("transform", matches(prepared, NUMBER), F.expr(CANONICAL))
 
 
+def _bare(prepared: Column) -> Column:
+    """A prepared text without its figures."""
+    return F.when(prepared.rlike("[0-9]"), F.regexp_replace(prepared, NUMBER, " ")).otherwise(prepared)
+
+
+def _tokens(prepared: Column, bare: Column) -> Column:
+    words = matches(bare, r"[a-z0-9_\u0600-\u06ff]+")
+    return F.when(prepared.rlike("[0-9]"), F.concat(words, _figure_list(prepared))).otherwise(words)
+
+
 def value_tokens(prepared: Column) -> Column:
     """Words and canonical figures of a prepared text, in no meaningful order."""
-    words = matches(F.regexp_replace(prepared, NUMBER, " "), r"[a-z0-9_\u0600-\u06ff]+")
-    return let(
-        prepared,
-        lambda t: F.when(t.rlike("[0-9]"), F.concat(words, _figure_list(t))).otherwise(words),
-    )
+    return let(prepared, lambda t: _tokens(t, _bare(t)))
 
 
 def _figures(prepared: Column) -> Column:
@@ -143,21 +150,27 @@ def _without_scales(prepared: Column) -> Column:
         r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*"
         rf"(?:/|{open_}من{edge}|{open_}out\s+of{edge})\s*[45]{edge}"
     )
-    # what a scale is written with; most texts hold none of it
-    written = prepared.contains("/") | prepared.contains("من") | prepared.contains("out")
-    return F.when(written, F.regexp_replace(prepared, scale, "$1")).otherwise(prepared)
+    return F.when(_may_scale(prepared), F.regexp_replace(prepared, scale, "$1")).otherwise(prepared)
+
+
+def _may_scale(prepared: Column) -> Column:
+    """Whether a text holds what a scale is written with; most do not."""
+    return prepared.contains("/") | prepared.contains("من") | prepared.contains("out")
 
 
 def material_numbers(c: Column) -> Column:
     return let(prepare(c), lambda t: _figures(_without_scales(t)))
 
 
-def _words(prepared: Column, ignored=C.NON_LABEL_WORDS) -> Column:
-    text = F.regexp_replace(prepared, NUMBER, " ")
-    found = matches(text, r"[a-z\u0600-\u06ff]{2,}")
+def _label_words(bare: Column, ignored=C.NON_LABEL_WORDS) -> Column:
+    found = matches(bare, r"[a-z\u0600-\u06ff]{2,}")
     return F.array_distinct(F.filter(found, lambda w: ~w.isin(*ignored)))
 
 
+def _words(prepared: Column, ignored=C.NON_LABEL_WORDS) -> Column:
+    return _label_words(F.regexp_replace(prepared, NUMBER, " "), ignored)
+
+
 def word_tokens(c: Column) -> Column:
     return _words(prepare(c))
 
@@ -193,11 +206,43 @@ def describe_plain(c: Column) -> Column:
     )
 
 
+def describe_both(c: Column) -> Column:
+    """The fields of :func:`describe` and, as ``plain``, of :func:`describe_plain`.
+
+    The two preparations of a text mostly agree. Then its figures and words are
+    found once; the ignored words of one are among those of the other.
+    """
+
+    def told(t: Column) -> Column:
+        def with_plain(d: Column) -> Column:
+            same = d.p == d.q
+            return F.struct(
+                t.alias("text"),
+                F.when(same & ~_may_scale(d.p), d.plain.numbers)
+                .otherwise(_figures(_without_scales(d.p))).alias("numbers"),
+                F.when(same, F.filter(d.plain.words, lambda w: ~w.isin(*C.STOPWORDS)))
+                .otherwise(_words(d.p, _IGNORED)).alias("words"),
+                d.plain.alias("plain"),
+            )
+
+        prepared = F.struct(prepare(t).alias("p"), prepare_plain(t).alias("q"))
+        return let(
+            let(prepared, lambda x: F.struct(x.p.alias("p"), x.q.alias("q"), _plain_parts(x.q).alias("plain"))),
+            with_plain,
+        )
+
+    return let(c, told)
+
+
+def _plain_parts(prepared: Column) -> Column:
+    return F.struct(_figures(prepared).alias("numbers"), _label_words(_bare(prepared)).alias("words"))
+
+
 def normalize_item(c: Column) -> Column:
     """Key under which two spellings of one financial item are equal."""
 
     def value(text: Column) -> Column:
-        return F.array_join(F.array_sort(value_tokens(text)), " ")
+        return F.array_join(F.sort_array(value_tokens(text)), " ")
 
     def label(text: Column) -> Column:
         return F.array_join(matches(text, r"[a-z0-9\u0600-\u06ff]+"), " ")
@@ -217,16 +262,36 @@ def normalize_item(c: Column) -> Column:
 
 
 def extract_items(c: Column) -> Column:
-    """Numeric clauses of an answer or source text, as a distinct array."""
+    """Numeric clauses of an answer or source text, as a distinct array.
+
+    A step whose pattern cannot match, as a plain search tells, is left out.
+    """
+
+    def step(t: Column, needed, change) -> Column:
+        return let(t, lambda x: F.when(needed(x), change(x)).otherwise(x))
+
     spaced = F.when(is_ascii(c), c).otherwise(plain_spaces(c))
     pieces = split_at(spaced, r"[\n\r]+|(?:\s+[\u2022*-]\s+)|(?:\s+[0-9]+[.)]\s+)|\|")
     # most pieces hold no figure and are dropped before any cleaning
     pieces = F.filter(pieces, lambda p: p.rlike(r"[0-9\u0660-\u0669]"))
     # the rest is cleaned as one text, with a cut between two pieces
-    text = F.regexp_replace(F.array_join(pieces, CUT), rf"(^|{CUT})\s*[-\u2022*]\s*", "$1")
+    text = step(
+        F.array_join(pieces, CUT),
+        lambda t: t.contains("-") | t.contains("*") | t.contains("\u2022"),
+        lambda t: F.regexp_replace(t, rf"(^|{CUT})\s*[-\u2022*]\s*", "$1"),
+    )
+    text = step(text, lambda t: t.rlike(r"[\t-\r]| {2}"), squeeze)
     edge = rf"(?<=^|{CUT}) | (?=[\u0085\u2028\u2029]?(?:{CUT}|\z))"
-    text = F.regexp_replace(squeeze(text), edge, "")
-    text = F.regexp_replace(text, rf"(^|{CUT})\[Source:[^\]{CUT}]+\]\s*", "$1")
+    text = step(
+        text,
+        lambda t: t.startswith(" ") | t.endswith(" ") | t.contains(" " + CUT) | t.contains(CUT + " ")
+        | t.rlike(r" [\u0085\u2028\u2029]"),
+        lambda t: F.regexp_replace(t, edge, ""),
+    )
+    text = step(
+        text, lambda t: t.contains("[Source:"),
+        lambda t: F.regexp_replace(t, rf"(^|{CUT})\[Source:[^\]{CUT}]+\]\s*", "$1"),
+    )
     pieces = F.split(text, CUT, -1)
     pieces = F.transform(
         pieces,
@@ -264,11 +329,11 @@ def text_items(c: Column) -> Column:
             .otherwise(F.array().cast("array<string>")),
         )
 
-    return let(strip(c), body)
+    return let(strip_text(c), body)
 
 
 __all__ = [
-    "canonical_number", "describe", "describe_plain", "extract_items", "item_has_no_data", "looks_like_blob",
+    "canonical_number", "describe", "describe_both", "describe_plain", "extract_items", "item_has_no_data", "looks_like_blob",
     "material_numbers", "meaningful_words", "normalize_item", "number_tokens",
     "number_tokens_plain", "prepare", "prepare_plain", "text_items",
     "value_tokens", "word_tokens", "word_tokens_plain",

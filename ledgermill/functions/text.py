@@ -16,8 +16,12 @@ DIACRITICS = r"[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED]"
 
 
 def let(value: Column, body) -> Column:
-    """Bind ``value`` once and use it several times inside ``body``."""
-    return F.transform(F.array(value), body)[0]
+    """Bind ``value`` once and use it several times inside ``body``.
+
+    An aggregation over nothing: unlike elements of a transformed array, neither
+    its start nor its end is copied, however many of these lie in each other.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def settle(df: DataFrame, **columns: Column) -> DataFrame:
@@ -49,6 +53,11 @@ def strip_ascii(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
+def strip_text(c: Column) -> Column:
+    """:func:`strip`; an ASCII text, which most are, goes without the pattern."""
+    return let(c, lambda t: F.when(is_ascii(t), strip_ascii(t)).otherwise(strip(t)))
+
+
 def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", " ")
 

@@ -278,7 +278,7 @@ ASKS = ("What is the total price?", "Which discount applies?", "", "weather fore
 
 
 def _filled(pattern, values):
-    text = F.lit(pattern)
+    text = F.lit(pattern) if isinstance(pattern, str) else pattern
     for name, value in values.items():
         text = F.replace(text, F.lit("{" + name + "}"), value)
     return text
@@ -294,7 +294,7 @@ def chat_log(t):
         "b": (F.col("o_custkey") % 90 + 10).cast("string"), "c": F.col("o_custkey").cast("string"),
         "k": key.cast("string"),
     }
-    answer = F.element_at(F.array(*[_filled(a, values) for a in ANSWERS]), (key % len(ANSWERS) + 1).cast("int"))
+    answer = _filled(pick(ANSWERS, key), values)
     # a seventh of the sources state another total
     told = dict(values, a=F.when(key % 7 == 0, F.lit("999.99")).otherwise(values["a"]))
     sources = F.array(*[_filled(s, told) for s in SOURCES])

@@ -65,6 +65,8 @@ def bm25_topk(
 # --------------------------------------------------------------------------
 
 QUERY_BLOCK_BYTES = 64 << 20
+# Numbers of documents with a hit that may go to every task.
+BROADCAST_HITS = 1_000_000
 # Questions scored at once: with a batch of 10,000 documents, 80 MB of scores.
 QUERY_TILE = 1024
 
@@ -249,12 +251,22 @@ def exhaustive_k(is_improvement: Column, corpus: Column, usual: Column) -> Colum
     ).otherwise(usual)
 
 
+def _with_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The documents with a hit, told where they are read; all of them if the written ``hits`` are very many."""
+    if hits.count() > BROADCAST_HITS:
+        return docs
+    return docs.join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+
+
 def dedupe_hits(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """Keep the best-scored hit per question and trimmed content; rank again.
 
-    Texts become digests where they are read, so that no shuffle carries them.
+    Texts become digests where they are read, so that no shuffle carries them;
+    of the documents without a hit, unless the hits are very many, none does.
     Grouping (not a window) lets many copies of one text collapse.
     """
+    hits = cut_lineage(hits, "hits")
+    docs = _with_hits(docs, hits)
     texts = hits.join(docs.select("doc_id", F.sha2(strip(F.col("content")), 256).alias("_key")), "doc_id")
     kept = (
         texts.groupBy("query_id", "_key")
@@ -381,11 +393,12 @@ def hybrid_candidates(
 def assemble_context(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """One context text per question: label and content in rank order.
 
-    The texts are joined only to the hits that survived ranking.
+    The texts are joined only to the hits that survived ranking, and only those
+    of documents with such a hit are shuffled, unless the hits are very many.
     """
+    hits = cut_lineage(hits.select("query_id", "rank", "doc_id"), "hits")
     return (
-        hits.select("query_id", "rank", "doc_id")
-        .join(docs.withColumn("_label", context_label()), "doc_id")
+        hits.join(_with_hits(docs, hits).withColumn("_label", context_label()), "doc_id")
         .groupBy("query_id")
         .agg(
             F.array_sort(

@@ -388,10 +388,10 @@ def full_table_documents(t):
     )
 
 
-def corpus(t):
-    return D.union_documents(
-        t.spread("documents").select("doc_id", F.col("text").alias("content"), "source")
-    )
+def corpus(t, spread=True):
+    """All documents; without ``spread`` their texts stay in their splits."""
+    table = t.spread("documents") if spread else t.documents
+    return D.union_documents(table.select("doc_id", F.col("text").alias("content"), "source"))
 
 
 @query(

@@ -202,7 +202,7 @@ def hybrid_variants(t):
 
 @query("dedupe_hits", f"WITH {DEDUPED} SELECT query_id, doc_id, score, rank FROM du")
 def dedupe_hits(t):
-    return R.dedupe_hits(hybrid_fusion(t), corpus(t))
+    return R.dedupe_hits(hybrid_fusion(t), corpus(t, spread=False))
 
 
 @query(
@@ -242,7 +242,7 @@ def graded_context(t):
       FROM gc JOIN documents USING (doc_id) GROUP BY query_id""",
 )
 def assembled_context(t):
-    return R.assemble_context(graded(t), corpus(t)).select(
+    return R.assemble_context(graded(t), corpus(t, spread=False)).select(
         "query_id", F.md5("context").alias("context_md5"), "n_docs"
     )
 

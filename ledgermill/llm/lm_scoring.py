@@ -14,8 +14,8 @@ the weights over its own texts, slice by slice, and Spark averages what the
 tasks moved: an input row by how often each task read it, the rest by positions.
 How rows are dealt to tasks therefore changes scores a little.
 
-Looking up the counts of a text's words: the most frequent words, ``HOT`` at most,
-go to every task. The other words of a text join the table of
+The most frequent words, ``HOT`` at most, go to every task with their counts and
+subword ids. The other words of a text join the table of
 counts as rows of hash and text number, and their sums return per text. No
 text is shuffled. Words are matched by 64-bit hashes there.
 
@@ -50,8 +50,7 @@ TRAIN_TEXTS = 600
 TRAIN_IDS = 600_000
 EPOCHS = 6
 RATES = (0.006, 0.003, 0.001)  # step size of each round over the training texts
-BATCH = 256  # windows in a step of a round
-KEPT_WORDS = 1 << 19  # encoded words that a task remembers
+BATCH = 128  # windows in a step of a round
 
 
 def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,44 +83,73 @@ def _count_words(batches):
         )
 
 
+@dataclass
+class Known:
+    """The most frequent words: codes in order, counts, and the subword ids of one word after the other."""
+
+    codes: np.ndarray
+    counts: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray  # one more than words
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code, or -1."""
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, -1)
+
+
+NONE_KNOWN = Known(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+
 class _Subwords:
-    """Ids of words, remembered by code within one task."""
+    """Ids of words: those of known ones are looked up, the tokenizer gives the others'."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, known: Known = NONE_KNOWN):
         self.encoder = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.ends = [0]
-
-    def _add(self, texts: list[str], codes: list[int]) -> None:
-        coded = self.encoder.encode(texts, num_threads=1)
-        flat = np.concatenate([np.array(c, np.int32) for c in coded]) if coded else np.zeros(0, np.int32)
-        used = self.ends[-1]
-        while used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[used : used + len(flat)] = flat
-        for code, coding in zip(codes, coded):
-            self.known[code] = len(self.ends) - 1
-            used += len(coding)
-            self.ends.append(used)
-
-    def of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words in a row, and how many each word has."""
+        self.known = known
+
+    def of(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the words in a row, how many each word has, its code and its place among the known ones (-1: none)."""
         codes, inverse, first = _distinct(words)
-        if len(self.known) > KEPT_WORDS:
-            self.clear()
-        listed = codes.tolist()
-        new = [i for i, c in enumerate(listed) if c not in self.known]
-        if new:
-            self._add(_spelled(words, first[new]).to_pylist(), [listed[i] for i in new])
-        ends = np.array(self.ends)
-        at = np.array([self.known[c] for c in listed], np.int64)[inverse]
-        start, size = ends[at], ends[at + 1] - ends[at]
+        at = self.known.find(codes)
+        new = np.flatnonzero(at < 0)
+        coded = self.encoder.encode(_spelled(words, first[new]).to_pylist(), num_threads=1) if len(new) else []
+        start, size = self.known.starts[at], self.known.starts[at + 1] - self.known.starts[at]
+        size[new] = [len(c) for c in coded]
+        start[new] = len(self.known.ids) + np.cumsum(size[new]) - size[new]
+        ids = np.concatenate([self.known.ids, np.array([i for c in coded for i in c], np.int32)]) if coded else self.known.ids
+        start, size = start[inverse], size[inverse]
         place = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
-        return self.ids[place], size
+        return ids[place], size, codes[inverse], at[inverse]
+
+
+def _encoded(model: bytes):
+    """``h, c, ids`` of words."""
+
+    def run(batches):
+        encoder = sentencepiece.SentencePieceProcessor(model_proto=model)
+        for batch in batches:
+            coded = encoder.encode(batch.column("word").to_pylist(), num_threads=1)
+            ids = pa.array(coded, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), ids], ["h", "c", "ids"])
+
+    return run
+
+
+def _known(words: DataFrame, proto: bytes) -> Known:
+    """The given words, ``HOT`` at most, from their counts ``word, h, c``."""
+    found = words.mapInArrow(_encoded(proto), "h long, c long, ids array<int>").toArrow().combine_chunks()
+    codes = found.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    ids = found.column("ids").take(pa.array(order)).combine_chunks()
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    sizes = ids.value_lengths().to_numpy()
+    return Known(
+        codes[order], found.column("c").to_numpy()[order], ids.flatten().to_numpy(),
+        np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]),
+    )
 
 
 def _id_counts(model: bytes):
@@ -149,16 +177,15 @@ class Model:
     tokenizer: bytes
     vocabulary: attention.Vocabulary
     weights: dict
-    hot: np.ndarray  # codes, sorted
-    hot_counts: np.ndarray
+    known: Known
     tokens: int  # N
     distinct: int  # V
     ends: int
 
 
 def _sequences(subwords: _Subwords, words: Words, vocabulary: attention.Vocabulary):
-    """Slots of a run of texts: inputs, targets, texts, and the target ids."""
-    ids, size = subwords.of(words)
+    """Slots of a run of texts: inputs, targets, texts, and the target ids; each word's code and place among the known."""
+    ids, size, codes, known = subwords.of(words)
     per_row = np.bincount(words.row, weights=size, minlength=words.rows).astype(np.int64)
     lengths = per_row + 1  # the end
     slot, text, _ = attention.layout(lengths)
@@ -173,7 +200,7 @@ def _sequences(subwords: _Subwords, words: Words, vocabulary: attention.Vocabula
     inputs[slot] = vocabulary.inputs[before]
     classes = np.full(len(text), -1, np.int64)
     classes[slot] = vocabulary.classes[target]
-    return slot, text, inputs, classes, target, lengths
+    return slot, text, inputs, classes, target, lengths, codes, known
 
 
 def _hot_from(counts: DataFrame) -> int:
@@ -200,9 +227,7 @@ def fit(training: DataFrame, counts: DataFrame, tokenizer: str = TOKENIZER) -> M
     pieces = sentencepiece.SentencePieceProcessor(model_proto=proto).get_piece_size()
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
-    hot = counts.filter(F.col("c") >= _hot_from(counts)).select("h", "c").toArrow()
-    codes = hot.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(codes)
+    known = _known(counts.filter(F.col("c") >= _hot_from(counts)), proto)
     of_ids = np.zeros(pieces, np.int64)
     for r in counts.select("word", "c").mapInArrow(_id_counts(proto), "id long, c long").groupBy("id").sum("c").collect():
         of_ids[r[0]] = r[1]
@@ -212,23 +237,22 @@ def fit(training: DataFrame, counts: DataFrame, tokenizer: str = TOKENIZER) -> M
     keys = least_hashes(sample, "k", TRAIN_TEXTS)
     rows = sample.filter(F.col("k") <= (keys[-1] if keys else 0)).dropDuplicates(["k"])
     # one task trains on the bounded sample
-    trained = rows.repartition(1).mapInArrow(_train(proto, vocabulary), "weights binary").collect()
+    trained = rows.repartition(1).mapInArrow(_train(proto, vocabulary, known), "weights binary").collect()
     weights = pickle.loads(trained[0][0]) if trained else _trained(vocabulary, *(np.zeros(0, np.int64),) * 3)
     for number, rate in enumerate(RATES if ends else ()):
-        weights = _round(training, number, proto, vocabulary, weights, rate)
+        weights = _round(training, number, proto, vocabulary, known, weights, rate)
     return Model(
-        proto, vocabulary, weights, codes[order], hot.column("c").to_numpy()[order],
-        int(totals["n"]) + ends, int(totals["v"]) + (ends > 0), ends,
+        proto, vocabulary, weights, known, int(totals["n"]) + ends, int(totals["v"]) + (ends > 0), ends,
     )
 
 
-def _train(proto: bytes, vocabulary: attention.Vocabulary):
+def _train(proto: bytes, vocabulary: attention.Vocabulary, known: Known = NONE_KNOWN):
     def run(batches):
         rows = pa.Table.from_batches(batches).sort_by("k") if (batches := list(batches)) else None
         if rows is None or not rows.num_rows:
             return
         words = Words(rows.column("text").combine_chunks(), BLANK_WORDS)
-        _, text, inputs, classes, _, lengths = _sequences(_Subwords(proto), words, vocabulary)
+        _, text, inputs, classes, _, lengths, _, _ = _sequences(_Subwords(proto, known), words, vocabulary)
         kept, left = np.zeros(len(lengths), bool), TRAIN_IDS
         for i, n in enumerate(lengths.tolist()):
             if n <= left:
@@ -246,12 +270,14 @@ def _trained(vocabulary: attention.Vocabulary, inputs: np.ndarray, text: np.ndar
     )
 
 
-def _round(training: DataFrame, number: int, proto: bytes, vocabulary: attention.Vocabulary, weights: dict, rate: float) -> dict:
+def _round(
+    training: DataFrame, number: int, proto: bytes, vocabulary: attention.Vocabulary, known: Known, weights: dict, rate: float
+) -> dict:
     """Weights after every task learned from its training texts of this round.
 
     What comes back is at most one row per row of weights, whatever the corpus.
     """
-    shared = training.sparkSession.sparkContext.broadcast((proto, vocabulary, weights))
+    shared = training.sparkSession.sparkContext.broadcast((proto, vocabulary, known, weights))
     own = training.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(len(RATES))) == number).select("text")
     moves = [f"d{j}" for j in range(attention.WEIGHTS_A_ROW)]
     schema = "place int, n double, " + ", ".join(f"{d} double" for d in moves)
@@ -267,10 +293,10 @@ def _moved(shared, rate: float):
     """``place, n, d0 ...``: how far a task moved each row of weights, times the weight ``n`` of its say."""
 
     def run(batches):
-        proto, vocabulary, weights = shared.value
-        subwords, learner = _Subwords(proto), attention.Learner(weights)
+        proto, vocabulary, known, weights = shared.value
+        subwords, learner = _Subwords(proto, known), attention.Learner(weights)
         for part in text_slices(batches):
-            _, text, inputs, classes, _, _ = _sequences(subwords, Words(part.column("text"), BLANK_WORDS), vocabulary)
+            _, text, inputs, classes, *_ = _sequences(subwords, Words(part.column("text"), BLANK_WORDS), vocabulary)
             learner.learn(inputs, text, classes, lambda step: rate, BATCH)
         if not learner.positions:
             return
@@ -290,22 +316,15 @@ def _moved(shared, rate: float):
 def _score(shared):
     def run(batches):
         model: Model = shared.value
-        subwords, own = _Subwords(model.tokenizer), attention.projected(model.weights)
+        subwords, own = _Subwords(model.tokenizer, model.known), attention.projected(model.weights)
         task, number = TaskContext.get().partitionId(), 0
-        logs = np.log10(model.hot_counts + 1.0)
+        logs = np.log10(model.known.counts + 1.0)
         for part in text_slices(batches):
             words = Words(part.column("text"), BLANK_WORDS)
-            codes = words.codes()
-            sums = np.zeros(part.num_rows)
-            known = np.zeros(part.num_rows, np.int64)
-            cold = np.ones(len(codes), bool)
-            if len(model.hot) and len(codes):
-                at = np.minimum(np.searchsorted(model.hot, codes), len(model.hot) - 1)
-                hit = model.hot[at] == codes
-                cold = ~hit
-                sums += np.bincount(words.row[hit], weights=logs[at[hit]], minlength=part.num_rows)
-                known += np.bincount(words.row[hit], minlength=part.num_rows)
-            slot, text, inputs, classes, target, lengths = _sequences(subwords, words, model.vocabulary)
+            slot, text, inputs, classes, target, lengths, codes, at = _sequences(subwords, words, model.vocabulary)
+            cold, hit = at < 0, at >= 0
+            sums = np.bincount(words.row[hit], weights=logs[at[hit]], minlength=part.num_rows)
+            known = np.bincount(words.row[hit], minlength=part.num_rows)
             logp = attention.log10_classes(model.weights, inputs, text, np.maximum(classes, 0), own)[slot]
             logp += model.vocabulary.within[target]
             score = np.add.reduceat(logp, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)

@@ -58,3 +58,8 @@ def test_what_is_left(log):
 def test_evaluate_history(log, monkeypatch, options):
     assert "MapInArrow" in plans(E.evaluate_history(log, **options))
     both_ways(monkeypatch, lambda: E.evaluate_history(log, **options))
+
+
+def test_false_positives(log, monkeypatch):
+    assert "MapInArrow" in plans(E.false_positives(log))
+    both_ways(monkeypatch, lambda: E.false_positives(log))

@@ -63,3 +63,9 @@ def test_evaluate_history(log, monkeypatch, options):
 def test_false_positives(log, monkeypatch):
     assert "MapInArrow" in plans(E.false_positives(log))
     both_ways(monkeypatch, lambda: E.false_positives(log))
+
+
+@pytest.mark.parametrize("options", [{}, {"apply_filter": False}, {"retrieved_key": "answer", "relevant_key": "relevant"}])
+def test_history_records(log, monkeypatch, options):
+    assert "MapInArrow" in plans(E.history_records(log, **options))
+    both_ways(monkeypatch, lambda: E.history_records(log, **options))

@@ -69,3 +69,8 @@ def test_false_positives(log, monkeypatch):
 def test_history_records(log, monkeypatch, options):
     assert "MapInArrow" in plans(E.history_records(log, **options))
     both_ways(monkeypatch, lambda: E.history_records(log, **options))
+
+
+def test_false_positive_report(log, monkeypatch):
+    assert "MapInArrow" in plans(E.false_positive_report(log))
+    both_ways(monkeypatch, lambda: E.false_positive_report(log))
